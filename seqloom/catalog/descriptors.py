@@ -143,9 +143,9 @@ inputs AS MATERIALIZED (
 steps AS (
   SELECT *, {PI_LOW}::DOUBLE AS lo, {PI_HIGH}::DOUBLE AS hi, {PI_START}::DOUBLE AS ph, 0 AS step FROM inputs
   UNION ALL
-  SELECT * REPLACE (CASE WHEN charge > 0 THEN ph ELSE lo END AS lo, CASE WHEN charge > 0 THEN hi ELSE ph END AS hi,
+  SELECT * EXCLUDE (charge) REPLACE (CASE WHEN charge > 0 THEN ph ELSE lo END AS lo, CASE WHEN charge > 0 THEN hi ELSE ph END AS hi,
                     ((CASE WHEN charge > 0 THEN ph ELSE lo END) + (CASE WHEN charge > 0 THEN hi ELSE ph END)) / 2 AS ph,
-                    step + 1 AS step) EXCLUDE (charge)
+                    step + 1 AS step)
   FROM (SELECT *, {_CHARGE} AS charge FROM steps) WHERE hi - lo > 0.0001)
 SELECT doc_id, arg_max(ph, step) AS isoelectric_point FROM steps GROUP BY doc_id""", ["isoelectric_point"]),
     "percentages": Entry(percentages, with_(SEQS, "SELECT doc_id, " + ", ".join(

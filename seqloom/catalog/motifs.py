@@ -71,8 +71,7 @@ def _counts(patterns: dict[str, str]) -> str:
 
 
 def _starts(pattern: str) -> str:
-    n = len(pattern)
-    return f"len([1 for i in range(1, length(sequence) + 1) if sequence[i:i+{n - 1}] = '{pattern}'])::BIGINT"
+    return f"count(*) FILTER (WHERE starts_with(w, '{pattern}'))"
 
 
 # Running length of the pieces around the matches gives the start of every match.
@@ -89,9 +88,10 @@ ENTRIES = {
     "canonical_motif_counts": Entry(
         canonical_motif_counts, with_(SEQS, f"SELECT doc_id, length(sequence) AS length, {_counts(CANONICAL_MOTIFS)} FROM seqs")
     ),
-    "overlapping_counts": Entry(overlapping_counts, with_(SEQS, f"""
-SELECT doc_id, {_starts('HEH')} AS n_heh, {_matches('HEH')} AS n_heh_apart,
-       {', '.join(f'{_starts(p)} AS "n_{m}"' for m, p in _LITERAL.items())} FROM seqs""")),
+    "overlapping_counts": Entry(overlapping_counts, with_(f"""{SEQS},
+w AS (SELECT doc_id, unnest([sequence[i:i+5] for i in range(1, length(sequence) + 1)]) AS w FROM seqs),
+starts AS (SELECT doc_id, {_starts('HEH')} AS n_heh, {', '.join(f'{_starts(p)} AS "n_{m}"' for m, p in _LITERAL.items())} FROM w GROUP BY doc_id)""", f"""
+SELECT starts.*, {_matches('HEH')} AS n_heh_apart FROM starts JOIN seqs USING (doc_id)""")),
     "motif_positions": Entry(motif_positions, with_(SEQS, f"""
 SELECT doc_id, motif, (start + start + length(match)) / 2.0::DOUBLE / n AS relative_position FROM (""" + _SPAN_SQL.format(
         label="motif", label_in="motif", pattern="pattern",

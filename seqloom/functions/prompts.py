@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from seqloom.fixed import FORWARD_TASK, INVERSE_TASK, RESIDUES, SOLUBILITY_TASK
 from seqloom.functions.hashing import let
@@ -23,7 +24,7 @@ def strip(text) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _three_decimals(vectors: pd.Series) -> pd.Series:
     # Correct rounding of the binary value; the JVM formatter rounds its decimal text half-up.
     return vectors.map(lambda v: None if v is None else ",".join(f"{x:.3f}" for x in v))

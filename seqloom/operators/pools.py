@@ -74,10 +74,9 @@ def pool_summary(pool: DataFrame, targets: DataFrame) -> DataFrame:
 def best_rows(pool: DataFrame) -> DataFrame:
     """The best scoreable candidate of every set, earliest on ties."""
     scored = scoreable(pool)
-    winner = scored.groupBy("set").agg(
-        F.max_by("candidate_index", F.struct(F.col("r2"), -F.col("candidate_index"))).alias("candidate_index")
-    )
-    return scored.join(winner, ["set", "candidate_index"])
+    others = [c for c in scored.columns if c != "set"]
+    best = F.max_by(F.struct(*others), F.struct(F.col("r2"), -F.col("candidate_index")))
+    return scored.groupBy("set").agg(best.alias("_best")).select("set", "_best.*")
 
 
 def reliable(n, size) -> Column:

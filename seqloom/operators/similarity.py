@@ -22,17 +22,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions.hashing import digest
 from seqloom.functions.residues import kmer_set
+from seqloom.session import checkpointed
 
 HOT_REFERENCES = 1000
 BLOCK_POSTINGS = 2_000_000
 
 
 def distinct_sequences(df: DataFrame, row_id: str, seq: str) -> DataFrame:
-    """First row id of every distinct sequence: (first_id, sequence)."""
-    firsts = df.groupBy(digest(seq).alias("_digest")).agg(F.min(row_id).alias("first_id"))
-    return firsts.join(df.select(F.col(row_id).alias("first_id"), F.col(seq).alias("sequence")), "first_id").select(
-        "first_id", "sequence"
-    )
+    """Every distinct sequence once, under its first row id: (first_id, digest, sequence)."""
+    return df.groupBy(digest(seq).alias("digest")).agg(
+        F.min(row_id).alias("first_id"), F.any_value(seq).alias("sequence")
+    ).select("first_id", "digest", "sequence")
 
 
 def flag_novel(df: DataFrame, known: DataFrame, seq: str = "sequence", known_seq: str = "sequence") -> DataFrame:
@@ -74,19 +74,20 @@ def _compare_blocks(n: int):
             for kmer in hot:
                 postings[kmer].append(position)
         index = {kmer: np.asarray(rows) for kmer, rows in postings.items()}
-        ids = references["ref_id"].to_numpy()
+        ids = references["ref_id"]
+        order = pd.factorize(ids, sort=True)[0]
         sizes = references["n_ref"].to_numpy()
         out = []
         for query_id, n_query, hot in zip(queries["query_id"], queries["n_query"], queries["hot"]):
             hits = [index[kmer] for kmer in hot if kmer in index]
             if not hits:
                 continue
-            shared = np.bincount(np.concatenate(hits), minlength=len(ids))
+            shared = np.bincount(np.concatenate(hits), minlength=len(order))
             touched = np.flatnonzero(shared)
-            by_overlap = touched[np.lexsort((ids[touched], -shared[touched]))][:n]
+            by_overlap = touched[np.lexsort((order[touched], -shared[touched]))][:n]
             jaccard = shared[touched] / (n_query + sizes[touched] - shared[touched])
             chosen = {*by_overlap.tolist(), int(touched[np.argmax(jaccard)])}
-            out += [(query_id, int(ids[i]), int(shared[i])) for i in chosen]
+            out += [(query_id, ids.iloc[i], int(shared[i])) for i in chosen]
         return pd.DataFrame(out, columns=["query_id", "ref_id", "shared"])
 
     return compare
@@ -104,13 +105,18 @@ def overlaps(
     q = _indexed(queries, "query_id", "n_query", k)
     r = _indexed(references, "ref_id", "n_ref", k)
     holders = r.groupBy("kmer").agg(F.count("*").alias("_holders"))
-    hot_kmers = holders.where(F.col("_holders") > hot).select("kmer")
+    # Few rows (all postings over `hot` at most), used several times below.
+    hot_kmers = checkpointed(holders.where(F.col("_holders") > hot).select("kmer"))
+    any_hot = not hot_kmers.isEmpty()
 
     rare_pairs = (
-        q.join(r.join(hot_kmers, "kmer", "left_anti"), "kmer")
+        q.join(r.join(hot_kmers, "kmer", "left_anti") if any_hot else r, "kmer")
         .groupBy("query_id", "ref_id")
         .agg(F.count("*").alias("rare"), F.first("n_query").alias("n_query"), F.first("n_ref").alias("n_ref"))
     )
+    if not any_hot:
+        pairs = rare_pairs.withColumnRenamed("rare", "shared")
+        return _without_identical(pairs, queries, references) if exclude_identical else pairs
 
     def hot_lists(index: DataFrame, id_name: str, size_name: str) -> DataFrame:
         return (
@@ -154,6 +160,8 @@ def overlaps(
         )
         .select("query_id", "n_query", "hot")
     )
+    query_type, ref_type = (d.schema["first_id"].dataType.simpleString() for d in (queries, references))
+    schema = f"query_id {query_type}, ref_id {ref_type}, shared bigint"
     # One more per block than asked for, since the query's own copy may be among them.
     compare = _compare_blocks(n + 1 if exclude_identical else n)
     q_blocks, r_blocks = _blocks_needed(open_queries), _blocks_needed(r_hot)
@@ -170,7 +178,7 @@ def overlaps(
     hot_matches = (
         placed_q.groupBy("qb", "rb")
         .cogroup(placed_r.groupBy("qb", "rb"))
-        .applyInPandas(compare, "query_id bigint, ref_id bigint, shared bigint")
+        .applyInPandas(compare, schema)
     )
     if exclude_identical:
         hot_matches = _without_identical(hot_matches, queries, references)
@@ -191,8 +199,8 @@ def overlaps(
 def _without_identical(pairs: DataFrame, queries: DataFrame, references: DataFrame) -> DataFrame:
     """Drop pairs whose two sequences are byte-identical."""
     same = (
-        queries.select(F.col("first_id").alias("query_id"), digest("sequence").alias("_d"))
-        .join(references.select(F.col("first_id").alias("ref_id"), digest("sequence").alias("_d")), "_d")
+        queries.select(F.col("first_id").alias("query_id"), "digest")
+        .join(references.select(F.col("first_id").alias("ref_id"), "digest"), "digest")
         .select("query_id", "ref_id")
     )
     return pairs.join(same, ["query_id", "ref_id"], "left_anti")
@@ -211,7 +219,7 @@ def max_similarity(
         F.max(shared / F.col("n_query")).alias("_containment"),
         F.max(shared / (F.col("n_query") + F.col("n_ref") - shared)).alias("_jaccard"),
     )
-    scored = queries.select(F.col("first_id").alias("query_id"), digest("sequence").alias("_digest")).join(
+    scored = queries.select(F.col("first_id").alias("query_id"), F.col("digest").alias("_digest")).join(
         best, "query_id", "left"
     )
     has_kmers = F.col("length") >= k
@@ -238,7 +246,7 @@ def nearest_neighbours(
     pairs = overlaps(queries, references, k, n=n, exclude_identical=True, hot=hot)
     order = Window.partitionBy("query_id").orderBy(F.desc("shared"), "ref_id")
     ranked = pairs.withColumn("neighbour", F.row_number().over(order)).where(F.col("neighbour") <= n)
-    keys = queries.select(F.col("first_id").alias("query_id"), digest("sequence").alias("_digest"))
+    keys = queries.select(F.col("first_id").alias("query_id"), F.col("digest").alias("_digest"))
     return (
         df.select(row_id, digest(seq).alias("_digest"))
         .join(keys, "_digest")

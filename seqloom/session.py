@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,10 +22,23 @@ DEFAULTS = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, so that Python tasks can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix="seqloom-")) / PACKAGE.name), "zip", PACKAGE.parent, PACKAGE.name
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime-settable defaults to a session somebody else built."""
     for key, value in DEFAULTS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
@@ -37,6 +55,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
