@@ -11,6 +11,7 @@ from seqloom.operators.curation import curate_pairs, normalisation_bounds, with_
 from seqloom.operators.pools import targets_table
 from seqloom.plans.design import build_pool
 from seqloom.plans.inference import composition_model, predict_properties
+from seqloom.session import stored
 
 PREFIXES = ["src1", "src2", "src3"]
 SET_NAMES = list(TARGETS)
@@ -117,8 +118,8 @@ def attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, folder: str) -> DataFrame:
-    """The scored pool of all parsed attempts."""
-    return build_pool(attempts(spark, folder), targets_table(spark), known(spark, folder), predict_properties)
+    """The scored pool of all parsed attempts, stored once so that no reader runs the model again."""
+    return stored(build_pool(attempts(spark, folder), targets_table(spark), known(spark, folder), predict_properties))
 
 
 def rescored_pool(spark: SparkSession, folder: str) -> DataFrame:

@@ -63,16 +63,24 @@ def continuation(text, prompt) -> Column:
 
 def bracketed(text) -> Column:
     """Contents of the first [...] group; NULL when absent or unterminated."""
+
+    def contents(x: Column) -> Column:
+        return F.when((x["open"] > 0) & (x["length"] > 0), F.substr(x["text"], x["open"] + 1, x["length"] - 1))
+
+    def closed(x: Column) -> Column:
+        length = F.locate("]", F.substr(x["text"], x["open"] + 1))
+        return let(F.struct(x["text"].alias("text"), x["open"].alias("open"), length.alias("length")), contents)
+
     text = _col(text)
-    opening = F.instr(text, "[")
-    closing = F.locate("]", F.substr(text, opening + 1))
-    return F.when((opening > 0) & (closing > 0), F.substr(text, opening + 1, closing - 1))
+    return let(text, lambda t: let(F.struct(t.alias("text"), F.instr(t, "[").alias("open")), closed))
 
 
 def parse_float(text) -> Column:
     """Double, or NULL for anything that is not a plain number text."""
-    text = strip(_col(text))
-    return F.when(F.rlike(text, F.lit(FLOAT_PATTERN)), F.replace(text, F.lit("_"), F.lit(""))).try_cast("double")
+    return let(
+        strip(_col(text)),
+        lambda t: F.when(F.rlike(t, F.lit(FLOAT_PATTERN)), F.replace(t, F.lit("_"), F.lit(""))).try_cast("double"),
+    )
 
 
 def parse_vector(text) -> Column:
@@ -96,10 +104,11 @@ def parse_solubility(text) -> Column:
 
 def answer_status(text) -> Column:
     """'parsed', 'unparseable' (no bracket group) or 'invalid_aa' (group present, not a sequence)."""
-    return (
-        F.when(bracketed(text).isNull(), "unparseable")
-        .when(parse_sequence(text).isNull(), "invalid_aa")
-        .otherwise("parsed")
+    return let(
+        bracketed(text),
+        lambda b: F.when(b.isNull(), "unparseable")
+        .when(F.rlike(strip(b), F.lit(f"^[{RESIDUES}]+$")), "parsed")
+        .otherwise("invalid_aa"),
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from seqloom.functions.hashing import let
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -14,7 +16,7 @@ def total(values: Column) -> Column:
 
 
 def average(values: Column) -> Column:
-    return total(values) / F.nullif(F.size(values), F.lit(0))
+    return let(values, lambda v: total(v) / F.nullif(F.size(v), F.lit(0)))
 
 
 def differences(a, b) -> Column:
@@ -23,29 +25,33 @@ def differences(a, b) -> Column:
 
 def spread(target) -> Column:
     """Sum of squared deviations from the vector's own mean."""
-    target = _col(target)
-    centred = F.transform(F.array(average(target)), lambda m: total(F.transform(target, lambda x: (x - m) * (x - m))))
-    return F.get(centred, F.lit(0))
+
+    def squares(t: Column) -> Column:
+        return let(average(t), lambda m: total(F.transform(t, lambda x: (x - m) * (x - m))))
+
+    return let(_col(target), squares)
 
 
 def r2_within(target, predicted) -> Column:
     """R2 over the entries of one vector; a constant target scores 1 when matched, else 0.
     Arrays of different sizes fail the job."""
-    target, predicted = _col(target), _col(predicted)
-    residual = total(F.transform(differences(target, predicted), lambda d: d * d))
-    sums = F.struct(residual.alias("res"), spread(target).alias("tot"))
 
-    def score(s: Column) -> Column:
-        return F.when(s["tot"] == 0, F.when(s["res"] == 0, 1.0).otherwise(0.0)).otherwise(
-            1.0 - s["res"] / F.when(s["tot"] != 0, s["tot"])
+    def score(v: Column) -> Column:
+        residual = total(F.transform(differences(v["t"], v["p"]), lambda d: d * d))
+        sums = F.struct(residual.alias("res"), spread(v["t"]).alias("tot"))
+        value = let(
+            sums,
+            lambda s: F.when(s["tot"] == 0, F.when(s["res"] == 0, 1.0).otherwise(0.0)).otherwise(
+                1.0 - s["res"] / F.nullif(s["tot"], F.lit(0.0))
+            ),
+        )
+        return (
+            F.when(v["t"].isNull() | v["p"].isNull(), F.lit(None).cast("double"))
+            .when(F.size(v["t"]) == F.size(v["p"]), value)
+            .otherwise(F.raise_error(F.lit("shape mismatch between target and prediction")))
         )
 
-    value = F.get(F.transform(F.array(sums), score), F.lit(0))
-    return (
-        F.when(target.isNull() | predicted.isNull(), F.lit(None).cast("double"))
-        .when(F.size(target) == F.size(predicted), value)
-        .otherwise(F.raise_error(F.lit("shape mismatch between target and prediction")))
-    )
+    return let(F.struct(_col(target).alias("t"), _col(predicted).alias("p")), score)
 
 
 def mae(target, predicted) -> Column:
@@ -66,8 +72,8 @@ def all_within(a, b, tolerance: float) -> Column:
 
 
 def is_finite(value) -> Column:
-    value = _col(value)
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    """A usable number: neither NULL nor infinite nor NaN, which orders above infinity."""
+    return F.coalesce(F.abs(_col(value)) < float("inf"), F.lit(False))
 
 
 def rescale(value: Column, low: Column, high: Column) -> Column:

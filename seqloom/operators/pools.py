@@ -87,7 +87,7 @@ def reliable(n, size) -> Column:
 
 def _with_grid(counts: DataFrame, grid: list[int], capped: bool) -> DataFrame:
     gridded = counts.withColumn("n_draws", F.explode(F.array(*[F.lit(n) for n in grid])))
-    return gridded.where(reliable("n_draws", "total")) if capped else gridded
+    return gridded.where(reliable("n_draws", "total") if capped else F.col("n_draws") <= F.col("total"))
 
 
 def best_of_n(

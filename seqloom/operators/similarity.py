@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions.hashing import digest
 from seqloom.functions.residues import kmer_set
-from seqloom.session import checkpointed
+from seqloom.session import stored
 
 HOT_REFERENCES = 1000
 BLOCK_POSTINGS = 2_000_000
@@ -106,7 +106,7 @@ def overlaps(
     r = _indexed(references, "ref_id", "n_ref", k)
     holders = r.groupBy("kmer").agg(F.count("*").alias("_holders"))
     # Few rows (all postings over `hot` at most), used several times below.
-    hot_kmers = checkpointed(holders.where(F.col("_holders") > hot).select("kmer"))
+    hot_kmers = stored(holders.where(F.col("_holders") > hot).select("kmer"))
     any_hot = not hot_kmers.isEmpty()
 
     rare_pairs = (

@@ -15,7 +15,7 @@ from seqloom.operators.pools import best_rows
 from seqloom.operators.ranking import percentiles
 from seqloom.operators.similarity import flag_novel, nearest_neighbours
 from seqloom.plans.inference import design_rows
-from seqloom.session import checkpointed
+from seqloom.session import stored
 
 Predict = Callable[[DataFrame, str], DataFrame]
 
@@ -42,7 +42,7 @@ def build_pool(attempts: DataFrame, targets: DataFrame, known: DataFrame, predic
 def best_with_neighbours(pool: DataFrame, known: DataFrame, n: int = 2, known_id: str = "known_id") -> DataFrame:
     """The best candidate of every set and its nearest known sequences: (set, name, role, sequence, containment)."""
     # One row per set: written out once, so that the pool is not scored again for every use.
-    best = checkpointed(best_rows(pool).select("set", "sequence"))
+    best = stored(best_rows(pool).select("set", "sequence"))
     neighbours = nearest_neighbours(best, known, "set", known_id=known_id, n=n)
     named = neighbours.join(known.select(F.col(known_id).alias("ref_id"), "sequence"), "ref_id").select(
         "set",
@@ -53,7 +53,7 @@ def best_with_neighbours(pool: DataFrame, known: DataFrame, n: int = 2, known_id
     generated = best.select(
         "set", F.concat("set", F.lit("_gen")).alias("name"), F.lit("generated").alias("role"), "sequence"
     )
-    return checkpointed(generated.unionByName(named, allowMissingColumns=True))
+    return stored(generated.unionByName(named, allowMissingColumns=True))
 
 
 def described_specimens(specimens: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
-"""Session defaults and the shared folder for checkpoints."""
+"""Session defaults, package shipping, and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import shutil
 import tempfile
 from pathlib import Path
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -60,7 +61,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", shuffle_partitions:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder only where none is named."""
+    """The cluster's shared folder; a scratch folder only where none is named, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
@@ -71,9 +72,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fresh
 
 
-def checkpointed(df):
-    """Materialise `df` in the shared folder, so that later steps read it rather than recompute it."""
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it back: later steps scan the columns they need
+    instead of recomputing, and a lost executor costs a re-read."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/seqloom-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -38,10 +38,15 @@ def normal(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
     return [columns[i] for i in order], sorted(plain, key=lambda r: tuple((v is not None, str(type(v)), v) for v in r))
 
 
+TIMES = {"spark": 0.0}
+
+
 def difference(spark, con, entry, folder: Path) -> str | None:
     """None when both sides agree exactly, else a short account of the first difference."""
     df = entry.run(spark, str(folder))
+    begun = time.time()
     columns, got = normal(df.columns, [tuple(r) for r in df.collect()])
+    TIMES["spark"] = time.time() - begun
     if entry.oracle() is None:
         return None if got else "no rows"
     cursor = con.execute(entry.oracle())
@@ -71,4 +76,4 @@ if __name__ == "__main__":
             verdict = difference(spark, con, known[name], folder)
         except Exception as error:
             verdict = f"{type(error).__name__}: {str(error)[:1800]}"
-        print(f"{'ok  ' if verdict is None else 'FAIL'} {name} {time.time() - begun:.1f}s {'' if known[name].sql else '(no sql) '}{verdict or ''}", flush=True)
+        print(f"{'ok  ' if verdict is None else 'FAIL'} {name} {time.time() - begun:.1f}s (spark run {TIMES['spark']:.1f}s) {'' if known[name].sql else '(no sql) '}{verdict or ''}", flush=True)
