@@ -24,6 +24,7 @@ from seqloom.functions.vectors import r2_within
 from seqloom.operators.curation import long_vector, property_name
 from seqloom.operators.ranking import spread_ranks
 from seqloom.operators.scoring import r2_across
+from seqloom.session import use_checkpoints
 
 PENALTIES = np.logspace(-3, 4, 30)
 SALTS = 32
@@ -242,6 +243,7 @@ def gbm_predictions(df: DataFrame, features: str = "features", target: str = "ta
                     held_out: bool = True) -> DataFrame:
     """The same two predictions from gradient-boosted trees, one ensemble per slot and training set."""
     slots = list(range(len(PROPERTIES))) if slots is None else slots
+    use_checkpoints(df.sparkSession)
     data = df.withColumn("_v", array_to_vector(features))
     folds = [r[fold] for r in data.select(fold).distinct().collect()] if held_out else []
     for slot in slots:

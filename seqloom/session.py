@@ -72,6 +72,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fresh
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """Let iterative fits cut their lineage in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: later steps scan the columns they need
     instead of recomputing, and a lost executor costs a re-read."""
