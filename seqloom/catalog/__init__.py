@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
 from importlib import import_module
 
 MODULES = [
@@ -14,7 +13,6 @@ MODULES = [
 def entries() -> dict:
     out = {}
     for module in MODULES:
-        if not (Path(__file__).parent / f"{module}.py").exists(): continue
         for name, entry in import_module(f"seqloom.catalog.{module}").ENTRIES.items():
             if name in out:
                 raise ValueError(f"two queries named {name}")

@@ -11,7 +11,6 @@ from pyspark.sql.types import IntegerType
 from seqloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
-DECIMALS = 6
 
 
 @dataclass(frozen=True)
@@ -22,16 +21,17 @@ class Entry:
     query: Query
     sql: str | None = None
     doubles: list[str] = field(default_factory=list)
+    decimals: int = 6
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
         df = self.query(tune(spark), folder)
         # Adding 0.0 turns a rounded -0.0 into 0.0.
-        fixes = {c: F.round(F.col(c), DECIMALS) + F.lit(0.0) for c in self.doubles}
+        fixes = {c: F.round(F.col(c), self.decimals) + F.lit(0.0) for c in self.doubles}
         fixes |= {f.name: F.col(f.name).cast("bigint") for f in df.schema if isinstance(f.dataType, IntegerType)}
         return df.withColumns(fixes) if fixes else df
 
     def oracle(self) -> str | None:
         if self.sql is None or not self.doubles:
             return self.sql
-        rounded = ", ".join(f'round("{c}", {DECIMALS}) + 0.0 AS "{c}"' for c in self.doubles)
+        rounded = ", ".join(f'round("{c}", {self.decimals}) + 0.0 AS "{c}"' for c in self.doubles)
         return f"SELECT * REPLACE ({rounded}) FROM (\n{self.sql}\n)"

@@ -194,12 +194,15 @@ def point_mutation(seq, seed, row_id) -> Column:
     return let(position, lambda i: F.when(i.isNull(), none).otherwise(swap(i)))
 
 
-def edit_panel(df: DataFrame, seq: str, row_id: str, seed: int, keep: list[str] | None = None) -> DataFrame:
+def edit_panel(
+    df: DataFrame, seq: str, row_id: str, seed: int, keep: list[str] | None = None, motifs: dict[str, str] | None = None,
+) -> DataFrame:
     """Explode each sequence into its applicable edits: (ablation, edited, n_changed).
 
     A motif contributes its knockout, both controls and the substitution only where it occurs;
     the termini/core pair only where the sequence is longer than the two ends.
     """
+    motifs = {m: CANONICAL_MOTIFS[m] for m in KNOCKOUT_MOTIFS} if motifs is None else motifs
     s, key = F.col(seq), F.col(row_id)
     n = F.length(s)
 
@@ -212,8 +215,8 @@ def edit_panel(df: DataFrame, seq: str, row_id: str, seed: int, keep: list[str]
         edit("shuffle_blocks", shuffle_blocks(s, seed, key), n),
         edit("reverse", reverse_sequence(s), n),
     ]
-    for motif in KNOCKOUT_MOTIFS:
-        pattern, removed = CANONICAL_MOTIFS[motif], F.col(f"_removed_{motif}")
+    for motif, pattern in motifs.items():
+        removed = F.col(f"_removed_{motif}")
         tag = F.lit(motif)
         rows += [
             edit(f"knockout_{motif}", knockout_delete(s, pattern), removed, removed > 0),
@@ -232,7 +235,7 @@ def edit_panel(df: DataFrame, seq: str, row_id: str, seed: int, keep: list[str]
     rows.append(
         let(mutated, lambda m: edit("point_mutation", m["edited"], F.lit(1), m["position"] >= 0))
     )
-    removed = [matched_residues(s, CANONICAL_MOTIFS[m]).alias(f"_removed_{m}") for m in KNOCKOUT_MOTIFS]
+    removed = [matched_residues(s, p).alias(f"_removed_{m}") for m, p in motifs.items()]
     kept = keep if keep is not None else df.columns
     return (
         df.select("*", *removed)

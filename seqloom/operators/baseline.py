@@ -90,22 +90,54 @@ def with_folds(df: DataFrame, row_id: str, k: int, seed: int = SEED) -> DataFram
     ).drop("_r")
 
 
-def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+def _deal(sizes: list[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """Greedy dealing of groups, given (size, number of groups) largest first: each group goes to the
+    fold with the fewest rows. Groups of one size are dealt in cycles over the folds that lag, so the
+    result is a few (size, first position, cycle of folds) rules rather than one entry per group."""
+    loads, rules = [0] * k, []
+    for size, n_groups in sizes:
+        done = 0
+        while done < n_groups:
+            order = sorted(range(k), key=lambda f: (loads[f], f))
+            lowest = loads[order[0]]
+            cycle = [f for f in order if loads[f] < lowest + size]
+            waiting = [loads[f] for f in order if loads[f] >= lowest + size]
+            left = n_groups - done
+            rounds = max(1, (waiting[0] - lowest) // size) if waiting else -(-left // len(cycle))
+            dealt = min(rounds * len(cycle), left)
+            rules.append((size, done, cycle))
+            for i, f in enumerate(cycle):
+                loads[f] += size * (dealt // len(cycle) + (1 if i < dealt % len(cycle) else 0))
+            done += dealt
+    return rules
+
+
+def group_folds(df: DataFrame, group: str, k: int, seed: int = SEED) -> DataFrame:
     """(group, fold): whole groups, the largest first, each to the fold with the fewest rows.
 
-    The assignment is sequential by nature, so it runs over one counted row per group."""
-    counts = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group)
-    loads = np.zeros(k, dtype="int64")
-    assigned = []
-    for row in counts.toLocalIterator():
-        fold = int(loads.argmin())
-        loads[fold] += row["n"]
-        assigned.append((row[group], fold))
-    return df.sparkSession.createDataFrame(assigned, df.select(group).schema.add("fold", "int"))
+    Only the histogram of group sizes reaches the driver; groups of one size are dealt by their
+    position in a random order, so their number may grow with the data."""
+    counts = df.groupBy(group).agg(F.count("*").alias("_size"))
+    histogram = counts.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).collect()
+    rules = [(size, first, cycle) for size, first, cycle in _deal([(r["_size"], r["n"]) for r in histogram], k)]
+    following = {}
+    for (size, first, _), after in zip(rules, rules[1:] + [(None, None, None)]):
+        following[(size, first)] = after[1] if after[0] == size else None
+    table = df.sparkSession.createDataFrame(
+        [(size, first, following[(size, first)], cycle) for size, first, cycle in rules],
+        "_size bigint, _first bigint, _next bigint, _cycle array<int>",
+    )
+    placed = spread_ranks(counts, group, F.lit(seed), F.lit("group"), rank="_position", groups=["_size"])
+    position = F.col("_position")
+    ruled = placed.join(table, "_size").where(
+        (position >= F.col("_first")) & (F.col("_next").isNull() | (position < F.col("_next")))
+    )
+    index = F.pmod(position - F.col("_first"), F.size("_cycle")).cast("int")
+    return ruled.select(group, F.get("_cycle", index).alias("fold"))
 
 
-def with_group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
-    return df.join(group_folds(df, group, k), group)
+def with_group_folds(df: DataFrame, group: str, k: int, seed: int = SEED) -> DataFrame:
+    return df.join(group_folds(df, group, k, seed), group)
 
 
 # --- Mean predictor ---------------------------------------------------------------------
@@ -194,7 +226,8 @@ def fit_ridge(df: DataFrame, n_features: int, features: str = "features", target
             for f, part in pdf.groupby("fold"):
                 m = np.hstack([_stack(part["x"]), _stack(part["y"]), np.ones((len(part), 1))])
                 sums[f] = sums.get(f, 0) + m.T @ m
-        yield pd.DataFrame({"fold": list(sums), "payload": [g.ravel() for g in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"fold": list(sums), "payload": [g.ravel() for g in sums.values()]})
 
     width = n_features + len(PROPERTIES) + 1
     partial = columns.mapInPandas(gram, "fold int, payload array<double>").withColumn("part", F.spark_partition_id())
@@ -211,7 +244,8 @@ def fit_ridge(df: DataFrame, n_features: int, features: str = "features", target
                 for held_out, model in shared.value.items():
                     if held_out != f:
                         sums[held_out] = sums.get(held_out, 0) + model.loo_errors(x, y)
-        yield pd.DataFrame({"model": list(sums), "payload": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"model": list(sums), "payload": list(sums.values())})
 
     scored = columns.mapInPandas(errors, "model int, payload array<double>").withColumn("part", F.spark_partition_id())
     for held_out, loss in _sum_by(scored, "model").items():

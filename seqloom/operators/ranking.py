@@ -75,16 +75,18 @@ def percentiles(df: DataFrame, groups: list[str], value: str, named: dict[str, f
     return counts.agg(*aggregates)
 
 
-def spread_ranks(df: DataFrame, row_id: str, *seed, rank: str = "rank") -> DataFrame:
-    """0-based position of every row in a uniform random order, without one task seeing all rows."""
+def spread_ranks(df: DataFrame, row_id: str, *seed, rank: str = "rank", groups: list[str] | None = None) -> DataFrame:
+    """0-based position of every row in a uniform random order, over all rows or within groups,
+    without one task seeing a whole group."""
+    groups = groups or []
     keyed = df.withColumn("_h", draw_hex(*seed, F.col(row_id)))
     keyed = keyed.withColumn("_prefix", F.substring("_h", 1, HEX_PREFIX))
-    sizes = keyed.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(1)).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = Window.partitionBy("_prefix").orderBy("_h", row_id)
+    sizes = keyed.groupBy(*groups, "_prefix").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(groups or [F.lit(1)])).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*groups, "_prefix", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = Window.partitionBy(*groups, "_prefix").orderBy("_h", row_id)
     return (
-        keyed.join(offsets, "_prefix")
+        keyed.join(offsets, [*groups, "_prefix"])
         .withColumn(rank, F.col("_before") + F.row_number().over(local) - 1)
         .drop("_h", "_prefix", "_before")
     )
