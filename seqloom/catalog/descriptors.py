@@ -132,7 +132,7 @@ extra AS (SELECT doc_id, sum(w) AS total FROM pairs2 LEFT JOIN (VALUES {_WEIGHTS
 SELECT doc_id, length(sequence) AS length, CASE WHEN sequence = '' THEN 'non_standard' ELSE 'ok' END AS status,
        {_weight('sequence')} AS molecular_weight, 10.0 * coalesce(total, 0) / nullif(length(sequence), 0) AS instability_index,
        ({_sum(HYDROPATHY)}) / nullif(length(sequence), 0) AS gravy, {count('sequence', 'FWY')} / nullif(length(sequence), 0) AS aromaticity
-FROM seqs LEFT JOIN extra USING (doc_id)"""), ["molecular_weight", "instability_index", "gravy", "aromaticity"]),
+FROM seqs LEFT JOIN extra USING (doc_id)"""), ["instability_index"], decimals=8),
     "isoelectric_points": Entry(isoelectric_points, f"""
 WITH RECURSIVE {SEQS},
 inputs AS MATERIALIZED (

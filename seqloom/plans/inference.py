@@ -107,7 +107,8 @@ def answers(prompt: Column, seed: Column, factory: ModelFactory, batch_size: int
                     texts[i] = text
             yield pd.Series(texts, dtype="object")
 
-    return generate(prompt, seed)
+    # Declared non-deterministic so that no filter or projection makes the planner call it twice.
+    return generate.asNondeterministic()(prompt, seed)
 
 
 def with_answer(df: DataFrame, prompt: Column, factory: ModelFactory, seed: Column | None = None,
