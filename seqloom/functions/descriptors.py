@@ -12,6 +12,7 @@ from seqloom.fixed import (
     N_TERMINUS_PK_BY_RESIDUE, NEGATIVE_PK, PI_HIGH, PI_LOW, PI_START, PI_WIDTH, POSITIVE_PK, RESIDUE_MASS,
     RESIDUES, UNKNOWN_RESIDUE_MASS, WATER_MASS,
 )
+from seqloom.functions.hashing import let
 from seqloom.functions.residues import is_standard, letter_count, structure_corrected, structure_legacy
 
 
@@ -29,13 +30,6 @@ def pair_weights() -> dict[str, float]:
     return table
 
 
-def _pairs_pattern(pairs: list[str]) -> str:
-    followers: dict[str, str] = {}
-    for first, second in pairs:
-        followers[first] = followers.get(first, "") + second
-    return "|".join(f"{a}(?=[{b}])" for a, b in followers.items())
-
-
 def molecular_weight(n: Column, counts: dict[str, Column]) -> Column:
     """Sum of residue masses less one water per bond; NULL when empty."""
     mass = _total(counts[a] * F.lit(RESIDUE_MASS[a]) for a in RESIDUES)
@@ -47,15 +41,20 @@ def gravy(n: Column, counts: dict[str, Column]) -> Column:
 
 
 def instability_index(seq) -> Column:
-    """10/n times the dipeptide weights, counted with one regex pass per distinct weight."""
-    by_weight: dict[float, list[str]] = {}
-    for pair, weight in pair_weights().items():
-        by_weight.setdefault(weight, []).append(pair)
-    n = F.length(seq)
-    extra = _total(
-        F.regexp_count(seq, F.lit(_pairs_pattern(by_weight[w]))) * F.lit(w - 1.0) for w in sorted(by_weight)
-    )
-    return F.lit(10.0) * (extra + (n - 1)) / F.nullif(n, F.lit(0))
+    """10/n times the sum of the dipeptide weights, looked up by the two residues' positions."""
+    weights = pair_weights()
+    table = F.array(*[F.lit(weights.get(a + b, 1.0)) for a in RESIDUES for b in RESIDUES])
+    codes = F.transform(F.split(seq, ""), lambda c: F.instr(F.lit(RESIDUES), c) - 1)
+
+    def weigh(x: Column) -> Column:
+        n = F.size(x["codes"])
+        pairs = F.zip_with(
+            F.slice(x["codes"], F.lit(1), n - 1), F.slice(x["codes"], F.lit(2), n - 1),
+            lambda a, b: F.get(x["table"], a * len(RESIDUES) + b),
+        )
+        return F.lit(10.0) * F.aggregate(pairs, F.lit(0.0), lambda acc, w: acc + w) / n
+
+    return F.when(F.length(seq) > 0, let(F.struct(codes.alias("codes"), table.alias("table")), weigh))
 
 
 def _terminus_pk(letter: Column, default: float, by_residue: dict[str, float]) -> Column:
