@@ -81,7 +81,7 @@ def read_bounds(spark: SparkSession, path: str) -> DataFrame:
     """One row (lows, highs) from a JSON object of eight [low, high] pairs."""
     if not _present(spark, path):
         raise MissingInput(f"{path} not found")
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.from_json("value", "map<string, array<double>>").alias("m"))
     entries = [F.try_element_at("m", F.lit(p)) for p in PROPERTIES]
 
