@@ -27,7 +27,7 @@ def _reordered(pieces: Column, *seed) -> Column:
     keyed = F.transform(
         pieces, lambda piece, i: F.struct(draw_hex(*seed, i).alias("h"), i.alias("i"), piece.alias("p"))
     )
-    return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["p"]), "")
+    return F.array_join(F.transform(F.sort_array(keyed), lambda x: x["p"]), "")
 
 
 def shuffle_residues(seq, seed, row_id) -> Column:
@@ -64,7 +64,7 @@ def scattered_deletion(seq, n_remove, seed, row_id, *salt) -> Column:
     )
 
     def drop(x: Column) -> Column:
-        ranked = F.array_sort(F.transform(x["k"], lambda e: F.struct(e["h"].alias("h"), e["i"].alias("i"))))
+        ranked = F.sort_array(F.transform(x["k"], lambda e: F.struct(e["h"].alias("h"), e["i"].alias("i"))))
         return let(
             F.struct(F.element_at(ranked, x["n"]).alias("last"), x["k"].alias("k")),
             lambda y: F.array_join(

@@ -124,7 +124,7 @@ def scheme_agreement(votes: DataFrame, first: str, second: str) -> DataFrame:
     sets = votes.agg(chosen(first).alias("a"), chosen(second).alias("b"))
 
     def text(members):
-        return F.array_join(F.array_sort(members), "")
+        return F.array_join(F.sort_array(members), "")
 
     return sets.select(
         text(F.array_intersect("a", "b")).alias("agreed"),

@@ -16,7 +16,7 @@ def glyph_lines(glyphs: DataFrame, groups: list[str], x_range: tuple[float, floa
     if x_range is not None:
         visible = visible.where((F.col("x0") >= x_range[0]) & (F.col("x0") < x_range[1]))
     return visible.groupBy(*groups, F.bround("top", 0).alias("line")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda g: g["text"]), "").alias("text")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda g: g["text"]), "").alias("text")
     )
 
 
@@ -56,7 +56,7 @@ def cut_lines(lines: DataFrame, expected: DataFrame, document: str, order: list[
         )
     )
     return pieces.groupBy(document, "id", "length").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_low", "_piece"))), lambda p: p["_piece"]), "").alias(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_low", "_piece"))), lambda p: p["_piece"]), "").alias(
             "sequence"
         )
     ).withColumn("complete", F.length("sequence") == F.col("length"))
