@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from seqloom.llm.token_counts import op6_token_counts
+from seqloom.llm.word_shuffle import op10_word_shuffle_bpe
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op6_token_counts,)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op6_token_counts, op10_word_shuffle_bpe)}
 SQL: dict[str, str] = {}
