@@ -185,36 +185,36 @@ def op2_line_frequency(spark, folder):
 
 BLANK = r"[ \t\n\x0B\f\r]"
 OP2_SQL = rf"""
-WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, source FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, source FROM documents),
 words AS (
-  SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS at
-  FROM (SELECT row, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM docs)),
+  SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+  FROM (SELECT rid, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM docs)),
 windows AS (
-  SELECT row, at, word || chr(10) || lead(word, 1) OVER o || chr(10) || lead(word, 2) OVER o || chr(10) || lead(word, 3) OVER o || chr(10) || lead(word, 4) OVER o AS gram
-  FROM words WINDOW o AS (PARTITION BY row ORDER BY at)),
+  SELECT rid, pos, word || chr(10) || lead(word, 1) OVER o || chr(10) || lead(word, 2) OVER o || chr(10) || lead(word, 3) OVER o || chr(10) || lead(word, 4) OVER o AS gram
+  FROM words WINDOW o AS (PARTITION BY rid ORDER BY pos)),
 twice AS (
-  SELECT row, at FROM (SELECT row, at, count(*) OVER (PARTITION BY row, gram) AS n FROM windows WHERE gram IS NOT NULL) WHERE n > 1),
-covered AS (SELECT row, count(DISTINCT at + k) AS n FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY row),
-lines AS (SELECT row, source, text, unnest(string_split(text, chr(10))) AS line FROM docs),
+  SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, gram) AS n FROM windows WHERE gram IS NOT NULL) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT pos + k) AS n FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY rid),
+lines AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM docs),
 filled AS (
-  SELECT row, source, text, line, trim(regexp_replace(regexp_replace(
+  SELECT rid, source, text, line, trim(regexp_replace(regexp_replace(
     translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[1-9]', '0', 'g'), '{BLANK}+', ' ', 'g')) AS normal,
     len(regexp_extract_all(line, '[^ \t\n\x0B\f\r]+')) AS n
   FROM lines WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
-per_text AS (SELECT row, count(*) - count(DISTINCT line) AS dups FROM filled GROUP BY row),
+per_text AS (SELECT rid, count(*) - count(DISTINCT line) AS dups FROM filled GROUP BY rid),
 hosts AS (SELECT source, count(DISTINCT text) AS docs FROM docs GROUP BY source),
 counts AS (SELECT source, normal, count(DISTINCT text) AS n FROM filled GROUP BY source, normal),
 frequent AS (
   SELECT c.source, c.normal FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
   WHERE c.n > {LEAST} AND c.n > {SHARE} * h.docs),
 removed AS (
-  SELECT row, sum(n) AS n FROM filled f JOIN frequent q ON f.source IS NOT DISTINCT FROM q.source AND f.normal = q.normal GROUP BY row),
+  SELECT rid, sum(n) AS n FROM filled f JOIN frequent q ON f.source IS NOT DISTINCT FROM q.source AND f.normal = q.normal GROUP BY rid),
 measured AS (
   SELECT d.doc_id, len(regexp_extract_all(d.text, '[^ \t\n\x0B\f\r]+'))::BIGINT AS n_words,
     length(regexp_replace(d.text, '{BLANK}', '', 'g'))::BIGINT AS word_chars,
     len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     coalesce(p.dups, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(r.n, 0)::BIGINT AS removed_words
-  FROM docs d LEFT JOIN per_text p USING (row) LEFT JOIN covered c USING (row) LEFT JOIN removed r USING (row)),
+  FROM docs d LEFT JOIN per_text p USING (rid) LEFT JOIN covered c USING (rid) LEFT JOIN removed r USING (rid)),
 judged AS (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {BASE_REPEATS} * n_words AS base_failed FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
   NOT base_failed AND n_words - removed_words >= {WORDS_LEFT} AND n_words - removed_words >= {SHARE_LEFT} * n_words AS kept

@@ -106,10 +106,10 @@ def best(scores: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np.
 
 def searched(routes: DataFrame, index: DataFrame, top: int) -> DataFrame:
     """Top candidates of each route: (query, annulus) pairs meet in groups of one annulus and one block of queries."""
-    block = F.pmod(F.xxhash64("query_id"), F.ceil(F.count("*").over(Window.partitionBy("annulus")) / BLOCK))
-    routes = routes.withColumn("block", block)
-    wanted = routes.select("annulus", "block").distinct()
-    held = index.join(wanted, "annulus")
+    blocks = routes.groupBy("annulus").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    routed = routes.join(blocks, "annulus").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks")).drop("blocks")
+    wanted = blocks.select(F.col("annulus").alias("place"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("part"))
+    held = index.select("vec_id", "v", "distance", F.col("annulus").alias("place")).join(wanted, "place")
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         queries, vectors = left, right.sort_by("vec_id")
@@ -126,8 +126,8 @@ def searched(routes: DataFrame, index: DataFrame, top: int) -> DataFrame:
         real = np.isfinite(got)
         return pa.table({"query_id": pa.array(np.repeat(of, real.sum(axis=1))), "vec_id": pa.array(near[real]), "score": pa.array(got[real].astype(np.int64))})
 
-    keys = ["annulus", "block"]
-    return routes.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(lambda left, right: pair(left, right), "query_id bigint, vec_id bigint, score bigint")
+    groups = routed.groupBy("annulus", "block").cogroup(held.groupBy("place", "part"))
+    return groups.applyInArrow(lambda left, right: pair(left, right), "query_id bigint, vec_id bigint, score bigint")
 
 
 def ranked(found: DataFrame, top: int) -> DataFrame:
