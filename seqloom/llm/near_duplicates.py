@@ -5,11 +5,12 @@ collections, so COLLECTIONS * PER_COLLECTION minhashes fill COLLECTIONS * (COLLE
 that use 2 * PER_COLLECTION of them each. Two sets with similarity s agree on a collection with
 probability p = s ** PER_COLLECTION and meet in a table unless fewer than two collections agree.
 
-A table bucket is never expanded into all pairs of its members. Round 1 compares each member with the
-bucket's smallest member only; confirmed links join into components. Later rounds look at buckets whose
-members still lie in several components: small ones compare the members across components, larger ones
-are divided by two more collections (buckets with ever longer keys) until they are small or of one
-component. Candidates that agree on too few minhashes are not compared; the rest is confirmed on full
+A table bucket is never expanded into all pairs of its members. First each member is compared with the
+bucket's first and with the next few in a random order of the bucket; confirmed links join into
+components. Buckets whose members then lie in several components are looked at again: where few pairs
+across components are left for each member, those are compared; other buckets are divided by two more
+collections (ever longer keys), until nothing is left.
+Candidates that agree on too few minhashes are not compared; the rest is confirmed on full
 sets of shingles, whose exact sizes of intersection and union decide.
 """
 
@@ -20,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seqloom.llm.common import documents, map_slices, stored, table
 from seqloom.llm.components import components
@@ -30,8 +31,10 @@ SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 COLLECTIONS, PER_COLLECTION = 14, 2
 #: A candidate must agree on so many of the 28 minhashes; at similarity 0.75, 21 are expected and 1 pair in 100,000 has fewer.
 AGREE = 11
-#: Buckets over several components with this many members are compared across components; larger ones are divided.
-SMALL = 24
+#: Neighbours in the bucket's random order that a member is compared with first; the order runs within parts of PART members.
+RING, PART = 2, 1024
+#: A bucket whose pairs across components come to at most this many for each member has them compared.
+ACROSS = 128
 SEED = 20
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -86,7 +89,7 @@ def minhashes(sets: list[np.ndarray], salts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (two numbers) and its minhashes (32 bits each)."""
+    """doc_id, digest of the text, n_shingles, the set's digest (two numbers) and its minhashes (32 bits each)."""
     salts = mixed(np.arange(1, 1 + COLLECTIONS * PER_COLLECTION, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED))
 
     def work(batch):
@@ -98,12 +101,21 @@ def sketches(docs: DataFrame) -> DataFrame:
             found = mixed(minhashes([sets[i] for i in full], salts)) >> np.uint64(32)
             for i, row in zip(full.tolist(), found.astype(np.int64)):
                 marks[i] = row
-        digests = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-        halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-        return {"doc_id": batch.column("doc_id"), "n_shingles": n, "d1": halves[:, 0].copy(), "d2": halves[:, 1].copy(), "marks": pa.array(marks, pa.list_(pa.int64()))}
+        halves = digests(sets)
+        return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_shingles": n, "d1": halves[:, 0].copy(), "d2": halves[:, 1].copy(), "marks": pa.array(marks, pa.list_(pa.int64()))}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(documents(docs, "doc_id", "text"), work, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, marks array<bigint>")
+    plain = docs.select(docs["doc_id"], docs["text"], text_digest(docs).alias("digest"))
+    return map_slices(plain, work, f"doc_id {kind}, digest bigint, n_shingles bigint, d1 bigint, d2 bigint, marks array<bigint>")
+
+
+def text_digest(docs: DataFrame) -> F.Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits for each set, as two numbers; the first one names its class."""
+    return np.frombuffer(b"".join(xxhash.xxh128_digest(s.tobytes()) for s in sets), dtype="<i8").reshape(-1, 2)
 
 
 def collection(k: int) -> F.Column:
@@ -111,8 +123,8 @@ def collection(k: int) -> F.Column:
 
 
 def with_collections(sets: DataFrame) -> DataFrame:
-    """id, n, the collections' values `c`, and in `shared` (bits) those that another set has, too: only they make keys that meet."""
-    made = sets.select("id", "n", F.array(*(collection(k) for k in range(COLLECTIONS))).alias("c"))
+    """id, doc, the collections' values `c`, and in `shared` (bits) those that another set has, too: only they make keys that meet."""
+    made = sets.select("id", "doc", F.array(*(collection(k) for k in range(COLLECTIONS))).alias("c"))
     single = made.select("id", F.posexplode("c").alias("k", "value"))
     met = single.groupBy("k", "value").agg(F.count("*").alias("size")).where("size > 1").select("k", "value")
     bits = single.join(met, ["k", "value"], "left_semi").groupBy("id").agg(F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("shared"))
@@ -130,9 +142,9 @@ TABLES = [1 << a | 1 << b for a, b in combinations(range(COLLECTIONS), 2)]
 
 
 def table_rows(sets: DataFrame) -> DataFrame:
-    """A row for each set and table: id, n, bucket, and in `held` the collections that its key combines (bits)."""
+    """A row for each set and table: id, doc, bucket, and in `held` the collections that its key combines (bits)."""
     keys = F.filter(F.array(*(keys_of(two, []) for two in TABLES)), lambda t: t.isNotNull())
-    return sets.select("id", "n", F.explode(keys).alias("t")).select("id", "n", "t.bucket", F.col("t.two").alias("held"))
+    return sets.select("id", "doc", F.explode(keys).alias("t")).select("id", "doc", "t.bucket", F.col("t.two").alias("held"))
 
 
 def sized(a: str, b: str) -> F.Column:
@@ -141,11 +153,11 @@ def sized(a: str, b: str) -> F.Column:
 
 
 def agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that agree on enough minhashes."""
-    left = sets.select(F.col("id").alias("a"), F.col("marks").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("marks").alias("y"))
+    """Pairs (a, b) whose sizes allow the similarity and that agree on enough minhashes."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("marks").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("marks").alias("y"))
     same = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, p: s + p)
-    return pairs.join(right, "b").join(left, "a").where(same >= AGREE).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(sized("an", "bn") & (same >= AGREE)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -157,86 +169,108 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return judged.where(DENOMINATOR * F.col("shared") >= NUMERATOR * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The shingles of the documents in `ids`, one row each."""
-    wanted = documents(docs, "doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and shingles of the wanted classes, read from the document with the smallest id of each. Repeated
+    rows of it can give a row more for every slice, which the joins bear."""
+    of = sets.select("id", F.col("doc").alias("doc_id")).join(wanted, "id", "left_semi").select("doc_id").distinct()
+    texts = documents(docs, "doc_id", "text").alias("d").join(of.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
 
     def work(batch):
         sets = shingle_sets(batch.column("text").to_pylist())
-        return {"id": batch.column("doc_id"), "n": np.array([len(s) for s in sets], dtype=np.int64), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+        ids, first = np.unique(digests(sets)[:, 0], return_index=True) if sets else (np.zeros(0, dtype=np.int64), [])
+        return {"id": ids.copy(), "shingles": pa.array([sets[i].view(np.int64) for i in first], pa.list_(pa.int64()))}
 
-    return map_slices(wanted, work, "id bigint, n bigint, shingles array<bigint>")
+    return map_slices(texts, work, "id bigint, shingles array<bigint>").join(wanted, "id", "left_semi")
 
 
 def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between representatives that join up all that are reachable; see the module's text."""
+    """Confirmed links (a, b) between classes that join up all that are reachable; see the module's text."""
     own = stored(with_collections(sets))
     rows = stored(table_rows(own))
-    # A bucket of one is done. Buckets of two are a pair already; larger ones meet at their smallest member.
-    bounds = rows.groupBy("bucket", "held").agg(F.min(F.struct("id", "n")).alias("low"), F.count("*").alias("size")).where("size > 1")
-    bounds = stored(bounds.select("bucket", "held", F.col("low.id").alias("a"), F.col("low.n").alias("an"), "size"))
-    star = rows.join(bounds, ["bucket", "held"]).where((F.col("id") != F.col("a")) & sized("n", "an")).select("a", F.col("id").alias("b")).distinct()
-    tried = stored(agreeing(star, sets))
-    full = stored(full_sets(docs, tried.select(F.col("a").alias("id")).unionAll(tried.select("b")).distinct()))
+    tried = stored(agreeing(first_pairs(rows), sets))
+    full = stored(full_sets(docs, sets, ends(tried)))
     found = stored(confirmed(tried, full))
-    live = rows.join(bounds.where("size > 2").select("bucket", "held"), ["bucket", "held"], "left_semi")
+    live = rows
     for _ in range(COLLECTIONS // 2):
-        labels = stored(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        labels = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
         at = F.coalesce("component", "id").alias("component")
-        placed = live.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "held", "id", "n", at)
-        mixed_buckets = placed.groupBy("bucket", "held").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
-        mixed_buckets = mixed_buckets.where("low < high").select("bucket", "held", "size")
-        placed = stored(placed.join(mixed_buckets, ["bucket", "held"]))
+        placed = live.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "held", "id", "doc", at)
+        # Pairs across components: half of what the squares of the components leave of the bucket's square.
+        per = placed.groupBy("bucket", "held", "component").agg(F.count("*").alias("s"))
+        open_ones = per.groupBy("bucket", "held").agg(F.sum("s").alias("size"), F.sum(F.col("s") * F.col("s")).alias("squares")).where("squares < size * size AND size > 2")
+        open_ones = open_ones.select("bucket", "held", (F.col("size") * F.col("size") - F.col("squares") <= 2 * ACROSS * F.col("size")).alias("few"))
+        placed = stored(placed.join(open_ones, ["bucket", "held"]))
         if placed.isEmpty():
             break
-        few = placed.where(F.col("size") <= SMALL)
-        x, y = few.select("bucket", "held", F.col("id").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac")), few.select("bucket", "held", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-        across = x.join(y, ["bucket", "held"]).where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & sized("an", "bn")).select("a", "b").distinct()
-        many = placed.where(F.col("size") > SMALL)
-        finer = stored(divided(many, own))
-        bounds = finer.groupBy("bucket", "held").agg(F.min(F.struct("id", "n", "component")).alias("low"), F.count("*").alias("size")).where("size > 1")
-        star = finer.join(bounds, ["bucket", "held"]).where((F.col("component") != F.col("low.component")) & sized("n", "low.n"))
-        star = star.select(F.least("id", "low.id").alias("a"), F.greatest("id", "low.id").alias("b"))
-        fresh = stored(agreeing(across.unionByName(star).distinct().join(tried, ["a", "b"], "left_anti"), sets))
+        x = placed.where("few").select("bucket", "held", F.col("id").alias("a"), F.col("component").alias("ac"))
+        y = placed.where("few").select("bucket", "held", F.col("id").alias("b"), F.col("component").alias("bc"))
+        across = x.join(y, ["bucket", "held"]).where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc"))).select("a", "b")
+        live = stored(divided(placed.where("NOT few"), own))
+        fresh = stored(agreeing(across.unionByName(first_pairs(live)).distinct().join(tried, ["a", "b"], "left_anti"), sets))
         tried = tried.unionByName(fresh)
-        missing = fresh.select(F.col("a").alias("id")).unionAll(fresh.select("b")).distinct().join(full.select("id"), "id", "left_anti")
-        full = full.unionByName(stored(full_sets(docs, missing)))
+        missing = ends(fresh).join(full.select("id"), "id", "left_anti")
+        full = full.unionByName(stored(full_sets(docs, sets, stored(missing))))
         found = found.unionByName(stored(confirmed(fresh, full)))
-        live = finer.join(bounds.where("size > 2").select("bucket", "held"), ["bucket", "held"], "left_semi").select("id", "n", "bucket", "held")
     return found
 
 
+def first_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a < b) of each bucket's members with its first (the one with the smallest doc) and with RING neighbours."""
+    bounds = rows.groupBy("bucket", "held").agg(F.min(F.struct("doc", "id")).alias("low"), F.count("*").alias("size")).where("size > 1")
+    met = stored(rows.join(bounds, ["bucket", "held"]).select("bucket", "held", "id", F.col("low.id").alias("first"), "size"))
+    star = met.where(F.col("id") != F.col("first")).select("id", F.col("first").alias("other"))
+    part = F.pmod(F.xxhash64("bucket", "id"), F.ceil(F.col("size") / PART))
+    order = Window.partitionBy("bucket", "held", "part").orderBy(F.xxhash64("id", "bucket"), "id")
+    near = met.where("size > 2").withColumn("part", part).select("id", F.array(*(F.lead("id", k).over(order) for k in range(1, RING + 1))).alias("near"))
+    near = near.select("id", F.explode("near").alias("other"))
+    both = star.unionByName(near.where("other IS NOT NULL"))
+    return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+
+
 def divided(many: DataFrame, own: DataFrame) -> DataFrame:
     """Buckets too large to compare get longer keys: two more collections, in every way there is."""
     keys = F.filter(F.array(*(keys_of(two, [F.col("bucket")]) for two in TABLES)), lambda t: t.isNotNull())
-    rows = many.join(own.drop("n"), "id").select("id", "n", "component", "held", F.explode(keys).alias("t"))
+    rows = many.join(own.drop("doc"), "id").select("id", "doc", "bucket", "held", F.explode(keys).alias("t"))
     rows = rows.where(F.col("held").bitwiseAND(F.col("t.two")) == 0)
-    return rows.select("id", "n", "component", "t.bucket", F.col("held").bitwiseOR(F.col("t.two")).alias("held")).distinct()
+    return rows.select("id", "doc", "t.bucket", F.col("held").bitwiseOR(F.col("t.two")).alias("held")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+    """doc_id, digest (of the text), n_shingles, component_id and kept of every document.
 
     Texts without words (null, empty) have empty sets and are linked with nothing. Texts with one set of
-    shingles form one class, however many they are, and its smallest id stands for it. Repeated rows
-    give repeated results; a null id takes the component of its text, or null where it has none.
+    shingles form one class, however many they are. Repeated rows give repeated results; a null id takes
+    the component of its text, or null where it has none.
     """
     sketch = stored(sketches(docs))
-    classes = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").cast("bigint").alias("id"), F.min("marks").alias("marks"))
-    sets = stored(classes.select("d1", "d2", "id", F.col("n_shingles").alias("n"), "marks"))
-    joined = components(links(docs, sets.select("id", "n", "marks")).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    of_class = sets.join(joined.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    named = sketch.where("n_shingles > 0").join(of_class, ["d1", "d2"], "left").select("doc_id", "n_shingles", "component_id")
-    bare = sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").cast("bigint").alias("component_id"))
+    classes = sketch.where("n_shingles > 0").groupBy("d1", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min("marks").alias("marks"))
+    sets = stored(classes.select(F.col("d1").alias("id"), "doc", F.col("n_shingles").alias("n"), "marks"))
+    joined = components(links(docs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    placed = joined.join(sets.select(F.col("id").alias("node"), "doc"), "node")
+    first = placed.groupBy("component").agg(F.min("doc").alias("first"))
+    of_class = placed.join(first, "component").select(F.col("node").alias("d1"), "first")
+    alone = sets.select(F.col("id").alias("d1"), "doc").join(of_class, "d1", "left").select("d1", F.coalesce("first", "doc").cast("bigint").alias("component_id"))
+    named = sketch.where("n_shingles > 0").join(alone, "d1").select("doc_id", "digest", "n_shingles", "component_id")
+    bare = sketch.where("n_shingles = 0").select("doc_id", "digest", "n_shingles", F.col("doc_id").cast("bigint").alias("component_id"))
     return named.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, all columns; of repeated rows with one id and text, one."""
-    verdict = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    kept = docs.join(verdict.withColumnRenamed("doc_id", "__kept"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    return kept
+    kept = stored(near_duplicates(docs).where("kept").groupBy("doc_id", "digest").count())
+    repeated = keyed(docs, kept.where("count > 1"))
+    return keyed(docs, kept.where("count = 1")).unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+
+
+def keyed(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    d, k = docs.alias("d"), keys.alias("k")
+    on = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("k.digest"))
+    return d.join(k, on, "left_semi")
 
 
 def op9_tensored_minhash(spark, folder):
-    return near_duplicates(table(spark, folder, "documents"))
+    return near_duplicates(table(spark, folder, "documents")).drop("digest")

@@ -186,7 +186,10 @@ def sanitised(docs: DataFrame) -> DataFrame:
     return parted.select(*((made[c] if c in made else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
+def of_kind(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
 def op7_disclosure_sanitising(spark, folder):
     found = personal_data(table(spark, folder, "documents"))
-    number = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *number, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", *map(of_kind, KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
