@@ -16,7 +16,7 @@ from seqloom.operators.agreement import literal_motifs, profile_agreement, relat
 
 def individuals(spark, folder):
     people = assoc.individuals(pairs(spark, folder))
-    return people.select("idv_id", "n_sequences", *PROPERTIES, F.col("fraction_sums")[0].alias("sum_A"))
+    return people.select("idv_id", "n_sequences", *PROPERTIES, *(F.col("fraction_sums")[i].alias(f"sum_{a}") for i, a in enumerate(RESIDUES)))
 
 
 def extreme_individuals(spark, folder):
@@ -74,10 +74,10 @@ def segment_gaps(spark, folder):
     language's first document against the rest."""
     described = with_descriptors(pairs(spark, folder).select("doc_id", "lang", "sequence"), percentages=False)
     first = described.groupBy("lang").agg(F.min("doc_id").alias("_first"))
-    roles = described.join(F.broadcast(first), "lang").withColumn(
+    roles = described.join(first, "lang").withColumn(
         "role", F.when(F.col("doc_id") == F.col("_first"), "generated").otherwise("neighbour1")
     )
-    return relative_gaps(roles, "lang", columns=["molecular_weight", "frac_helix_legacy", "frac_sheet_legacy"])
+    return relative_gaps(roles, "lang")
 
 
 def segment_profiles(spark, folder):
@@ -124,8 +124,8 @@ _MINE = "SELECT coalesce(string_agg(residue, '' ORDER BY residue), '') FROM vote
 _REPORTED = "(" + ", ".join(f"'{a}'" for a in REPORTED_RESIDUES) + ")"
 
 ENTRIES = {
-    "individuals": Entry(individuals, with_(_PEOPLE, 'SELECT idv_id, n_sequences, ' + ", ".join(f'"{p}"' for p in PROPERTIES) + ', sA AS "sum_A" FROM people'),
-                         [*PROPERTIES, "sum_A"]),
+    "individuals": Entry(individuals, with_(_PEOPLE, 'SELECT idv_id, n_sequences, ' + ", ".join(f'"{p}"' for p in PROPERTIES) + ", " + ", ".join(f's{a} AS "sum_{a}"' for a in RESIDUES) + " FROM people"),
+                         [*PROPERTIES, *(f"sum_{a}" for a in RESIDUES)]),
     "extreme_individuals": Entry(extreme_individuals, with_(_ENDS, "SELECT property, side, rank, idv_id, value, n_sequences FROM ends"), ["value"]),
     "end_compositions": Entry(end_compositions, with_(_COMPOSED, "SELECT * FROM composed"), ["fraction"]),
     "composition_difference": Entry(composition_difference, with_(_DIFF, """

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seqloom.fixed import PROPERTIES, SEED, TARGETS
 from seqloom.functions.hashing import draw_int
@@ -86,11 +89,15 @@ def remembered_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _mean_of_run(embedding: Column, slot: int, width: int = 8) -> Column:
+    return reduce(add, (embedding[slot * width + i].cast("double") for i in range(width))) / width
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """(vec_id, label, target, prediction): the first eight entries of every embedding against the
-    mean of its label."""
+    """(vec_id, label, target, prediction): every embedding folded to eight slots (the means of equal runs
+    of its entries) against the mean of its label."""
     truth = table(spark, folder, "embeddings").select(
-        "vec_id", "label", F.slice("embedding", 1, len(PROPERTIES)).cast("array<double>").alias("target")
+        "vec_id", "label", F.array(*(_mean_of_run(F.col("embedding"), slot) for slot in range(len(PROPERTIES)))).alias("target")
     )
     means = truth.groupBy("label").agg(
         F.array(*[F.avg(F.col("target")[i]) for i in range(len(PROPERTIES))]).alias("prediction")

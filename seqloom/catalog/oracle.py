@@ -77,7 +77,7 @@ pred AS MATERIALIZED (
                  THEN [round(x, 3) for x in target] ELSE {prediction('sequence')} END AS prediction
   FROM norm)"""
 
-VECTORS = f"""truth AS MATERIALIZED (SELECT vec_id, label, embedding[1:8]::DOUBLE[] AS target FROM embeddings),
+VECTORS = f"""truth AS MATERIALIZED (SELECT vec_id, label, [{', '.join('(' + ' + '.join(f'embedding[{8 * s + e}]::DOUBLE' for e in range(1, 9)) + ') / 8' for s in range(8))}] AS target FROM embeddings),
 vecs AS MATERIALIZED (
   SELECT vec_id, label, target, prediction FROM truth JOIN (
     SELECT label, [{', '.join(f'avg(target[{i}])' for i in range(1, 9))}] AS prediction FROM truth GROUP BY label

@@ -49,7 +49,7 @@ def best_of_n_bootstrap(spark, folder):
 def best_of_n_matrix(spark, folder):
     """Mean best of n with one column per n."""
     curve = pools.best_of_n(pools.scoreable(pool(spark, folder)), capped=False)
-    return curve.groupBy("set").pivot("n_draws", [1, 2, 4, 8]).agg(F.first("mean"))
+    return curve.groupBy("set").pivot("n_draws", CANDIDATE_GRID).agg(F.first("mean"))
 
 
 def prices_best_of_n(spark, folder):
@@ -165,8 +165,8 @@ SELECT "set", n_draws::BIGINT AS n_draws, count(*) AS n_replicates, avg(r2) AS m
        quantile_cont(r2, 0.05) AS p05, quantile_cont(r2, 0.5) AS p50, quantile_cont(r2, 0.95) AS p95
 FROM draws JOIN ranked USING ("set", rank) GROUP BY "set", n_draws"""), _CURVE_COLUMNS),
     "best_of_n_matrix": Entry(best_of_n_matrix, with_(f"{POOL},\n" + _curve("scored", '"set"', "r2", _UNCAPPED), 'SELECT "set", ' + ", ".join(
-        f'max(mean) FILTER (WHERE n_draws = {n}) AS "{n}"' for n in (1, 2, 4, 8)
-    ) + ' FROM curve GROUP BY "set"'), ["1", "2", "4", "8"]),
+        f'max(mean) FILTER (WHERE n_draws = {n}) AS "{n}"' for n in CANDIDATE_GRID
+    ) + ' FROM curve GROUP BY "set"'), [str(n) for n in CANDIDATE_GRID]),
     "prices_best_of_n": Entry(prices_best_of_n, with_(_curve(
         '(SELECT l_returnflag AS "set", l_extendedprice FROM lineitem)', '"set"', "l_extendedprice", _CAPPED), "SELECT * FROM curve"), _CURVE_COLUMNS),
     "low_start_sets": Entry(low_start_sets, with_(f"{POOL},\n" + _curve("scored", '"set"', "r2", _UNCAPPED), """

@@ -117,24 +117,24 @@ C_TERMINUS_PK, C_TERMINUS_PK_BY_RESIDUE = 3.55, {"D": 4.55, "E": 4.75}
 PI_START, PI_LOW, PI_HIGH, PI_WIDTH = 7.775, 4.05, 12.0, 0.0001
 # Guruprasad (1990): dipeptide weights by first residue; every pair not named weighs 1.
 INSTABILITY = {
-    "A": "C 44.94 D -7.49 H -7.49 P 20.26",
-    "C": "D 20.26 H 33.6 L 20.26 M 33.6 P 20.26 Q -6.54 T 33.6 V -6.54 W 24.68",
-    "D": "F -6.54 K -7.49 R -6.54 S 20.26 T -14.03",
-    "E": "C 44.94 D 20.26 E 33.6 H -6.54 I 20.26 P 20.26 Q 20.26 S 20.26 W -14.03",
-    "F": "D 13.34 K -14.03 P 20.26 Y 33.601",
-    "G": "A -7.49 E -6.54 G 13.34 I -7.49 K -7.49 N -7.49 T -7.49 W 13.34 Y -7.49",
-    "H": "F -9.37 G -9.37 I 44.94 K 24.68 N 24.68 P -1.88 T -6.54 W -1.88 Y 44.94",
-    "I": "E 44.94 H 13.34 K -7.49 L 20.26 P -1.88 V -7.49",
-    "K": "G -7.49 I -7.49 L -7.49 M 33.6 P -6.54 Q 24.64 R 33.6 V -7.49",
-    "L": "K -7.49 P 20.26 Q 33.6 R 20.26 W 24.68",
-    "M": "A 13.34 H 58.28 M -1.88 P 44.94 Q -6.54 R -6.54 S 44.94 T -1.88 Y 24.68",
-    "N": "C -1.88 F -14.03 G -14.03 I 44.94 K 24.68 P -1.88 Q -6.54 T -7.49 W -9.37",
-    "P": "A 20.26 C -6.54 D -6.54 E 18.38 F 20.26 M -6.54 P 20.26 Q 20.26 R -6.54 S 20.26 V 20.26 W -1.88",
-    "Q": "C -6.54 D 20.26 E 20.26 F -6.54 P 20.26 Q 20.26 S 44.94 V -6.54 Y -6.54",
-    "R": "G -7.49 H 20.26 N 13.34 P 20.26 Q 20.26 R 58.28 S 44.94 W 58.28 Y -6.54",
-    "S": "C 33.6 E 20.26 P 44.94 Q 20.26 R 20.26 S 20.26",
-    "T": "E 20.26 F 13.34 G -7.49 N -14.03 Q -6.54 W -14.03",
-    "V": "D -14.03 G -7.49 K -1.88 P 20.26 T -7.49 Y -6.54",
-    "W": "A -14.03 G -9.37 H 24.68 L 13.34 M 24.68 N 13.34 T -14.03 V -7.49",
-    "Y": "A 24.68 D 24.68 E -6.54 G -7.49 H 13.34 M 44.94 P 13.34 R -15.91 T -7.49 W -9.37 Y 13.34",
+    "A": {"C": 44.94, "D": -7.49, "H": -7.49, "P": 20.26},
+    "C": {"D": 20.26, "H": 33.6, "L": 20.26, "M": 33.6, "P": 20.26, "Q": -6.54, "T": 33.6, "V": -6.54, "W": 24.68},
+    "D": {"F": -6.54, "K": -7.49, "R": -6.54, "S": 20.26, "T": -14.03},
+    "E": {"C": 44.94, "D": 20.26, "E": 33.6, "H": -6.54, "I": 20.26, "P": 20.26, "Q": 20.26, "S": 20.26, "W": -14.03},
+    "F": {"D": 13.34, "K": -14.03, "P": 20.26, "Y": 33.601},
+    "G": {"A": -7.49, "E": -6.54, "G": 13.34, "I": -7.49, "K": -7.49, "N": -7.49, "T": -7.49, "W": 13.34, "Y": -7.49},
+    "H": {"F": -9.37, "G": -9.37, "I": 44.94, "K": 24.68, "N": 24.68, "P": -1.88, "T": -6.54, "W": -1.88, "Y": 44.94},
+    "I": {"E": 44.94, "H": 13.34, "K": -7.49, "L": 20.26, "P": -1.88, "V": -7.49},
+    "K": {"G": -7.49, "I": -7.49, "L": -7.49, "M": 33.6, "P": -6.54, "Q": 24.64, "R": 33.6, "V": -7.49},
+    "L": {"K": -7.49, "P": 20.26, "Q": 33.6, "R": 20.26, "W": 24.68},
+    "M": {"A": 13.34, "H": 58.28, "M": -1.88, "P": 44.94, "Q": -6.54, "R": -6.54, "S": 44.94, "T": -1.88, "Y": 24.68},
+    "N": {"C": -1.88, "F": -14.03, "G": -14.03, "I": 44.94, "K": 24.68, "P": -1.88, "Q": -6.54, "T": -7.49, "W": -9.37},
+    "P": {"A": 20.26, "C": -6.54, "D": -6.54, "E": 18.38, "F": 20.26, "M": -6.54, "P": 20.26, "Q": 20.26, "R": -6.54, "S": 20.26, "V": 20.26, "W": -1.88},
+    "Q": {"C": -6.54, "D": 20.26, "E": 20.26, "F": -6.54, "P": 20.26, "Q": 20.26, "S": 44.94, "V": -6.54, "Y": -6.54},
+    "R": {"G": -7.49, "H": 20.26, "N": 13.34, "P": 20.26, "Q": 20.26, "R": 58.28, "S": 44.94, "W": 58.28, "Y": -6.54},
+    "S": {"C": 33.6, "E": 20.26, "P": 44.94, "Q": 20.26, "R": 20.26, "S": 20.26},
+    "T": {"E": 20.26, "F": 13.34, "G": -7.49, "N": -14.03, "Q": -6.54, "W": -14.03},
+    "V": {"D": -14.03, "G": -7.49, "K": -1.88, "P": 20.26, "T": -7.49, "Y": -6.54},
+    "W": {"A": -14.03, "G": -9.37, "H": 24.68, "L": 13.34, "M": 24.68, "N": 13.34, "T": -14.03, "V": -7.49},
+    "Y": {"A": 24.68, "D": 24.68, "E": -6.54, "G": -7.49, "H": 13.34, "M": 44.94, "P": 13.34, "R": -15.91, "T": -7.49, "W": -9.37, "Y": 13.34},
 }

@@ -22,12 +22,7 @@ def _total(terms) -> Column:
 
 def pair_weights() -> dict[str, float]:
     """Dipeptide -> instability weight, for the pairs that do not weigh 1."""
-    table = {}
-    for first, row in INSTABILITY.items():
-        cells = row.split()
-        for second, weight in zip(cells[::2], cells[1::2]):
-            table[first + second] = float(weight)
-    return table
+    return {first + second: weight for first, row in INSTABILITY.items() for second, weight in row.items()}
 
 
 def molecular_weight(n: Column, counts: dict[str, Column]) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import Column, functions as F
 from seqloom.functions.hashing import let
 
 _OPEN, _BODY = "\u0001", "\u0002"
-FEW_MATCHES = 64
 
 
 def motif_count(seq, pattern: str) -> Column:
@@ -40,38 +39,23 @@ def marked(seq, pattern: str, opening: str = _OPEN, body: str = _BODY) -> Column
 
 
 def motif_spans(seq, pattern: str) -> Column:
-    """array<struct<start,end>> of the non-overlapping matches, 0-based, end exclusive.
-
-    With few matches the starts are sums over the pieces before them; with many, which would make
-    that quadratic, they are read off the marked sequence in one pass."""
+    """array<struct<start,end>> of the non-overlapping matches, 0-based, end exclusive: the starts are
+    read off the marked sequence in one pass, however many there are."""
     seq = F.col(seq) if isinstance(seq, str) else seq
     empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def paired(starts: Column, matches: Column) -> Column:
-        return F.zip_with(
-            starts, matches, lambda s, m: F.struct(s.cast("int").alias("start"), (s + F.length(m)).cast("int").alias("end"))
-        )
-
-    def summed(matches: Column) -> Column:
-        pieces = F.zip_with(F.split(seq, pattern, -1), matches, lambda gap, m: F.length(gap) + F.length(m))
-        ends = let(
-            F.slice(pieces, F.lit(1), F.size(matches)),
-            lambda p: F.transform(
-                p, lambda _, i: F.aggregate(F.slice(p, F.lit(1), i + 1), F.lit(0), lambda acc, n: acc + n)
-            ),
-        )
-        return paired(F.zip_with(ends, matches, lambda e, m: e - F.length(m)), matches)
-
-    def scanned(matches: Column) -> Column:
+    def spans(matches: Column) -> Column:
         starts = F.filter(
             F.transform(F.split(marked(seq, pattern), ""), lambda c, i: F.when(c == _OPEN, i)),
             lambda i: i.isNotNull(),
         )
-        return paired(starts, matches)
+        return F.zip_with(
+            starts, matches, lambda s, m: F.struct(s.cast("int").alias("start"), (s + F.length(m)).cast("int").alias("end"))
+        )
 
     return let(
         F.regexp_extract_all(seq, F.lit(pattern), F.lit(0)),
-        lambda m: F.when(F.size(m) == 0, empty).when(F.size(m) <= FEW_MATCHES, summed(m)).otherwise(scanned(m)),
+        lambda m: F.when(F.size(m) == 0, empty).otherwise(spans(m)),
     )
 
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, functions as F
 
 from seqloom.fixed import (
     HELIX_CORRECTED, HELIX_LEGACY, RESIDUES, SHEET_CORRECTED, SHEET_LEGACY, TURN_CORRECTED, TURN_LEGACY,
 )
 
-DIPEPTIDES = ["".join(p) for p in product(RESIDUES, repeat=2)]
+#: Every pair of residues; a pair stands at 20 * (place of its first) + (place of its second).
+DIPEPTIDES = [RESIDUES[code // len(RESIDUES)] + RESIDUES[code % len(RESIDUES)] for code in range(len(RESIDUES) ** 2)]
 
 
 def residues_of(text) -> Column:

@@ -55,8 +55,23 @@ def cut_lines(lines: DataFrame, expected: DataFrame, document: str, order: list[
             F.substr("text", (low - F.col("_start") + 1).cast("int"), (high - low).cast("int")).alias("_piece"),
         )
     )
-    return pieces.groupBy(document, "id", "length").agg(
+    cut = pieces.groupBy(document, "id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_low", "_piece"))), lambda p: p["_piece"]), "").alias(
             "sequence"
         )
-    ).withColumn("complete", F.length("sequence") == F.col("length"))
+    )
+    held = lines.groupBy(document).agg(F.sum(F.length("text")).alias("_held"))
+    needed = expected.groupBy(document).agg(F.sum("length").alias("_needed"))
+    totals = held.join(needed, document, "full_outer").select(
+        document,
+        F.when(
+            ~F.col("_held").eqNullSafe(F.col("_needed")),
+            F.raise_error(F.format_string("document %s holds %s residues, its ids need %s", F.col(document).cast("string"), F.col("_held").cast("string"), F.col("_needed").cast("string"))),
+        ).isNull().alias("_agree"),
+    )
+    # Every expected id has a row, one of length 0 too, and the totals of its document are compared before it is given out.
+    return (
+        expected.select(document, "id", "length").join(cut, [document, "id"], "left").join(totals, document).where("_agree")
+        .select(document, "id", "length", F.coalesce("sequence", F.lit("")).alias("sequence"))
+        .withColumn("complete", F.length("sequence") == F.col("length"))
+    )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from seqloom.fixed import MEASUREMENT_COLUMNS, PROPERTIES, TARGETS
 
@@ -44,11 +45,14 @@ def _present(spark: SparkSession, path: str) -> bool:
     return bool(jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm_path))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str, required: list[str] | None = None) -> DataFrame:
-    """CSV with a header, matched to the schema by name. All required columns must be in the file."""
+def read_csv(
+    spark: SparkSession, path: str, schema: str, required: list[str] | None = None, line_breaks: bool = False,
+) -> DataFrame:
+    """CSV with a header, matched to the schema by name. All required columns must be in the file.
+    `line_breaks` allows them inside quoted fields, at the price of one task for each file."""
     if not _present(spark, path):
         raise MissingInput(f"{path} not found")
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
     header = reader.csv(path)
     wanted = spark.createDataFrame([], schema).schema
     missing = [f for f in (required or wanted.fieldNames()) if f not in header.columns]
@@ -72,9 +76,22 @@ def read_motifs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_known(spark: SparkSession, path: str, column: str = "Sequence") -> DataFrame:
-    """Known sequences in file order: (known_id, sequence)."""
-    known = read_csv(spark, path, f"{column} string", [column])
-    return known.select(F.monotonically_increasing_id().alias("known_id"), F.col(column).alias("sequence"))
+    """Known sequences (known_id, sequence); ids rise in the order of file names and of lines in a file."""
+    if not _present(spark, path):
+        raise MissingInput(f"{path} not found")
+    lines = spark.read.option("header", True).option("escape", '"').csv(path)
+    if column not in lines.columns:
+        raise ValueError(f"{path} is missing column {column}; has {lines.columns}")
+    # A line's number counts from the start of its split; splits are bounded, so a split's place in its file,
+    # in bytes, plus that number is a rising id, and each file has a range of ids of its own.
+    placed = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), F.col(f"`{column}`").alias("sequence"),
+    )
+    firsts = placed.groupBy("file", "start").agg(F.min("at").alias("first"))
+    files = firsts.select("file").distinct().withColumn("rank", F.row_number().over(Window.orderBy("file")) - 1)
+    numbered = placed.join(F.broadcast(firsts), ["file", "start"]).join(F.broadcast(files), "file")
+    return numbered.select((F.col("rank") * F.lit(2**44) + F.col("start") + F.col("at") - F.col("first")).alias("known_id"), "sequence")
 
 
 def read_bounds(spark: SparkSession, path: str) -> DataFrame:
@@ -105,12 +122,12 @@ def bounds_or_derived(spark: SparkSession, path: str, pairs: DataFrame) -> tuple
 
 
 def read_pools(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pool_<set>.csv of a folder in one scan; the set comes from the file name, and files of
-    unknown sets are left out."""
-    pattern = os.path.join(folder, "pool_*.csv")
-    if not _present(spark, pattern):
+    """The pool_<set>.csv files of the eight sets, columns by name; files of unknown sets are left out."""
+    fields = spark.createDataFrame([], POOL_SCHEMA).schema.fieldNames()
+    paths = {name: os.path.join(folder, f"pool_{name}.csv") for name in TARGETS}
+    found = {name: path for name, path in paths.items() if _present(spark, path)}
+    if not found:
         raise MissingInput(f"no pools in {folder}")
-    fields = spark.createDataFrame([], POOL_SCHEMA).schema
-    raw = spark.read.option("header", True).schema(fields).csv(pattern)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^pool_(.+)\.csv$", 1)
-    return raw.withColumn("set", name).where(F.col("set").isin(list(TARGETS)))
+    columns = [f for f in fields if f != "set"]
+    pools = [read_csv(spark, path, POOL_SCHEMA, columns).withColumn("set", F.lit(name)).select(*fields) for name, path in found.items()]
+    return reduce(DataFrame.unionByName, pools)

@@ -79,8 +79,12 @@ def test_signed_rank(spark):
     """One to ten all positive but the smallest: two of 1,024 sign patterns reach so low a sum, each side."""
     rows = [("exact", float(i)) for i in range(2, 11)] + [("exact", -1.0)]
     rows += [("tied", x) for x in (1.0, 1.0, -1.0, 2.0, 0.0)]
-    out = {r["g"]: r for r in ablation.signed_rank_test(spark.createDataFrame(rows, "g string, diff double"), ["g"]).collect()}
-    assert out["exact"]["rank_sum_positive"] == 54 and out["exact"]["p_value"] == pytest.approx(2 * 2 / 1024)
+    df = spark.createDataFrame(rows, "g string, diff double")
+    exact = {r["g"]: r for r in ablation.signed_rank_test(df, ["g"], method="exact").collect()}
+    assert exact["exact"]["rank_sum_positive"] == 54 and exact["exact"]["p_value"] == pytest.approx(2 * 2 / 1024)
+    assert exact["tied"]["p_value"] is None
+    out = {r["g"]: r for r in ablation.signed_rank_test(df, ["g"]).collect()}
+    assert out["exact"]["z"] == pytest.approx((1 - 27.5) / (10 * 11 * 21 / 24) ** 0.5)
     assert (out["tied"]["n_nonzero"], out["tied"]["n_zero"], out["tied"]["rank_sum_positive"]) == (4, 1, 8.0)
     # Ranks 2, 2, 2, 4: mean 5, variance (4*5*9 - (27-3)/2) / 24 = 7.
     from math import erfc, sqrt

@@ -9,7 +9,7 @@ from seqloom.fixed import MEASUREMENT_COLUMNS, PROPERTIES, TARGETS
 from seqloom.operators.pools import targets_table
 from seqloom.plans import dataset
 from seqloom.plans.inference import composition_model, design_attempts, design_rows
-from seqloom.sources import fasta, results, tables
+from seqloom.sources import fasta, glyphs, results, tables
 from seqloom.streaming.pool import read_attempts, run_pool_stream
 
 FASTA = """>s1|7|Araneidae|Araneus|diadematus|MaSp1||NTD
@@ -88,25 +88,67 @@ def test_dataset_build(spark, tmp_path):
 
 
 def test_result_document(spark, tmp_path):
-    payload = {"n": 3, "table": spark.range(2)}
-    results.write_result(spark, str(tmp_path), "r", payload, "test", {"seed": 1})
-    row = results.load_result(spark, str(tmp_path), "r").first()
-    assert row["result"]["n"] == 3 and [x["id"] for x in row["result"]["table"]] == [0, 1]
-    assert row["manifest"]["params"]["seed"] == 1 and row["manifest"]["versions"]["spark"] == spark.version
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    record = results.run_record(spark, {"numbers": str(tmp_path / "in")}, {"seed": 1})
+    place = results.write_result(str(tmp_path), "r", {"table": spark.range(2)}, record)
+    assert place.endswith("/r")
+    assert sorted(x["id"] for x in results.load_result(spark, str(tmp_path), "r", "table").collect()) == [0, 1]
+    row = results.load_result(spark, str(tmp_path), "r", "run").first()
+    assert row["parameters"]["seed"] == "1" and row["version"] == spark.version
+    assert [(i["name"], i["rows"]) for i in row["inputs"]] == [("numbers", 5)]
+
+
+def test_pools_are_read_by_column_name(spark, tmp_path):
+    names = [f.split()[0] for f in tables.POOL_SCHEMA.split(", ")]
+    values = {n: str(i) for i, n in enumerate(names)} | {"set": "S1", "sequence": "GA", "novel_exact": "true", "forward_parsed": "false"}
+    mixed = names[::-1]
+    (tmp_path / "pool_S1.csv").write_text(",".join(mixed) + "\n" + ",".join(values[n] for n in mixed) + "\n")
+    row = tables.read_pools(spark, str(tmp_path)).first()
+    assert row["sequence"] == "GA" and row["set"] == "S1"
+    assert all(row[n] == float(values[n]) for n in ("r2", "mae", "rmse", "pred_toughness"))
+    (tmp_path / "pool_S2.csv").write_text("set,sequence\nS2,GA\n")
+    with pytest.raises(ValueError, match="r2"):
+        tables.read_pools(spark, str(tmp_path))
+
+
+def test_known_sequences_keep_file_order(spark, tmp_path):
+    for part in range(3):
+        (tmp_path / f"known_{part}.csv").write_text("Sequence\n" + "\n".join(f"G{part}A{i}" for i in range(500)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        rows = tables.read_known(spark, str(tmp_path / "known_*.csv")).orderBy("known_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["sequence"] for r in rows] == [f"G{part}A{i}" for part in range(3) for i in range(500)]
+    assert len({r["known_id"] for r in rows}) == 1500
+
+
+def test_cut_checks_totals_and_keeps_every_id(spark):
+    lines = spark.createDataFrame([("d", 0, "GAGA"), ("d", 1, "GG")], "doc string, line int, text string")
+    ids = spark.createDataFrame([("d", 0, "a", 3), ("d", 1, "none", 0), ("d", 2, "b", 3)], "doc string, position int, id string, length int")
+    assert {r["id"]: r["sequence"] for r in glyphs.cut_lines(lines, ids, "doc", ["line"]).collect()} == {"a": "GAG", "none": "", "b": "AGG"}
+    for wrong in (2, 4):
+        bad = ids.withColumn("length", F.when(F.col("id") == "b", wrong).otherwise(F.col("length")))
+        with pytest.raises(Exception, match="document d holds 6"):
+            glyphs.cut_lines(lines, bad, "doc", ["line"]).collect()
 
 
 def test_pool_resumes_on_attempts(spark, tmp_path):
     path, targets = str(tmp_path / "pool"), targets_table(spark)
-    made = results.attempts_made(spark, path)
-    first = results.remaining_attempts(targets, made, 3)
+    first = results.remaining_attempts(spark, targets, path, 3)
     assert first.count() == 3 * len(TARGETS)
     rows = first.select("set", "attempt", F.when(F.col("attempt") == 0, "no answer").otherwise("[GAGA]").alias("text"))
     results.append_attempts(design_rows(rows), path)
     counts = results.attempts_made(spark, path).collect()
     assert {(r["attempts"], r["parsed"], r["next_attempt"]) for r in counts} == {(3, 2, 3)}
-    made = results.attempts_made(spark, path)
-    assert results.remaining_attempts(targets, made, 3).count() == 0
-    assert {r["attempt"] for r in results.remaining_attempts(targets, made, 5).collect()} == {3, 4}
+    assert results.remaining_attempts(spark, targets, path, 3).count() == 0
+    assert {r["attempt"] for r in results.remaining_attempts(spark, targets, path, 5).collect()} == {3, 4}
+    # Appending again changes nothing, and gaps are found.
+    results.append_attempts(design_rows(rows), path)
+    assert {r["attempts"] for r in results.attempts_made(spark, path).collect()} == {3}
+    later = rows.where("attempt = 0").withColumn("attempt", F.lit(6))
+    results.append_attempts(design_rows(later), path)
+    assert {r["attempt"] for r in results.remaining_attempts(spark, targets, path, 8).collect()} == {3, 4, 5, 7}
 
 
 def test_designs_replay_and_do_not_repeat(spark):
