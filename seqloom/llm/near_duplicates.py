@@ -6,7 +6,8 @@ that use 2 * PER_COLLECTION of them each. Two sets with similarity s agree on a
 probability p = s ** PER_COLLECTION and meet in a table unless fewer than two collections agree.
 
 A table bucket is never expanded into all pairs of its members. First each member is compared with the
-bucket's first and with the next few in a random order of the bucket; confirmed links join into
+bucket's first and with the next few by id (a digest, the same order in every bucket, so that members who
+share many buckets are not compared with ever new neighbours); confirmed links join into
 components. Buckets whose members then lie in several components are looked at again: where few pairs
 across components are left for each member, those are compared; other buckets are divided by two more
 collections (ever longer keys), until nothing is left.
@@ -27,11 +28,11 @@ from seqloom.llm.common import documents, map_slices, stored, table
 from seqloom.llm.components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
-#: At the least similarity 0.75: p = 0.5625, and 2 in 10,000 pairs meet in no table.
-COLLECTIONS, PER_COLLECTION = 14, 2
-#: A candidate must agree on so many of the 28 minhashes; at similarity 0.75, 21 are expected and 1 pair in 100,000 has fewer.
-AGREE = 11
-#: Neighbours in the bucket's random order that a member is compared with first; the order runs within parts of PART members.
+#: At the least similarity 0.75: p = 0.42, and 4 in 100,000 pairs meet in no table.
+COLLECTIONS, PER_COLLECTION = 24, 3
+#: A candidate must agree on so many of the 72 minhashes; at similarity 0.75, 54 are expected and 1 pair in a million has fewer.
+AGREE = 36
+#: Neighbours by id that a member is compared with first; the order runs within parts of PART members.
 RING, PART = 2, 1024
 #: A bucket whose pairs across components come to at most this many for each member has them compared.
 ACROSS = 128
@@ -99,14 +100,14 @@ def sketches(docs: DataFrame) -> DataFrame:
         marks: list = [None] * len(sets)
         if len(full):
             found = mixed(minhashes([sets[i] for i in full], salts)) >> np.uint64(32)
-            for i, row in zip(full.tolist(), found.astype(np.int64)):
+            for i, row in zip(full.tolist(), found.astype(np.uint32).view(np.int32)):
                 marks[i] = row
         halves = digests(sets)
-        return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_shingles": n, "d1": halves[:, 0].copy(), "d2": halves[:, 1].copy(), "marks": pa.array(marks, pa.list_(pa.int64()))}
+        return {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_shingles": n, "d1": halves[:, 0].copy(), "d2": halves[:, 1].copy(), "marks": pa.array(marks, pa.list_(pa.int32()))}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select(docs["doc_id"], docs["text"], text_digest(docs).alias("digest"))
-    return map_slices(plain, work, f"doc_id {kind}, digest bigint, n_shingles bigint, d1 bigint, d2 bigint, marks array<bigint>")
+    return map_slices(plain, work, f"doc_id {kind}, digest bigint, n_shingles bigint, d1 bigint, d2 bigint, marks array<int>")
 
 
 def text_digest(docs: DataFrame) -> F.Column:
@@ -219,8 +220,9 @@ def first_pairs(rows: DataFrame) -> DataFrame:
     bounds = rows.groupBy("bucket", "held").agg(F.min(F.struct("doc", "id")).alias("low"), F.count("*").alias("size")).where("size > 1")
     met = stored(rows.join(bounds, ["bucket", "held"]).select("bucket", "held", "id", F.col("low.id").alias("first"), "size"))
     star = met.where(F.col("id") != F.col("first")).select("id", F.col("first").alias("other"))
-    part = F.pmod(F.xxhash64("bucket", "id"), F.ceil(F.col("size") / PART))
-    order = Window.partitionBy("bucket", "held", "part").orderBy(F.xxhash64("id", "bucket"), "id")
+    # Parts are ranges of the digest: the same neighbours meet in every bucket that both are in.
+    part = F.floor((F.col("id") / 2.0**64 + 0.5) * F.ceil(F.col("size") / PART))
+    order = Window.partitionBy("bucket", "held", "part").orderBy("id")
     near = met.where("size > 2").withColumn("part", part).select("id", F.array(*(F.lead("id", k).over(order) for k in range(1, RING + 1))).alias("near"))
     near = near.select("id", F.explode("near").alias("other"))
     both = star.unionByName(near.where("other IS NOT NULL"))
