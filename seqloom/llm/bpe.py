@@ -40,10 +40,12 @@ def byte_letters() -> dict[str, int]:
 
 class Merges:
     """Pairs of symbols that merge, by rank: `single` maps a byte to its symbol, `keys` (sorted) holds
-    left * size + right, `ranks` and `made` the rank and the new symbol of each."""
+    left * size + right, `ranks` and `made` the rank and the new symbol of each. `final` maps a word's last
+    byte, where the vocabulary marks word ends."""
 
-    def __init__(self, size: int, single: np.ndarray, rules: dict[tuple[int, int], tuple[int, int]]):
+    def __init__(self, size: int, single: np.ndarray, rules: dict[tuple[int, int], tuple[int, int]], final: np.ndarray | None = None):
         self.size, self.single, self.rules = size, single, rules
+        self.final = single if final is None else final
         keys = np.array([a * size + b for a, b in rules], dtype=np.int64)
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -53,7 +55,9 @@ class Merges:
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all words on end, and how many each word has."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        symbols = self.single[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        flat = np.frombuffer(b"".join(words), dtype=np.uint8)
+        symbols, ends = self.single[flat], np.cumsum(sizes)[sizes > 0] - 1
+        symbols[ends] = self.final[flat[ends]]
         owner = np.repeat(np.arange(len(words)), sizes)
         long_words = np.flatnonzero(sizes > LONG)
         apart = {int(i): self._by_heap(words[i]) for i in long_words}
@@ -100,7 +104,7 @@ class Merges:
         return np.where(fits, self.ranks[found], NONE), self.made[found]
 
     def _by_heap(self, word: bytes) -> list[int]:
-        symbol: list[int] = [int(self.single[b]) for b in word]
+        symbol: list[int] = [*(int(self.single[b]) for b in word[:-1]), int(self.final[word[-1]])]
         following, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
         heap = [(self.rules[p][0], i, p) for i, p in enumerate(zip(symbol, symbol[1:])) if p in self.rules]
         heapq.heapify(heap)
@@ -125,11 +129,12 @@ def json_merges(path: str) -> Merges:
     with open(path, encoding="utf-8") as file:
         model = json.load(file)["model"]
     vocab, letters = model["vocab"], byte_letters()
-    single = np.zeros(256, dtype=np.int64)
+    end = model.get("end_of_word_suffix") or ""
+    single, final = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
     for letter, byte in letters.items():
-        single[byte] = vocab[letter]
+        single[byte], final[byte] = vocab[letter], vocab[letter + end]
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    return Merges(max(vocab.values()) + 1, single, {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)})
+    return Merges(max(vocab.values()) + 1, single, {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}, final)
 
 
 def rank_table(path: str) -> dict[bytes, int]:

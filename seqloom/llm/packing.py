@@ -10,8 +10,10 @@ again. Only lengths take part in this; token ids stay in the table of pieces.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from seqloom.llm.bpe import json_merges
 from seqloom.llm.common import WHITE, documents, map_slices, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -35,7 +38,13 @@ ROUNDS = 4
 REMEMBERED = 700_000
 
 CHUNK = re.compile(f"[^{WHITE}]+")
+SEPARATOR = re.compile("[\x1c-\x1f]")
+#: Simple chunks are Latin letters with marks behind them: no normal form changes them, lower case is
+#: letter by letter, and the letters and the marks are one pre-token each.
+LATIN, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,;:!?"
 _seen: dict[str, bytes] = {}
+# A task has one core: threads of the library would only compete.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 @lru_cache(1)
@@ -43,18 +52,41 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+def chunk_ids(chunks: list[str], path: str) -> dict[str, bytes]:
+    """Ids of each chunk. Simple ones are merged together on arrays; the library takes the others."""
+    made, number = {}, {}
+    simple, of_word, of_marks, other = [], [], [], []
+    for chunk in chunks:
+        word = chunk.rstrip(MARKS)
+        if LATIN.fullmatch(word) is None:
+            other.append(chunk)
+            continue
+        simple.append(chunk)
+        of_word.append(number.setdefault(word.lower(), len(number)))
+        of_marks.append(number.setdefault(chunk[len(word) :], len(number)) if len(word) < len(chunk) else -1)
+    if number:
+        symbols, counts = json_merges(path).merged([w.encode() for w in number])
+        flat, ends = symbols.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+        ids = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        ids.append(b"")
+        made.update({c: ids[w] + ids[m] for c, w, m in zip(simple, of_word, of_marks)})
+    for start in range(0, len(other), 20_000):
+        some = other[start : start + 20_000]
+        made.update({c: array("I", e.ids).tobytes() for c, e in zip(some, tokenizer(path).encode_batch_fast(some, add_special_tokens=False))})
+    return made
+
+
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text. The vocabulary drops white space and no token spans it, so
     each distinct chunk between white space is encoded once and the chunks' ids joined."""
-    parts = [CHUNK.findall(t) for t in texts]
+    # split() takes the separators \x1c to \x1f for white space, too; the vocabulary does not.
+    parts = [CHUNK.findall(t) if SEPARATOR.search(t) else t.split() for t in texts]
     if len(_seen) > REMEMBERED:
         _seen.clear()
-    fresh = list(set().union(*parts) - _seen.keys())
-    for start in range(0, len(fresh), 20_000):
-        some = fresh[start : start + 20_000]
-        for chunk, found in zip(some, tokenizer(path).encode_batch_fast(some, add_special_tokens=False)):
-            _seen[chunk] = np.array(found.ids, dtype="<u4").tobytes()
-    return [b"".join(map(_seen.__getitem__, p)) for p in parts]
+    found = [list(map(_seen.get, p)) for p in parts]
+    fresh = chunk_ids(list({c for p, ids in zip(parts, found) if None in ids for c, i in zip(p, ids) if i is None}), path)
+    _seen.update(fresh)
+    return [b"".join([fresh[c] if i is None else i for c, i in zip(p, ids)] if None in ids else ids) for p, ids in zip(parts, found)]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
