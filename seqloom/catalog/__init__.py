@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = [
     "curation", "residues", "descriptors", "motifs", "edits", "prompts", "vectors", "novelty", "pools",
-    "association", "families", "ablations", "baselines", "documents",
+    "association", "families", "ablations", "baselines", "documents", "files",
 ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqloom.fixed import MEASUREMENT_COLUMNS, PROPERTIES, RESIDUES, SEED, TARGETS
+from seqloom.fixed import PROPERTIES, RESIDUES, SEED, TARGETS
 from seqloom.plans.inference import CLASS_BY_SLOT
 
 
@@ -163,5 +163,3 @@ def slots(source: str, *columns: str, keep: str = "") -> str:
     keep = keep + ", " if keep else ""
     return f"(SELECT {keep}i AS slot, {picked} FROM {source}, range(8) AS r(i))"
 
-
-RAW_NAMES = dict(zip(PROPERTIES, MEASUREMENT_COLUMNS))

@@ -84,6 +84,13 @@ def profile_agreement(counts: DataFrame, group: str, motifs: list[str], role: st
     )
 
 
+def published_join(computed: DataFrame, published: DataFrame, key: str, suffix: str = "_pub") -> DataFrame:
+    """Computed rows next to the published ones; a published column gets the suffix only where the computed side has its name."""
+    clashing = (set(computed.columns) & set(published.columns)) - {key}
+    renamed = published.withColumnsRenamed({c: f"{c}{suffix}" for c in clashing})
+    return computed.join(renamed, key)
+
+
 def reconcile_weight(df: DataFrame, seq: str, published: str, tolerance: float = MW_TOL) -> DataFrame:
     """Find the treatment of ambiguity codes that reproduces a published weight: append
     ambiguity_handling, mw and the sequence the other descriptors should use."""
