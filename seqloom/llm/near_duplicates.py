@@ -33,7 +33,8 @@ COLLECTIONS, PER_COLLECTION = 24, 3
 #: A candidate must agree on so many of the 72 minhashes; at similarity 0.75, 54 are expected and 1 pair in a million has fewer.
 AGREE = 36
 #: Neighbours by id that a member is compared with first; the order runs within parts of PART members.
-RING, PART = 2, 1024
+#: One table in RING_TABLES does this: it only joins up most of a group early, and is no condition for finding a link.
+RING, RING_TABLES, PART = 2, 8, 1024
 #: A bucket whose pairs across components come to at most this many for each member has them compared.
 ACROSS = 128
 SEED = 20
@@ -184,16 +185,16 @@ def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_slices(texts, work, "id bigint, shingles array<bigint>").join(wanted, "id", "left_semi")
 
 
-def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between classes that join up all that are reachable; see the module's text."""
+def linked(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, component of the classes that have a link; see the module's text."""
     own = stored(with_collections(sets))
     rows = stored(table_rows(own))
     tried = stored(agreeing(first_pairs(rows), sets))
     full = stored(full_sets(docs, sets, ends(tried)))
     found = stored(confirmed(tried, full))
     live = rows
+    labels = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
     for _ in range(COLLECTIONS // 2):
-        labels = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
         at = F.coalesce("component", "id").alias("component")
         placed = live.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "held", "id", "doc", at)
         # Pairs across components: half of what the squares of the components leave of the bucket's square.
@@ -203,16 +204,31 @@ def links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         placed = stored(placed.join(open_ones, ["bucket", "held"]))
         if placed.isEmpty():
             break
-        x = placed.where("few").select("bucket", "held", F.col("id").alias("a"), F.col("component").alias("ac"))
-        y = placed.where("few").select("bucket", "held", F.col("id").alias("b"), F.col("component").alias("bc"))
-        across = x.join(y, ["bucket", "held"]).where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc"))).select("a", "b")
+        few = stored(placed.where("few").join(own.select("id", "c"), "id"))
+        x = few.select("bucket", "held", F.col("id").alias("a"), F.col("component").alias("ac"), F.col("c").alias("x"))
+        y = few.select("bucket", "held", F.col("id").alias("b"), F.col("component").alias("bc"), F.col("c").alias("y"))
+        wanted = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & first_shared()
+        across = x.join(y, ["bucket", "held"]).where(wanted).select("a", "b")
         live = stored(divided(placed.where("NOT few"), own))
         fresh = stored(agreeing(across.unionByName(first_pairs(live)).distinct().join(tried, ["a", "b"], "left_anti"), sets))
         tried = tried.unionByName(fresh)
         missing = ends(fresh).join(full.select("id"), "id", "left_anti")
         full = full.unionByName(stored(full_sets(docs, sets, stored(missing))))
-        found = found.unionByName(stored(confirmed(fresh, full)))
-    return found
+        more = stored(confirmed(fresh, full))
+        found = found.unionByName(more)
+        if not more.isEmpty():
+            labels = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if live.isEmpty():
+            break
+    return labels
+
+
+def first_shared() -> F.Column:
+    """Whether `held` are the first collections that x and y agree on: of all buckets that two sets share, one gives the pair."""
+    same = F.transform(F.zip_with("x", "y", lambda p, q: p == q), lambda e, k: F.when(e, F.call_function("shiftleft", F.lit(1), k)).otherwise(F.lit(0)))
+    agreed = F.aggregate(same, F.lit(0), lambda m, bit: m.bitwiseOR(bit))
+    upto = F.call_function("shiftleft", F.lit(2), F.floor(F.log2("held")).cast("int")) - 1
+    return agreed.bitwiseAND(upto) == F.col("held")
 
 
 def first_pairs(rows: DataFrame) -> DataFrame:
@@ -223,7 +239,7 @@ def first_pairs(rows: DataFrame) -> DataFrame:
     # Parts are ranges of the digest: the same neighbours meet in every bucket that both are in.
     part = F.floor((F.col("id") / 2.0**64 + 0.5) * F.ceil(F.col("size") / PART))
     order = Window.partitionBy("bucket", "held", "part").orderBy("id")
-    near = met.where("size > 2").withColumn("part", part).select("id", F.array(*(F.lead("id", k).over(order) for k in range(1, RING + 1))).alias("near"))
+    near = met.where((F.col("size") > 2) & (F.pmod(F.hash("held"), F.lit(RING_TABLES)) == 0)).withColumn("part", part).select("id", F.array(*(F.lead("id", k).over(order) for k in range(1, RING + 1))).alias("near"))
     near = near.select("id", F.explode("near").alias("other"))
     both = star.unionByName(near.where("other IS NOT NULL"))
     return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
@@ -251,8 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketch = stored(sketches(docs))
     classes = sketch.where("n_shingles > 0").groupBy("d1", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min("marks").alias("marks"))
     sets = stored(classes.select(F.col("d1").alias("id"), "doc", F.col("n_shingles").alias("n"), "marks"))
-    joined = components(links(docs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = joined.join(sets.select(F.col("id").alias("node"), "doc"), "node")
+    placed = linked(docs, sets).join(sets.select(F.col("id").alias("node"), "doc"), "node")
     first = placed.groupBy("component").agg(F.min("doc").alias("first"))
     of_class = placed.join(first, "component").select(F.col("node").alias("d1"), "first")
     alone = sets.select(F.col("id").alias("d1"), "doc").join(of_class, "d1", "left").select("d1", F.coalesce("first", "doc").cast("bigint").alias("component_id"))
