@@ -110,17 +110,25 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, support: int = SUPPORT,
     """
     seen = stored(contexts(found))
     entities = seen.groupBy("entity").agg(F.count("*").alias("ne"), F.count_distinct("context").alias("different")).where(F.col("different") >= support)
-    pairs = seen.join(entities.select("entity"), "entity", "left_semi").select("entity", "context", F.explode("terms").alias("term"))
+    every = seen.select("entity", "context", F.explode("terms").alias("term"))
+    pairs = every.join(entities.select("entity"), "entity", "left_semi")
     met = pairs.groupBy("entity", "term").agg(F.count("*").alias("net"), F.count_distinct("context").alias("different")).where(F.col("different") >= support)
-    met = stored(met.join(entities.select("entity", "ne"), "entity").select("entity", "term", "ne", "net"))
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
-    counts = words.join(met.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
-    total = texts.agg(F.sum(F.length("text")).alias("chars"))
     # N: places a word can stand at, taken as a sixth of the characters.
-    joined = met.join(counts, "term").crossJoin(F.broadcast(total)).withColumn("n", F.greatest(F.col("chars") / 6, F.lit(2.0)))
-    ic = F.log2(F.col("n") / F.col("ne"))
-    pmi = F.log2(F.least(F.col("net"), F.col("nt")) * F.col("n") / (F.col("ne") * F.col("nt")))
-    return joined.where(ic > 0).groupBy("term").agg(F.max(pmi / ic).alias("disclosure")).where(F.col("disclosure") >= disclosed)
+    total = texts.agg(F.greatest(F.sum(F.length("text")) / 6, F.lit(2.0)).alias("n"))
+    near = every.groupBy("term").agg(F.count("*").alias("nt"))
+    met = met.join(entities.select("entity", "ne"), "entity").join(near, "term").crossJoin(F.broadcast(total))
+    # A term stands in the corpus at least as often as in contexts: pairs below the threshold by that count are out.
+    met = stored(met.where(disclosure(F.col("nt")) >= disclosed).drop("nt"))
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
+    counts = words.groupBy("term").agg(F.count("*").alias("nt"))
+    joined = counts.join(met, "term").withColumn("disclosure", disclosure(F.col("nt")))
+    return joined.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= disclosed)
+
+
+def disclosure(nt: Column) -> Column:
+    """PMI / IC of a pair that meets in `net` contexts of `ne`, the term standing at `nt` places of `n`."""
+    net, ne, n = F.col("net"), F.col("ne"), F.col("n")
+    return F.log2(F.least(net, nt) * n / (ne * nt)) / F.log2(F.greatest(n / ne, F.lit(2.0)))
 
 
 def term_spans(texts: DataFrame, terms: DataFrame, removed: float = REMOVED) -> DataFrame:
@@ -128,8 +136,9 @@ def term_spans(texts: DataFrame, terms: DataFrame, removed: float = REMOVED) ->
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term")
     held = texts.select("doc_id", "digest", words).join(terms, "term").distinct()
     per_doc = held.groupBy("doc_id", "digest").agg(F.collect_list(F.when(F.col("disclosure") >= removed, F.col("term"))).alias("out"), F.collect_list(F.when(F.col("disclosure") < removed, F.col("term"))).alias("general"))
-    t, p = texts.dropDuplicates(["doc_id", "digest"]).alias("t"), per_doc.alias("p")
-    both = p.join(t, F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.digest") == F.col("p.digest")))
+    # Stored, so that its size is known and texts are not shuffled to meet a few rows.
+    t, p = texts.alias("t"), stored(per_doc).alias("p")
+    both = t.join(p, F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.digest") == F.col("p.digest")))
 
     def of(rank: int, kind: str, terms: Column) -> Column:
         # Terms are letters only; matched whole and in either case.
@@ -138,7 +147,7 @@ def term_spans(texts: DataFrame, terms: DataFrame, removed: float = REMOVED) ->
         return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["match"].alias("match")))
 
     spans = F.concat(of(len(KINDS), "term", F.col("p.general")), of(len(KINDS) + 1, "removed", F.col("p.out"))).cast(SPAN)
-    return both.select("p.doc_id", "p.digest", spans.alias("more"))
+    return both.select("p.doc_id", "p.digest", spans.alias("more")).dropDuplicates(["doc_id", "digest"])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -176,7 +185,8 @@ def replaced(text: Column, spans: Column) -> Column:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with personal data and disclosing terms replaced (n_chars, where there is one, follows)."""
-    spans = personal_data(docs).where(F.size("spans") > 0).select("doc_id", "digest", "spans").dropDuplicates(["doc_id", "digest"]).alias("s")
+    spans = personal_data(docs).where(F.size("spans") > 0).select("doc_id", "digest", "spans")
+    spans = stored(spans.dropDuplicates(["doc_id", "digest"])).alias("s")
     text = F.coalesce(docs["text"], F.lit(""))
     d = docs.select(F.struct("*").alias("row"), docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("digest")).alias("d")
     joined = d.join(spans, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.digest") == F.col("s.digest")), "left")
