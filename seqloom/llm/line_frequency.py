@@ -69,6 +69,31 @@ def repeated_words(words: list[list[bytes]]) -> np.ndarray:
     return np.bincount(owner[np.cumsum(edge[:-1]) > 0], minlength=len(words))
 
 
+def measured_texts(texts: list[str | None]) -> dict[str, list]:
+    """Base measures of each text, its distinct normalised lines as hashes and the words each takes up."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hashes", "line_words"]
+    out: dict[str, list] = {n: [] for n in names}
+    words = []
+    for text in texts:
+        text = text or ""
+        raw = text.encode("utf-8", "surrogatepass")
+        own = raw.split()
+        words.append(own)
+        filled = [line for line in raw.split(b"\n") if line and not line.isspace()]
+        sizes: dict[bytes, int] = {}
+        for line in filled:
+            key = normal(line)
+            sizes[key] = sizes.get(key, 0) + key.count(b" ") + 1
+        out["n_words"].append(len(own))
+        out["word_chars"].append(len(text) - sum(map(text.count, BLANKS)))
+        out["n_symbols"].append(sum(map(text.count, SYMBOLS)))
+        out["n_dup_lines"].append(len(filled) - len(set(filled)))
+        out["line_hashes"].append([signed(xxhash.xxh64_intdigest(k)) for k in sizes])
+        out["line_words"].append(list(sizes.values()))
+    out["n_repeat_words"] = repeated_words(words).tolist()
+    return out
+
+
 def keys(docs: DataFrame) -> list:
     """Hashes of a document's host (null is a host of its own) and text (null reads as empty)."""
     return [F.xxhash64(docs["source"].isNull(), docs["source"]).alias("host"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("digest")]
@@ -81,26 +106,7 @@ def measured(docs: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, host bigint, digest bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, line_hashes array<bigint>, line_words array<int>"
 
     def work(batch):
-        out = {n.split()[0]: [] for n in schema.split(", ")[3:]}
-        words = []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            raw = text.encode("utf-8", "surrogatepass")
-            own = raw.split()
-            words.append(own)
-            lines = raw.split(b"\n")
-            filled = [line for line in lines if line and not line.isspace()]
-            sizes: dict[bytes, int] = {}
-            for line in filled:
-                key = normal(line)
-                sizes[key] = sizes.get(key, 0) + key.count(b" ") + 1
-            out["n_words"].append(len(own))
-            out["word_chars"].append(len(text) - sum(map(text.count, BLANKS)))
-            out["n_symbols"].append(sum(map(text.count, SYMBOLS)))
-            out["n_dup_lines"].append(len(filled) - len(set(filled)))
-            out["line_hashes"].append([signed(xxhash.xxh64_intdigest(k)) for k in sizes])
-            out["line_words"].append(list(sizes.values()))
-        out["n_repeat_words"] = repeated_words(words)
+        out = measured_texts(batch.column("text").to_pylist())
         kinds = {"line_hashes": pa.list_(pa.int64()), "line_words": pa.list_(pa.int32())}
         return {n: batch.column(n) for n in ("doc_id", "host", "digest")} | {n: pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()}
 
@@ -124,13 +130,15 @@ class Limits:
 
 
 def removals(measures: DataFrame, limits: Limits) -> DataFrame:
-    """doc_id, digest, host, removed_words and the hashes of the removed lines, for documents that lose lines."""
+    """doc_id, digest, host, removed_words, for documents that lose lines."""
     lines = measures.select("doc_id", "digest", "host", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("l"))
     lines = lines.select("doc_id", "digest", "host", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"))
-    hit = lines.join(frequent_lines(measures, limits.share, limits.least), ["host", "line"], "left_semi")
+    # Few lines of a host can be in more than a share of its documents. Stored, their number is known, and
+    # Spark sends them to the documents' lines where they are few.
+    hit = lines.join(stored(frequent_lines(measures, limits.share, limits.least)), ["host", "line"], "left_semi")
     # Repeated rows lose the same lines: once per line, then one row per id and text.
     once = hit.groupBy("doc_id", "digest", "host", "line").agg(F.max("words").alias("words"))
-    return once.groupBy("doc_id", "digest", "host").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
+    return once.groupBy("doc_id", "digest", "host").agg(F.sum("words").alias("removed_words"))
 
 
 def judged(measures: DataFrame, removed: DataFrame, limits: Limits) -> DataFrame:
@@ -150,30 +158,38 @@ def line_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     count as one document. A null host is a host of its own.
     """
     measures = stored(measured(docs))
-    return judged(measures, removals(measures, limits).drop("removed_lines"), limits).select(*RESULT)
+    return judged(measures, removals(measures, limits), limits).select(*RESULT)
 
 
 def ruled_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The documents kept, all columns, without their lines above the limits (n_chars, where there is one, follows)."""
-    measures = stored(measured(docs))
-    removed = stored(removals(measures, limits))
-    names = ("doc_id", "digest", "host")
-    passed = judged(measures, removed.drop("removed_lines"), limits).where("kept").select(*names).distinct().alias("p")
-    verdict = passed.join(removed.alias("r"), [F.col(f"p.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names], "left")
-    verdict = verdict.select(*(f"p.{n}" for n in names), "r.removed_lines").alias("v")
+    """The documents kept, all columns, without their lines above the limits (n_chars, where there is one, follows).
+
+    Each document meets the lines of its host that are above the limit: at most lines per document / share
+    of them on average. Texts are judged and cut where they are read; only line hashes are shuffled.
+    """
+    hashes = stored(measured(docs).select("host", "digest", "line_hashes"))
+    lines = frequent_lines(hashes, limits.share, limits.least)
+    of_host = stored(lines.groupBy("host").agg(F.collect_list("line").alias("lines"))).alias("h")
     # All columns travel as one struct, so that none clashes with the keys.
-    whole = docs.select(F.struct("*").alias("row"), docs["doc_id"], *keys(docs)).alias("d")
-    joined = whole.join(verdict, [F.col(f"d.{n}").eqNullSafe(F.col(f"v.{n}")) for n in names])
-
-    def clean(lines: pd.Series, removed: pd.Series) -> pd.Series:
-        gone = (set(h) for h in removed)
-        return pd.Series(["\n".join(x for x in t.split("\n") if line_hash(x) not in h) for t, h in zip(lines, gone)], dtype=object)
-
-    cleaned = F.pandas_udf(clean, "string")
-    text = F.when(F.col("v.removed_lines").isNull(), F.col("d.row.text")).otherwise(cleaned(F.coalesce("d.row.text", F.lit("")), F.coalesce("v.removed_lines", F.array().cast("array<bigint>"))))
-    parted = joined.select("d.row", text.alias("text"))
-    made = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return parted.select(*((made[c] if c in made else F.col("row").getField(c)).alias(c) for c in docs.columns))
+    whole = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"), keys(docs)[0]).alias("d")
+    joined = whole.join(of_host, F.col("d.host") == F.col("h.host"), "left")
+
+    @F.pandas_udf("text string, kept boolean")
+    def ruled(texts: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        made = measured_texts(list(texts))
+        kept, cut = [], []
+        for text, held, n, repeats, hashes, sizes in zip(texts, lines, made["n_words"], made["n_repeat_words"], made["line_hashes"], made["line_words"]):
+            gone = set() if held is None else set(held).intersection(hashes)
+            left = n - sum(w for h, w in zip(hashes, sizes) if h in gone)
+            failed = n < BASE_WORDS or 100 * repeats > BASE_REPEATS * n
+            kept.append(not failed and left >= limits.words_left and left >= limits.share_left * n)
+            cut.append("\n".join(x for x in text.split("\n") if line_hash(x) not in gone) if gone and kept[-1] else text)
+        return pd.DataFrame({"text": pd.Series(cut, dtype=object), "kept": kept})
+
+    # Not deterministic for the planner: it runs once for each row, for both the verdict and the text.
+    done = joined.select("row", ruled.asNondeterministic()(F.col("d.text"), F.col("h.lines")).alias("r")).where("r.kept")
+    made = {"text": F.col("r.text")} | ({"n_chars": F.length("r.text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return done.select(*((made[c] if c in made else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"]

@@ -279,8 +279,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component, all columns; of repeated rows with one id and text, one."""
     kept = stored(near_duplicates(docs).where("kept").groupBy("doc_id", "digest").count())
-    repeated = keyed(docs, kept.where("count > 1"))
-    return keyed(docs, kept.where("count = 1")).unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    # Stored apart, so that Spark knows how few there are and does not shuffle the texts once more for them.
+    repeated = stored(kept.where("count > 1"))
+    return keyed(docs, kept.where("count = 1")).unionByName(keyed(docs, repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def keyed(docs: DataFrame, keys: DataFrame) -> DataFrame:
