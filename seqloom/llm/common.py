@@ -17,7 +17,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 #: Text handled at once inside a Python task; one longer text is a slice of its own.
 SLICE_CHARS = 6_000_000
 
-__all__ = ["BLANKS", "SLICE_CHARS", "WHITE", "documents", "fold", "map_slices", "slices", "stored", "table", "tune"]
+__all__ = ["BLANKS", "SLICE_CHARS", "WHITE", "documents", "fold", "map_slices", "runs", "slices", "stored", "table", "tune"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -49,6 +49,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = S
             yield batch.slice(start)
 
 
+def runs(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[slice]:
+    """Places of consecutive texts that hold about `chars` characters at most, or one text."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if i > start and held + n > chars:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def map_slices(df: DataFrame, work: Callable, schema: str, text: str = "text", chars: int = SLICE_CHARS) -> DataFrame:
     """`work` makes a dict of columns from each slice; rows stay with their partition, so nothing is shuffled."""
     names = [part.split()[0] for part in schema.split(",")]

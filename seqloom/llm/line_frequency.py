@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from seqloom.llm.common import BLANKS, map_slices, stored, table
+from seqloom.llm.common import BLANKS, map_slices, runs, stored, table
 
 #: A line is removed when more distinct documents of its host hold it than this share of them, and than this number.
 SHARE, LEAST = 0.10, 5
@@ -176,7 +176,12 @@ def ruled_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     @F.pandas_udf("text string, kept boolean")
     def ruled(texts: pd.Series, lines: pd.Series) -> pd.DataFrame:
-        made = measured_texts(list(texts))
+        texts, lines = list(texts), list(lines)
+        parts = [judge(texts[run], lines[run]) for run in runs(texts)]
+        return pd.DataFrame({"text": pd.Series([t for cut, _ in parts for t in cut], dtype=object), "kept": [k for _, kept in parts for k in kept]})
+
+    def judge(texts: list, lines: list) -> tuple[list, list]:
+        made = measured_texts(texts)
         kept, cut = [], []
         for text, held, n, repeats, hashes, sizes in zip(texts, lines, made["n_words"], made["n_repeat_words"], made["line_hashes"], made["line_words"]):
             gone = set() if held is None else set(held).intersection(hashes)
@@ -184,7 +189,7 @@ def ruled_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             failed = n < BASE_WORDS or 100 * repeats > BASE_REPEATS * n
             kept.append(not failed and left >= limits.words_left and left >= limits.share_left * n)
             cut.append("\n".join(x for x in text.split("\n") if line_hash(x) not in gone) if gone and kept[-1] else text)
-        return pd.DataFrame({"text": pd.Series(cut, dtype=object), "kept": kept})
+        return cut, kept
 
     # Not deterministic for the planner: it runs once for each row, for both the verdict and the text.
     done = joined.select("row", ruled.asNondeterministic()(F.col("d.text"), F.col("h.lines")).alias("r")).where("r.kept")

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seqloom.llm.common import documents, fold, map_slices, table
+from seqloom.llm.common import documents, fold, map_slices, runs, table
 from seqloom.llm.crf import fitted, forward_backward
 
 #: Labelled documents of each class that the model is fitted on at most, chosen by a hash of the id, and
@@ -84,6 +84,9 @@ class QualityModel:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Share of each text that lies in good lines; a text without lines gets the prior of class 1."""
+        return np.concatenate([np.zeros(0), *(self._scores(texts[run]) for run in runs(texts))])
+
+    def _scores(self, texts: list[str]) -> np.ndarray:
         parts = [lines_of(t) for t in texts]
         sizes = np.array([len(p) for p in parts], dtype=np.int64)
         x = observed(parts)
