@@ -44,7 +44,7 @@ _hash: dict[bytes, int] = {}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hash) > 500_000:
+    if len(_hash) > 200_000:
         _hash.clear()
     out = np.empty(len(words), dtype=np.uint64)
     get, make = _hash.get, xxhash.xxh64_intdigest
