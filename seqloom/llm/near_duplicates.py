@@ -5,14 +5,14 @@ collections, so COLLECTIONS * PER_COLLECTION minhashes fill COLLECTIONS * (COLLE
 that use 2 * PER_COLLECTION of them each. Two sets with similarity s agree on a collection with
 probability p = s ** PER_COLLECTION and meet in a table unless fewer than two collections agree.
 
-A table bucket is never expanded into all pairs of its members. First each member is compared with the
+A table bucket is never expanded into all pairs of its members at first. Each member is compared with the
 bucket's first and with the next few by id (a digest, the same order in every bucket, so that members who
 share many buckets are not compared with ever new neighbours); confirmed links join into
-components. Buckets whose members then lie in several components are looked at again: where few pairs
-across components are left for each member, those are compared; other buckets are divided by two more
-collections (ever longer keys), until nothing is left.
-Candidates that agree on too few minhashes are not compared; the rest is confirmed on full
-sets of shingles, whose exact sizes of intersection and union decide.
+components. Buckets whose members then lie in several components are looked at again, and every pair
+across components is compared: where few are left for each member, pair by pair; members of the other
+(hot) buckets come together in clusters and are compared exactly on their full sets, block against block.
+Candidates met pair by pair that agree on too few minhashes are not compared; the rest is confirmed on
+full sets of shingles, whose exact sizes of intersection and union decide.
 """
 
 from __future__ import annotations
@@ -35,8 +35,12 @@ AGREE = 36
 #: Neighbours by id that a member is compared with first; the order runs within parts of PART members.
 #: One table in RING_TABLES does this: it only joins up most of a group early, and is no condition for finding a link.
 RING, RING_TABLES, PART = 2, 8, 1024
-#: A bucket whose pairs across components come to at most this many for each member has them compared.
+#: A bucket whose pairs across components come to at most this many for each member has them compared pair by
+#: pair, any other one in blocks: either way all of them.
 ACROSS = 128
+#: Sets and shingles in a block, on average. Sets of sizes more than a factor SIZE_STEP apart (a little above
+#: 4/3) cannot reach the similarity: blocks hold one class of sizes and meet only those of the next.
+BLOCK_SETS, BLOCK_SHINGLES, SIZE_STEP = 1024, 1_000_000, 1.34
 SEED = 20
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -192,35 +196,83 @@ def linked(docs: DataFrame, sets: DataFrame) -> DataFrame:
     tried = stored(agreeing(first_pairs(rows), sets))
     full = stored(full_sets(docs, sets, ends(tried)))
     found = stored(confirmed(tried, full))
-    live = rows
     labels = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    for _ in range(COLLECTIONS // 2):
-        at = F.coalesce("component", "id").alias("component")
-        placed = live.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "held", "id", "doc", at)
-        # Pairs across components: half of what the squares of the components leave of the bucket's square.
-        per = placed.groupBy("bucket", "held", "component").agg(F.count("*").alias("s"))
-        open_ones = per.groupBy("bucket", "held").agg(F.sum("s").alias("size"), F.sum(F.col("s") * F.col("s")).alias("squares")).where("squares < size * size AND size > 2")
-        open_ones = open_ones.select("bucket", "held", (F.col("size") * F.col("size") - F.col("squares") <= 2 * ACROSS * F.col("size")).alias("few"))
-        placed = stored(placed.join(open_ones, ["bucket", "held"]))
-        if placed.isEmpty():
-            break
-        few = stored(placed.where("few").join(own.select("id", "c"), "id"))
-        x = few.select("bucket", "held", F.col("id").alias("a"), F.col("component").alias("ac"), F.col("c").alias("x"))
-        y = few.select("bucket", "held", F.col("id").alias("b"), F.col("component").alias("bc"), F.col("c").alias("y"))
-        wanted = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & first_shared()
-        across = x.join(y, ["bucket", "held"]).where(wanted).select("a", "b")
-        live = stored(divided(placed.where("NOT few"), own))
-        fresh = stored(agreeing(across.unionByName(first_pairs(live)).distinct().join(tried, ["a", "b"], "left_anti"), sets))
-        tried = tried.unionByName(fresh)
-        missing = ends(fresh).join(full.select("id"), "id", "left_anti")
-        full = full.unionByName(stored(full_sets(docs, sets, stored(missing))))
-        more = stored(confirmed(fresh, full))
-        found = found.unionByName(more)
-        if not more.isEmpty():
-            labels = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if live.isEmpty():
-            break
-    return labels
+    at = F.coalesce("component", "id").alias("component")
+    placed = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "held", "id", at)
+    # Pairs across components: half of what the squares of the components leave of the bucket's square.
+    per = placed.groupBy("bucket", "held", "component").agg(F.count("*").alias("s"))
+    open_ones = per.groupBy("bucket", "held").agg(F.sum("s").alias("size"), F.sum(F.col("s") * F.col("s")).alias("squares")).where("squares < size * size AND size > 2")
+    open_ones = open_ones.select("bucket", "held", (F.col("size") * F.col("size") - F.col("squares") <= 2 * ACROSS * F.col("size")).alias("few"))
+    placed = stored(placed.join(open_ones, ["bucket", "held"]))
+    if placed.isEmpty():
+        return labels
+    few = stored(placed.where("few").join(own.select("id", "c"), "id"))
+    x = few.select("bucket", "held", F.col("id").alias("a"), F.col("component").alias("ac"), F.col("c").alias("x"))
+    y = few.select("bucket", "held", F.col("id").alias("b"), F.col("component").alias("bc"), F.col("c").alias("y"))
+    # A pair whose first shared bucket is a hot one is compared there.
+    wanted = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & first_shared()
+    across = x.join(y, ["bucket", "held"]).where(wanted).select("a", "b")
+    fresh = stored(agreeing(across.distinct().join(tried, ["a", "b"], "left_anti"), sets))
+    hot = stored(clusters(placed.where("NOT few")))
+    missing = ends(fresh).unionByName(hot.select("id")).distinct().join(full.select("id"), "id", "left_anti")
+    full = full.unionByName(stored(full_sets(docs, sets, stored(missing))))
+    more = stored(confirmed(fresh, full))
+    if not hot.isEmpty():
+        more = stored(more.unionByName(block_links(hot, full)))
+    if more.isEmpty():
+        return labels
+    return components(found.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def clusters(hot: DataFrame) -> DataFrame:
+    """id, component and cluster of the members of hot buckets: those who share one are in one cluster."""
+    first = hot.groupBy("bucket", "held").agg(F.min("id").alias("v"))
+    edges = hot.join(first, ["bucket", "held"]).select(F.col("id").alias("u"), "v").where("u != v").distinct()
+    of = components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    return hot.select("id", "component").distinct().join(of, "id")
+
+
+def block_links(hot: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a < b) across components among all members of each cluster, from their full sets, block against block."""
+    size = F.floor(F.log(F.size("shingles")) / F.log(F.lit(SIZE_STEP))).cast("int").alias("scale")
+    members = stored(hot.join(full.dropDuplicates(["id"]), "id").select("cluster", size, "id", "component", "shingles"))
+    heavy = members.groupBy("cluster", "scale").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
+    placed = members.join(heavy, ["cluster", "scale"]).select("cluster", "scale", block, "id", "component", "shingles")
+    every = heavy.select("cluster", "scale", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
+    left = every.select("cluster", F.col("scale").alias("ls"), F.col("block").alias("lb"))
+    right = every.select("cluster", F.col("scale").alias("rs"), F.col("block").alias("rb"))
+    met = stored(left.join(right, "cluster").where("rs = ls + 1 OR (rs = ls AND lb <= rb)"))
+    names = ["cluster", "ls", "lb", "rs", "rb"]
+    one = placed.withColumnsRenamed({"scale": "ls", "block": "lb"}).join(met, ["cluster", "ls", "lb"]).select(*names, F.lit(0).alias("side"), "id", "component", "shingles")
+    two = placed.withColumnsRenamed({"scale": "rs", "block": "rb"}).join(met.where("rs != ls OR rb != lb"), ["cluster", "rs", "rb"]).select(*names, F.lit(1).alias("side"), "id", "component", "shingles")
+
+    def work(block: pa.Table) -> pa.Table:
+        side = block.column("side").to_numpy()
+        ids, component = block.column("id").to_numpy(), block.column("component").to_numpy()
+        lists = block.column("shingles").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        code = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        starts = np.cumsum(sizes) - sizes
+        ours = np.flatnonzero(side == 0)
+        theirs = np.flatnonzero(side == 1) if side.any() else ours
+        at = np.repeat(starts[theirs] - (np.cumsum(sizes[theirs]) - sizes[theirs]), sizes[theirs]) + np.arange(sizes[theirs].sum())
+        flat, begin = code[at], np.cumsum(sizes[theirs]) - sizes[theirs]
+        held = np.zeros(int(code.max(initial=-1)) + 1, dtype=np.int32)
+        a, b = [], []
+        for i in ours.tolist() if len(theirs) else []:
+            own = code[starts[i] : starts[i] + sizes[i]]
+            held[own] = 1
+            shared = np.add.reduceat(held[flat], begin)
+            held[own] = 0
+            near = (DENOMINATOR * shared >= NUMERATOR * (sizes[i] + sizes[theirs] - shared)) & (component[theirs] != component[i])
+            found = ids[theirs[near]]
+            a.append(np.minimum(found, ids[i]))
+            b.append(np.maximum(found, ids[i]))
+        none = [np.zeros(0, dtype=np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    return one.unionByName(two).groupBy(*names).applyInArrow(work, "a bigint, b bigint").distinct()
 
 
 def first_shared() -> F.Column:
@@ -249,14 +301,6 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
 
 
-def divided(many: DataFrame, own: DataFrame) -> DataFrame:
-    """Buckets too large to compare get longer keys: two more collections, in every way there is."""
-    keys = F.filter(F.array(*(keys_of(two, [F.col("bucket")]) for two in TABLES)), lambda t: t.isNotNull())
-    rows = many.join(own.drop("doc"), "id").select("id", "doc", "bucket", "held", F.explode(keys).alias("t"))
-    rows = rows.where(F.col("held").bitwiseAND(F.col("t.two")) == 0)
-    return rows.select("id", "doc", "t.bucket", F.col("held").bitwiseOR(F.col("t.two")).alias("held")).distinct()
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the text), n_shingles, component_id and kept of every document.
 

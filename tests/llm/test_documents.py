@@ -194,6 +194,29 @@ def test_hot_groups_of_copies_and_of_a_common_passage(spark, monkeypatch):
     assert got(near.near_duplicates(documents(spark, rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
 
 
+def swapped(text, seed, count):
+    """The text with `count` words apart from each other replaced: each takes SHINGLE shingles with it."""
+    draw, parts = random.Random(seed), text.split()
+    for at in draw.sample(range(5, len(parts) - 5, 6), count):
+        parts[at] = f"zz{seed}x{at}"
+    return " ".join(parts)
+
+
+@pytest.mark.parametrize("block", [1024, 32])
+def test_links_just_above_the_limit_inside_a_hot_group(spark, monkeypatch, block):
+    # All share a template (about 0.6 of each other); every third has one partner at 0.75 to 0.78.
+    monkeypatch.setattr(near, "ACROSS", 2)
+    monkeypatch.setattr(near, "BLOCK_SETS", block)
+    template = words(8000, 204)
+    rows = [(k, f"{template} {words(8100 + k, 66)}", None, None, 0) for k in range(300)]
+    rows += [(1000 + k, swapped(rows[k][1], k, 7), None, None, 0) for k in range(0, 300, 3)]
+    sets = [shingles(r[1]) for r in rows]
+    between = [len(sets[0] & s) / len(sets[0] | s) for s in sets[1:300]]
+    linked = [len(sets[k] & sets[300 + k // 3]) / len(sets[k] | sets[300 + k // 3]) for k in range(0, 300, 3)]
+    assert max(between) < 0.66 and 0.75 <= min(linked) and max(linked) < 0.79
+    assert got(near.near_duplicates(documents(spark, rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = odd_rows() + [(50, words(1, 80) + " more", None, None, 0), (50, words(1, 80) + " more", None, None, 0), (51, words(77, 20), None, None, 0), (51, words(77, 20), None, None, 0)]
     kept = near.first_of_each(documents(spark, rows, True))
