@@ -115,10 +115,8 @@ def disclosing_terms(texts: DataFrame, found: DataFrame, support: int = SUPPORT,
     met = pairs.groupBy("entity", "term").agg(F.count("*").alias("net"), F.count_distinct("context").alias("different")).where(F.col("different") >= support)
     # N: places a word can stand at, taken as a sixth of the characters.
     total = texts.agg(F.greatest(F.sum(F.length("text")) / 6, F.lit(2.0)).alias("n"))
-    near = every.groupBy("term").agg(F.count("*").alias("nt"))
-    met = met.join(entities.select("entity", "ne"), "entity").join(near, "term").crossJoin(F.broadcast(total))
-    # A term stands in the corpus at least as often as in contexts: pairs below the threshold by that count are out.
-    met = stored(met.where(disclosure(F.col("nt")) >= disclosed).drop("nt"))
+    met = stored(met.join(entities.select("entity", "ne"), "entity").crossJoin(F.broadcast(total)))
+    # The corpus counts decide alone: contexts overlap, so a term can be in more of them than it has places.
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
     counts = words.groupBy("term").agg(F.count("*").alias("nt"))
     joined = counts.join(met, "term").withColumn("disclosure", disclosure(F.col("nt")))

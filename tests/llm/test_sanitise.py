@@ -81,6 +81,17 @@ def test_terms_that_disclose(spark):
     assert spans[20] == []
 
 
+def test_a_name_among_four_entities(spark):
+    # The name stands once a line, but in the contexts of all four: it is counted by its places, not by contexts.
+    rows = [(i, f"{words(200 + i, 30)}\n{words(300 + i, 2)} boss@hq.org +1 (212) 555-0100 Zaphodius 10.1.2.3 {words(400 + i, 2)} 4111 1111 1111 1111", None, None, None) for i in range(16)]
+    texts = identified(documents(spark, rows))
+    found = texts.select("text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    assert {s["kind"] for s in found.first()["spans"]} == set(KINDS)
+    terms = {r["term"]: r["disclosure"] for r in disclosing_terms(texts, found).collect()}
+    assert abs(terms["zaphodius"] - 1) < 1e-9
+    assert all("Zaphodius" not in r["text"] for r in sanitised(documents(spark, rows)).collect())
+
+
 def test_replacement(spark):
     rows = corpus() + [(91, "card 4111 1111 1111 1111, +1 (212) 555-0100.", "en", "s", 9), (92, None, None, None, None), (None, "null id a@b.co", None, None, None)]
     out = {r["doc_id"]: r for r in sanitised(documents(spark, rows, True)).collect()}
