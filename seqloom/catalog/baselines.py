@@ -67,11 +67,25 @@ def ridge_within_vector(spark, folder):
 
 
 def boosted_trees(spark, folder):
-    """Boosted trees for the first property, in sample, at the full number of iterations."""
+    """Boosted trees for all eight properties at the full number of iterations, in sample and held out."""
     data = stored(normalised_pairs(spark, folder).select("doc_id", "sequence", "target"))
     prepared = baseline.with_features(baseline.with_folds(data, "doc_id", FOLDS, SEED), "doc_id", "sequence", "composition")
-    fitted = baseline.gbm_predictions(prepared, slots=[0], held_out=False)
-    return fitted.select("doc_id", F.col("in_sample")[0].alias("prediction"), F.col("fitted_target")[0].alias("target"))
+    fitted = baseline.gbm_predictions(stored(prepared))
+    long = fitted.select("doc_id", "fold", F.posexplode(F.arrays_zip("in_sample", "held_out", "fitted_target")).alias("slot", "p"))
+    return long.select("doc_id", "fold", property_name("slot").alias("property"), "p.in_sample", "p.held_out", F.col("p.fitted_target").alias("target"))
+
+
+def baseline_grid(spark, folder):
+    """Every feature set under ridge and boosted trees: in-sample and cross-validated scores."""
+    return baseline.evaluate_grid(stored(normalised_pairs(spark, folder).select("doc_id", "sequence", "target")), "doc_id", "sequence", k=FOLDS)
+
+
+def baseline_summary(spark, folder):
+    return baseline.grid_summary(stored(baseline_grid(spark, folder)))
+
+
+def best_baseline(spark, folder):
+    return baseline.best_baseline(baseline_summary(spark, folder))
 
 
 _FOLDED = f"""{NORMALISED},
@@ -92,4 +106,7 @@ SELECT ['toughness','toughness_sd','E','E_sd','strength','strength_sd','strain',
     "ridge_by_individual": Entry(ridge_by_individual),
     "ridge_within_vector": Entry(ridge_within_vector),
     "boosted_trees": Entry(boosted_trees),
+    "baseline_grid": Entry(baseline_grid),
+    "baseline_summary": Entry(baseline_summary),
+    "best_baseline": Entry(best_baseline),
 }

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom.catalog import baselines
 from seqloom.operators import ablation, association, baseline, pools, ranking, scoring
 
 
@@ -151,6 +152,28 @@ def test_boosted_trees_fit_and_hold_out(spark):
     assert error < 1.0
 
 
+def test_registered_trees_and_grid_do_the_whole_job(spark, monkeypatch):
+    # Stand-ins for the ensembles: the registered work is eight slots with folds, and the whole grid.
+    asked = []
+
+    def fitted(df, slots=None, held_out=True, **_):
+        asked.append((slots, held_out))
+        slots = list(range(8)) if slots is None else slots
+        own = F.array(*(F.col("target")[s] for s in slots))
+        return df.withColumns({"in_sample": own, "held_out": own if held_out else F.array(*(F.lit(None).cast("double") for _ in slots)), "fitted_target": own})
+
+    monkeypatch.setattr(baseline, "gbm_predictions", fitted)
+    queries, folder = baselines.ENTRIES, "/root/testdata/sf0.001"
+    trees = queries["boosted_trees"].run(spark, folder)
+    assert {r["n"] for r in trees.groupBy("doc_id").agg(F.count_distinct("property").alias("n")).collect()} == {8}
+    assert trees.where("held_out IS NULL AND target IS NOT NULL").isEmpty()
+    grid = queries["baseline_grid"].run(spark, folder).collect()
+    assert len({(r["property"], r["feature_set"], r["model"]) for r in grid}) == len(grid) == 48
+    assert asked == [(None, True)] * 4
+    assert queries["baseline_summary"].run(spark, folder).count() == 6
+    assert [r["model"] for r in queries["best_baseline"].run(spark, folder).collect()] == ["gbm"]
+
+
 def test_schemes(spark):
     schemes = association.schemes_table(spark)
     assert association.scheme_defects(schemes).isEmpty()
