@@ -12,6 +12,7 @@ from seqloom.llm.near_duplicates import op9_tensored_minhash
 from seqloom.llm.packing import op5_certified_packing
 from seqloom.llm.pivot_search import OP8_SQL, op8_pivot_search
 from seqloom.llm.sanitise import op7_disclosure_sanitising
+from seqloom.llm.spelling import OP12_SQL, op12_asymmetric_chunks
 from seqloom.llm.text_density import OP11_SQL, op11_text_density
 from seqloom.llm.token_counts import op6_token_counts
 from seqloom.llm.word_shuffle import op10_word_shuffle_bpe
@@ -28,6 +29,7 @@ _ALL = (
     op9_tensored_minhash,
     op10_word_shuffle_bpe,
     op11_text_density,
+    op12_asymmetric_chunks,
 )
 QUERIES: dict[str, Callable] = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op1_chat_windows": OP1_SQL, "op2_line_frequency": OP2_SQL, "op8_pivot_search": OP8_SQL, "op11_text_density": OP11_SQL}
+SQL: dict[str, str] = {"op1_chat_windows": OP1_SQL, "op2_line_frequency": OP2_SQL, "op8_pivot_search": OP8_SQL, "op11_text_density": OP11_SQL, "op12_asymmetric_chunks": OP12_SQL}
