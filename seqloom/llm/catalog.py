@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from seqloom.llm.alignment import op13_pair_hashing
 from seqloom.llm.chat_windows import OP1_SQL, op1_chat_windows
 from seqloom.llm.language_id import op3_crf_language
 from seqloom.llm.line_frequency import OP2_SQL, op2_line_frequency
@@ -30,6 +31,7 @@ _ALL = (
     op10_word_shuffle_bpe,
     op11_text_density,
     op12_asymmetric_chunks,
+    op13_pair_hashing,
 )
 QUERIES: dict[str, Callable] = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {"op1_chat_windows": OP1_SQL, "op2_line_frequency": OP2_SQL, "op8_pivot_search": OP8_SQL, "op11_text_density": OP11_SQL, "op12_asymmetric_chunks": OP12_SQL}

@@ -108,13 +108,13 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
 
 #: crc32 step by step over the bytes of `<doc_id>:<run>`; near words share what is left without one code point.
 OP12_SQL = f"""
-WITH RECURSIVE steps AS (SELECT list_transform(range(256), i -> list_reduce(list_concat([i], range(8)), (c, k) ->
+WITH RECURSIVE steps AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k:
     CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
 runs AS (SELECT doc_id, translate(r, '{UPPER}', '{LOWER}') AS run, count(*) AS k
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]{{{LEAST_LENGTH},}}')) AS r FROM documents) GROUP BY ALL),
-hashed AS (SELECT run, k, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), c ->
+hashed AS (SELECT run, k, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda c:
     CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))),
-    (s, b) -> xor(s >> 8, step[(xor(s, b) & 255) + 1])), 4294967295) AS h FROM runs, steps),
+    lambda s, b: xor(s >> 8, step[(xor(s, b) & 255) + 1])), 4294967295) AS h FROM runs, steps),
 cut AS (SELECT k, CASE WHEN h % {DAMAGED} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
 words AS (SELECT word, sum(k)::BIGINT AS n FROM cut WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(k) >= {LEAST_COUNT}),
 without AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
