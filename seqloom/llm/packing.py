@@ -1,11 +1,14 @@
 """Best-fit packing with bound-certified repacking.
 
 Documents become token ids; only those longer than a sequence are cut. Items (pieces) are dealt to
-partitions by hash and each partition packs its own by best-fit decreasing. Dual feasible functions give
-a lower bound on the sequences the partition's items need: a partition that meets it is certified. One
-that does not puts the items of its sequences that are not full into an exchange, and every certified
-one its emptiest sequence; the exchanged items are dealt anew to fewer partitions, which pack and certify
-again. Only lengths take part in this; token ids stay in the table of pieces.
+partitions by their rank in order of length, so that every partition has the same mix of lengths, and each
+partition packs its own by best-fit decreasing. Dual feasible functions give a lower bound on the sequences
+that a partition's items need, and one for the whole table: the packing is certified when it meets that.
+Until then, partitions above their bound put the items of their sequences that are not full into an
+exchange, and every other one its emptiest sequence; the exchanged items are dealt anew to fewer
+partitions, which pack and certify again. An exchange that needs no fewer sequences than the places its
+items had before is not taken, and ends the rounds. Only lengths take part in this; token ids stay in the
+table of pieces.
 """
 
 from __future__ import annotations
@@ -26,14 +29,13 @@ from tokenizers import Tokenizer
 
 from seqloom.llm.bpe import json_merges
 from seqloom.llm.common import WHITE, documents, map_slices, stored, table
+from seqloom.operators.splitters import global_ranks
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 #: Items that one partition packs. Its rows are seven numbers each.
 ITEMS = 50_000
-#: Packing rounds at most; each exchange deals what is left to fewer partitions.
-ROUNDS = 4
 #: Chunk encodings that a Python worker keeps, then starts anew.
 REMEMBERED = 700_000
 
@@ -144,14 +146,19 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Sequences that items of these lengths need at least: the largest sum over dual feasible functions.
+    return lower_bound_of(lengths, np.ones(len(lengths), dtype=np.int64), capacity)
+
+
+def lower_bound_of(lengths: np.ndarray, times: np.ndarray, capacity: int) -> int:
+    """Sequences that so many items of these lengths need at least: the largest sum over dual feasible functions.
 
     Two families: items above capacity - t count as whole sequences and items below t as nothing, for
     every t up to half; and sizes rounded to the k-th part of a sequence, kept where they are exact.
     """
     if not len(lengths):
         return 0
-    number = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    number = np.zeros(capacity + 1, dtype=np.int64)
+    np.add.at(number, lengths, times)
     size = np.arange(capacity + 1)
     count, volume = np.cumsum(number), np.cumsum(number * size)
     t = np.arange(capacity // 2 + 1)
@@ -169,8 +176,8 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 ITEM = "part bigint, round int, bin bigint, offset bigint, settled boolean, bins bigint, bound bigint"
 
 
-def packed_round(items: DataFrame, parts: int, number: int, capacity: int, last: bool) -> DataFrame:
-    """One round: deal, pack, certify. `settled` items keep their place; the others go into the exchange."""
+def packed_round(items: DataFrame, parts: int, number: int, capacity: int) -> DataFrame:
+    """One round: deal, pack, certify. Items that are not `settled` may go into an exchange."""
 
     def pack(group: pa.Table) -> pa.Table:
         order = pc.sort_indices(group, sort_keys=[("length", "descending"), ("key", "ascending")])
@@ -179,45 +186,59 @@ def packed_round(items: DataFrame, parts: int, number: int, capacity: int, last:
         bins, offsets = best_fit_decreasing(lengths, capacity)
         count, bound = int(bins.max()) + 1, lower_bound(lengths, capacity)
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        if last:
-            kept = np.ones(count, dtype=bool)
-        elif count > bound:
-            kept = fill == capacity
-        else:
-            kept = np.arange(count) != int(np.argmin(fill))
-            kept |= fill == capacity
+        kept = fill == capacity
+        if count == bound:
+            kept |= np.arange(count) != int(np.argmin(fill))
         n = len(bins)
         made = {"round": pa.array(np.full(n, number, dtype=np.int32)), "bin": pa.array(bins), "offset": pa.array(offsets), "settled": pa.array(kept[bins]), "bins": pa.array(np.full(n, count)), "bound": pa.array(np.full(n, bound))}
         for name, column in made.items():
             group = group.append_column(name, column)
         return group.select(names)
 
-    plain = items.select(*(c for c in items.columns if c not in {"part", "round", "bin", "offset", "settled", "bins", "bound"}))
+    plain = items.select(*(c for c in items.columns if c not in {"part", "round", "bin", "offset", "settled", "bins", "bound", "rank"}))
     names = [*plain.columns, *(f.split()[0] for f in ITEM.split(", "))]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", " + ITEM
-    dealt = plain.withColumn("part", F.pmod(F.xxhash64("key", F.lit(number)), F.lit(parts)))
+    if parts == 1:
+        dealt = plain.withColumn("part", F.lit(0).cast("bigint"))
+    else:
+        dealt = global_ranks(plain, ["length", "key"]).withColumn("part", F.col("rank") % parts).drop("rank")
     return stored(dealt.groupBy("part").applyInArrow(pack, schema))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """The pieces (columns key and length at least) with sequence_id and offset, and for the round that
-    placed them the partition's sequences (`bins`) and lower bound (`bound`).
+def pack(pieces: DataFrame, capacity: int = CAPACITY, items: int = ITEMS) -> DataFrame:
+    """The pieces (columns key and length at least) with sequence_id and offset; for the round that placed them the
+    partition's sequences (`bins`) and lower bound (`bound`); and for the whole table `sequences` and `least`, its
+    lower bound: the packing is certified where both are equal, else `sequences - least` is the gap left open.
 
-    Lengths run from 1 to `capacity`. An empty table gives an empty result. Rounds end when nothing is
-    left to exchange, when the rest was packed as one partition, or after `rounds`.
+    Lengths run from 1 to `capacity`. An empty table gives an empty result. Every exchange taken saves at least
+    one sequence, so rounds end by themselves.
     """
-    waiting, done = pieces, None
-    for number in range(rounds):
+    # At most `capacity` rows.
+    by_length = pieces.groupBy("length").count().collect()
+    least = lower_bound_of(np.array([r["length"] for r in by_length], dtype=np.int64), np.array([r["count"] for r in by_length], dtype=np.int64), capacity)
+    parts, number, done = max(1, -(-sum(r["count"] for r in by_length) // items)), 0, []
+    placed = packed_round(pieces, parts, number, capacity)
+    total = sequence_count(placed)
+    while total > least and parts > 1:
+        waiting = placed.where("not settled")
         parts = max(1, -(-waiting.count() // items))
-        last = parts == 1 or number == rounds - 1
-        placed = packed_round(waiting, parts, number, capacity, last)
-        settled = placed.where("settled")
-        done = settled if done is None else done.unionByName(settled)
-        if last:
+        number += 1
+        again = packed_round(waiting, parts, number, capacity)
+        saved = sequence_count(waiting) - sequence_count(again)
+        if saved <= 0:
             break
-        waiting = placed.where("not settled")
+        done.append(placed.where("settled"))
+        placed, total = again, total - saved
+    for other in done:
+        placed = placed.unionByName(other)
     sequence = (F.col("round").cast("bigint") * F.lit(2**58) + F.col("part") * F.lit(2**26) + F.col("bin")).alias("sequence_id")
-    return done.select(*(c for c in pieces.columns), sequence, "offset", "round", "part", "bins", "bound")
+    both = [F.lit(total).cast("bigint").alias("sequences"), F.lit(least).cast("bigint").alias("least")]
+    return placed.select(*pieces.columns, sequence, "offset", "round", "part", "bins", "bound", *both)
+
+
+def sequence_count(placed: DataFrame) -> int:
+    # Every sequence has one item at its start.
+    return placed.where("offset = 0").count()
 
 
 def pack_documents(docs: DataFrame, keep_ids: bool = False, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:

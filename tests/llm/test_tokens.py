@@ -123,6 +123,16 @@ def test_rounds_of_exchange_reach_the_bound(spark):
     alone = int(best_fit_decreasing(np.array(sorted(lengths, reverse=True)), 100)[0].max()) + 1
     assert lower_bound(np.array(lengths), 100) <= check_places(packed, 100) <= alone * 1.01 + 2
     assert packed.where("bins < bound").count() == 0
+    row = packed.first()
+    assert row["sequences"] == check_places(packed, 100) and row["least"] == lower_bound(np.array(lengths), 100)
+
+
+def test_dealing_gives_every_partition_the_same_mix(spark):
+    lengths = [51] * 700 + [49] * 700 + [100] * 50 + [30] * 600
+    packed = pack(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "key bigint, length bigint").repartition(5), capacity=100, items=150)
+    row = packed.first()
+    assert check_places(packed, 100) == row["sequences"] == row["least"] == 950
+    assert pack(spark.createDataFrame([], "key bigint, length bigint"), capacity=100).count() == 0
 
 
 def test_bounds_against_exhaustive_packing():
