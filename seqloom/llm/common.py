@@ -15,7 +15,7 @@ BLANKS = " \t\n\v\f\r"
 #: Characters of the Unicode property White_Space, as a class body for patterns.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Text handled at once inside a Python task; one longer text is a slice of its own.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 1_500_000
 
 __all__ = ["BLANKS", "SLICE_CHARS", "WHITE", "documents", "fold", "map_slices", "runs", "slices", "stored", "table", "tune"]
 

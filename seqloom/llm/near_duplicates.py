@@ -8,9 +8,11 @@ probability p = s ** PER_COLLECTION and meet in a table unless fewer than two co
 A table bucket is never expanded into all pairs of its members at first. Each member is compared with the
 bucket's first and with the next few by id (a digest, the same order in every bucket, so that members who
 share many buckets are not compared with ever new neighbours); confirmed links join into
-components. Buckets whose members then lie in several components are looked at again, and every pair
-across components is compared: where few are left for each member, pair by pair; members of the other
-(hot) buckets come together in clusters and are compared exactly on their full sets, block against block.
+components. Where the members of a bucket then lie in several components, each is compared a few times more
+with members of other components. Buckets that still hold several components are looked at a last time, and
+every pair across components is compared: where few are left for each member, pair by pair, where sizes and four bits
+of each minhash already tell most pairs apart while they are joined; members of the other (hot) buckets
+come together in clusters and are compared exactly on their full sets, block against block.
 Candidates met pair by pair that agree on too few minhashes are not compared; the rest is confirmed on
 full sets of shingles, whose exact sizes of intersection and union decide.
 """
@@ -35,6 +37,9 @@ AGREE = 36
 #: Neighbours by id that a member is compared with first; the order runs within parts of PART members.
 #: One table in RING_TABLES does this: it only joins up most of a group early, and is no condition for finding a link.
 RING, RING_TABLES, PART = 2, 8, 1024
+#: Then TURNS times, members of different components are compared with their next FAR in one table in FAR_TABLES.
+#: As RING this only joins groups up early: it spares comparisons, and finds no link that the last look would miss.
+TURNS, FAR, FAR_TABLES = 3, 4, 16
 #: A bucket whose pairs across components come to at most this many for each member has them compared pair by
 #: pair, any other one in blocks: either way all of them.
 ACROSS = 128
@@ -196,32 +201,100 @@ def linked(docs: DataFrame, sets: DataFrame) -> DataFrame:
     tried = stored(agreeing(first_pairs(rows), sets))
     full = stored(full_sets(docs, sets, ends(tried)))
     found = stored(confirmed(tried, full))
-    labels = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    at = F.coalesce("component", "id").alias("component")
-    placed = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "held", "id", at)
-    # Pairs across components: half of what the squares of the components leave of the bucket's square.
-    per = placed.groupBy("bucket", "held", "component").agg(F.count("*").alias("s"))
-    open_ones = per.groupBy("bucket", "held").agg(F.sum("s").alias("size"), F.sum(F.col("s") * F.col("s")).alias("squares")).where("squares < size * size AND size > 2")
-    open_ones = open_ones.select("bucket", "held", (F.col("size") * F.col("size") - F.col("squares") <= 2 * ACROSS * F.col("size")).alias("few"))
-    placed = stored(placed.join(open_ones, ["bucket", "held"]))
+    labels, placed = components(edges_of(found)), None
+    # What the first look left apart is tried with others of its buckets that lie in other components, in a new
+    # order each time, so that few pairs across components are left for the last look.
+    for turn in range(TURNS):
+        placed = stored(open_buckets(rows, labels))
+        if placed.isEmpty():
+            return labels
+        fresh = stored(agreeing(far_pairs(placed, turn).join(tried, ["a", "b"], "left_anti"), sets))
+        full = with_sets(docs, sets, full, ends(fresh))
+        more = stored(confirmed(fresh, full))
+        tried = tried.unionByName(fresh)
+        if more.isEmpty():
+            continue
+        found = found.unionByName(more)
+        labels = components(edges_of(found))
+    placed = stored(open_buckets(rows, labels))
     if placed.isEmpty():
         return labels
-    few = stored(placed.where("few").join(own.select("id", "c"), "id"))
-    x = few.select("bucket", "held", F.col("id").alias("a"), F.col("component").alias("ac"), F.col("c").alias("x"))
-    y = few.select("bucket", "held", F.col("id").alias("b"), F.col("component").alias("bc"), F.col("c").alias("y"))
-    # A pair whose first shared bucket is a hot one is compared there.
-    wanted = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & first_shared()
+    few = stored(placed.where("few").join(own.select("id", "c"), "id").join(sets.select("id", "n", signature("marks").alias("s")), "id"))
+    x = few.select("bucket", "held", F.col("id").alias("a"), F.col("component").alias("ac"), F.col("c").alias("x"), F.col("n").alias("an"), F.col("s").alias("sx"))
+    y = few.select("bucket", "held", F.col("id").alias("b"), F.col("component").alias("bc"), F.col("c").alias("y"), F.col("n").alias("bn"), F.col("s").alias("sy"))
+    # Only pairs that may be links become rows. A pair whose first shared bucket is a hot one is compared there.
+    wanted = (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & sized("an", "bn") & (alike("sx", "sy") >= AGREE) & first_shared()
     across = x.join(y, ["bucket", "held"]).where(wanted).select("a", "b")
     fresh = stored(agreeing(across.distinct().join(tried, ["a", "b"], "left_anti"), sets))
     hot = stored(clusters(placed.where("NOT few")))
-    missing = ends(fresh).unionByName(hot.select("id")).distinct().join(full.select("id"), "id", "left_anti")
-    full = full.unionByName(stored(full_sets(docs, sets, stored(missing))))
+    full = with_sets(docs, sets, full, ends(fresh).unionByName(hot.select("id")).distinct())
     more = stored(confirmed(fresh, full))
     if not hot.isEmpty():
         more = stored(more.unionByName(block_links(hot, full)))
     if more.isEmpty():
         return labels
-    return components(found.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return components(edges_of(found.unionByName(more)))
+
+
+def edges_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def with_sets(docs: DataFrame, sets: DataFrame, full: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`full` and the sets that `wanted` needs besides."""
+    missing = stored(wanted.join(full.select("id"), "id", "left_anti"))
+    return full if missing.isEmpty() else full.unionByName(stored(full_sets(docs, sets, missing)))
+
+
+def open_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, held, id, component and few for the members of buckets that lie in several components."""
+    at = F.coalesce("component", "id").alias("component")
+    placed = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "held", "id", at)
+    # Pairs across components: half of what the squares of the components leave of the bucket's square.
+    per = placed.groupBy("bucket", "held", "component").agg(F.count("*").alias("s"))
+    several = per.groupBy("bucket", "held").agg(F.sum("s").alias("size"), F.sum(F.col("s") * F.col("s")).alias("squares")).where("squares < size * size AND size > 2")
+    several = several.select("bucket", "held", (F.col("size") * F.col("size") - F.col("squares") <= 2 * ACROSS * F.col("size")).alias("few"))
+    return placed.join(several, ["bucket", "held"])
+
+
+def far_pairs(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a < b) of members of a bucket that follow each other, up to FAR places, in an order of this turn and lie in
+    different components. The order runs within parts of PART members; one table in FAR_TABLES takes part."""
+    mixed_id = F.xxhash64("id", F.lit(turn))
+    some = placed.where(F.pmod(F.hash("held", F.lit(turn)), F.lit(FAR_TABLES)) == 0).withColumn("h", mixed_id)
+    sizes = some.groupBy("bucket", "held").agg(F.count("*").alias("size"))
+    part = F.floor((F.col("h") / 2.0**64 + 0.5) * F.ceil(F.col("size") / PART))
+    order = Window.partitionBy("bucket", "held", "part").orderBy("h", "id")
+    next_ones = F.array(*(F.lead(F.struct("id", "component"), k).over(order) for k in range(1, FAR + 1)))
+    near = some.join(sizes, ["bucket", "held"]).withColumn("part", part).select("id", "component", next_ones.alias("near"))
+    met = near.select("id", "component", F.explode("near").alias("o")).where("o IS NOT NULL AND o.component != component")
+    return met.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+
+
+def signature(marks: str) -> F.Column:
+    """The lowest four bits of every minhash, sixteen to a number."""
+    count = COLLECTIONS * PER_COLLECTION
+    words = []
+    for start in range(0, count, 16):
+        four = [F.shiftleft(F.element_at(marks, i + 1).cast("bigint").bitwiseAND(F.lit(15)), 4 * (i - start)) for i in range(start, min(start + 16, count))]
+        word = four[0]
+        for f in four[1:]:
+            word = word.bitwiseOR(f)
+        words.append(word)
+    return F.array(*words)
+
+
+def alike(a: str, b: str) -> F.Column:
+    """How many of the four-bit marks of two signatures are equal: at least as many as minhashes are."""
+    count = COLLECTIONS * PER_COLLECTION
+    low = F.lit(0x1111111111111111)
+    unlike = F.lit(0)
+    for k in range(-(-count // 16)):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(low)
+        unlike = unlike + F.bit_count(x)
+    return F.lit(count) - unlike
 
 
 def clusters(hot: DataFrame) -> DataFrame:
