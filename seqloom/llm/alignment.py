@@ -1,16 +1,17 @@
 """Alignment of two tokenizers, with corpus-wide counts of linked pairs of ids.
 
 Both tokenizers cut the same bytes. Where a token of each ends, a group ends; tokens whose bytes overlap are
-linked. A text is read in segments: a space that follows no white space starts one. Neither tokenizer has
-tokens across such a place, so groups end there and a segment is aligned alike wherever it stands; tasks
-encode and align the distinct segments of a slice of texts once.
-
-A first pass collects the distinct pairs of ids. They are dealt to shards by hash, and each shard gets a
-minimal perfect hash: levels of bits, where a key is placed at the first level at which no other key left
-has its bit. Pairs then are numbers from 0 without gaps, and each task of the counting pass keeps one dense
-vector; vectors are added up in a tree, FAN at a time. The last pass aligns the documents again and looks
-the counts up. Every lookup compares the key kept at its index. Tables are sent to the tasks for ROUND
-pairs at most; with more pairs both passes run in as many rounds, and a document's sums are added up.
+linked. Texts are encoded once, and their ids stored. A text is encoded in segments (a space that follows no
+white space starts one): neither tokenizer has tokens across such a place, so a segment's ids are the same
+wherever it stands, and tasks encode distinct segments only.
+
+The first pass over the ids collects the distinct linked pairs. They are dealt to shards by hash, and each
+shard gets a minimal perfect hash: levels of bits, where a key is placed at the first level at which no
+other key left has its bit. Pairs then are numbers from 0 without gaps, and each task of the counting pass
+keeps one dense vector; vectors are added up in a tree, FAN at a time. The second pass aligns the documents
+again and looks the counts up. Every lookup compares the key kept at its index. Tables are sent to the tasks
+for ROUND pairs at most; with more pairs both passes run in as many rounds, and a document's sums are
+added up.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -33,10 +35,10 @@ from tokenizers import Tokenizer
 from seqloom.llm.common import WHITE, documents, slices, stored, table
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters of texts aligned at once; one longer text is a slice of its own.
-CHARS = 2_000_000
+#: Characters of texts encoded, and bytes of ids aligned, at once; one longer text is a slice of its own.
+CHARS, ID_BYTES = 3_000_000, 800_000
 #: Encoded segments that a Python worker keeps (those of at most REMEMBERED_CHARS), then starts anew.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 48
+REMEMBERED, REMEMBERED_CHARS = 300_000, 48
 #: Pairs of a shard, on average; of the tables sent to tasks at once (some 25 bytes each); vectors added at once.
 SHARD, ROUND, FAN = 65_536, 2_000_000, 32
 #: Bits for each key left at a level, and levels at most: one places about three in five of its keys.
@@ -62,10 +64,12 @@ class Pair:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = np.array([len(t) for t in self.bytes_a]), np.array([len(t) for t in self.bytes_b])
         self.space = self.b.piece_to_id("▁")
+        #: Kind of array and numpy type that holds any id.
+        self.kind, self.type = ("H", np.uint16) if max(len(self.bytes_a), len(pieces)) <= 1 << 16 else ("I", np.uint32)
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
 
     def encode(self, segments: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids (32 bits each) of both for each segment; None where the bytes of either are not the segment's."""
+        """Ids of both for each segment; None where the bytes of either are not the segment's."""
         if len(self.known) > REMEMBERED:
             self.known = {}
         got = [self.known.get(s, 0) for s in segments]
@@ -79,7 +83,7 @@ class Pair:
             for s, x, y in zip(part, one, two):
                 ids, plain = x.ids, s.encode()
                 same = b"".join([self.bytes_a[i] for i in ids]) == plain and b"".join([self.bytes_b[i] for i in y]) == plain
-                made.append((np.array(ids, dtype=np.int32).tobytes(), np.array(y, dtype=np.int32).tobytes()) if same else None)
+                made.append((array(self.kind, ids).tobytes(), array(self.kind, y).tobytes()) if same else None)
                 if len(s) <= REMEMBERED_CHARS:
                     self.known[s] = made[-1]
         new = iter(made)
@@ -101,27 +105,39 @@ def pair(first: str, second: str) -> Pair:
 SEGMENT = re.compile(f" [^ ]*(?:(?<=[{WHITE}]) [^ ]*)*")
 
 
+def encoded(docs: DataFrame, first: str, second: str) -> DataFrame:
+    """doc_id, and the ids of both tokenizers for each text; none where either changes the text's bytes."""
+
+    def run(batches):
+        of = pair(first, second)
+        for piece in slices(batches, "text", CHARS):
+            number: dict[str, int] = {}
+            cut = []
+            for text in piece.column("text").to_pylist():
+                cut.append([number.setdefault(s, len(number)) for s in SEGMENT.findall(" " + text)] if text else [])
+            ids = of.encode(list(number))
+            made = []
+            for segments in cut:
+                found = [ids[s] for s in segments]
+                made.append((b"", b"") if None in found else (b"".join([x for x, _ in found]), b"".join([y for _, y in found])))
+            columns = [piece.column("doc_id"), pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "a", "b"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = documents(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, a binary, b binary")
+    # The row tells rows with one id apart.
+    return stored(made.withColumn("row", F.monotonically_increasing_id()))
+
+
 class Aligned:
-    """The distinct segments of some texts, aligned; and which segments each text has, in order."""
-
-    def __init__(self, texts: list[str | None], of: Pair):
-        number: dict[str, int] = {}
-        self.segments, sizes = [], []
-        for text in texts:
-            found = SEGMENT.findall(" " + text) if text else []
-            self.segments.extend([number.setdefault(s, len(number)) for s in found])
-            sizes.append(len(found))
-        self.of_text = np.array(self.segments, dtype=np.int64)
-        self.ends = np.cumsum(np.array(sizes, dtype=np.int64))
-        self.starts = self.ends - sizes
-        self.n = len(number)
-        ids = of.encode(list(number))
-        self.bad = np.array([x is None for x in ids], dtype=bool)
-        good = [x or (b"", b"") for x in ids]
-        self.a = np.frombuffer(b"".join([x for x, _ in good]), dtype=np.int32).astype(np.int64)
-        self.b = np.frombuffer(b"".join([y for _, y in good]), dtype=np.int32).astype(np.int64)
-        self.n_a = np.array([len(x) for x, _ in good], dtype=np.int64) // 4
-        self.n_b = np.array([len(y) for _, y in good], dtype=np.int64) // 4
+    """The ids of some documents, aligned: links in order of documents, and where groups end."""
+
+    def __init__(self, piece: pa.RecordBatch, of: Pair):
+        one, two = piece.column("a").to_pylist(), piece.column("b").to_pylist()
+        self.a = np.frombuffer(b"".join(one), dtype=of.type).astype(np.int64)
+        self.b = np.frombuffer(b"".join(two), dtype=of.type).astype(np.int64)
+        width = np.dtype(of.type).itemsize
+        self.n_a, self.n_b = (np.array([len(x) for x in ids], dtype=np.int64) // width for ids in (one, two))
         size_a = of.size_a[self.a]
         end_a, end_b = np.cumsum(size_a), np.cumsum(of.size_b[self.b])
         low = np.searchsorted(end_b, end_a - size_a, side="right")
@@ -132,37 +148,16 @@ class Aligned:
         before = np.cumsum(many) - many
         left = np.repeat(np.arange(len(many)), many)
         right = np.arange(len(left)) - before[left] + low[left]
-        #: Links in order of segments, as one number for each pair of ids, and where each segment's end.
+        #: Links as one number for each pair of ids, and how many each document has.
         self.keys = self.a[left] << 32 | self.b[right]
-        self.link_ends = np.concatenate([[0], np.cumsum(many)])[np.cumsum(self.n_a)]
-
-    def of_segments(self, values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Sums of `values` by segment, whose values end at `ends`."""
-        upto = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[ends]
-        return np.diff(upto, prepend=0)
-
-    def of_texts(self, by_segment: np.ndarray) -> np.ndarray:
-        """Sums by text; zero where either tokenizer changes the text's bytes."""
-        upto = np.concatenate([[0], np.cumsum(by_segment[self.of_text], dtype=np.int64)])
-        sums = upto[self.ends] - upto[self.starts]
-        return np.where(self.spoilt(), 0, sums)
-
-    def spoilt(self) -> np.ndarray:
-        upto = np.concatenate([[0], np.cumsum(self.bad[self.of_text], dtype=np.int64)])
-        return upto[self.ends] > upto[self.starts]
-
-    def counted(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys of all links of the texts and how many links have each."""
-        spoilt = np.repeat(self.spoilt(), self.ends - self.starts)
-        times = np.bincount(self.of_text[~spoilt], minlength=self.n)
-        links = np.repeat(times, np.diff(self.link_ends, prepend=0))
-        keys, place = np.unique(self.keys[links > 0], return_inverse=True)
-        sums = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(sums, place, links[links > 0])
-        return keys, sums
+        self.n_links = self.by_document(many, self.n_a)
+
+    def by_document(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sums of `values`, of which each document has so many."""
+        return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[np.cumsum(sizes)], prepend=0)
 
     def digests(self) -> list[str]:
-        """sha256 of each text's groups; empty without tokens."""
+        """sha256 of each document's groups; empty without tokens."""
         names = label_tables(int(max(self.a.max(initial=0), self.b.max(initial=0))) + 1)
         opens_a = np.concatenate([[True], self.cut_a[:-1]]) if len(self.a) else self.cut_a
         opens_b = np.concatenate([[True], self.cut_b[:-1]]) if len(self.b) else self.cut_b
@@ -170,11 +165,7 @@ class Aligned:
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
         labels = np.concatenate([np.where(opens_a, names[";"][self.a], names[","][self.a]), np.where(opens_b, names["|"][self.b], names[","][self.b])])[order].tolist()
         ends = np.cumsum(self.n_a + self.n_b).tolist()
-        pieces = ["".join(labels[s:e]).encode() for s, e in zip([0, *ends[:-1]], ends)]
-        out = []
-        for s, e, spoilt in zip(self.starts.tolist(), self.ends.tolist(), self.spoilt().tolist()):
-            out.append(hashlib.sha256(b"".join([pieces[c] for c in self.segments[s:e]])[1:]).hexdigest() if e > s and not spoilt else "")
-        return out
+        return [hashlib.sha256("".join(labels[s:e])[1:].encode()).hexdigest() if e > s else "" for s, e in zip([0, *ends[:-1]], ends)]
 
 
 @lru_cache(2)
@@ -266,28 +257,28 @@ def worker_table(name: str, rows, shards: int) -> Lookup:
     return _tables[name][0]
 
 
-def mapped(docs: DataFrame, work, schema: str, first: str, second: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """`work` turns each slice's alignment and columns into batches; called with None at the end of a task."""
+def mapped(ids: DataFrame, work, schema: str, first: str, second: str) -> DataFrame:
+    """`work` turns each slice's alignment and columns into columns; called with None at the end of a task."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         task = work()
-        for piece in slices(batches, "text", CHARS):
-            made = task(Aligned(piece.column("text").to_pylist(), pair(first, second)), piece)
+        for piece in slices(batches, "a", ID_BYTES):
+            made = task(Aligned(piece, pair(first, second)), piece)
             if made is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(made[n]) if not isinstance(made[n], pa.Array) else made[n] for n in names], names)
         last = task(None, None)
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array(last[n]) for n in names], names)
 
-    return docs.select("doc_id", "text", *extra).mapInArrow(run, schema)
+    return ids.mapInArrow(run, schema)
 
 
-def distinct_pairs(docs: DataFrame, first: str, second: str) -> DataFrame:
+def distinct_pairs(ids: DataFrame, first: str, second: str) -> DataFrame:
     def work():
-        return lambda aligned, piece: {"key": aligned.counted()[0]} if aligned else None
+        return lambda aligned, piece: {"key": np.unique(aligned.keys)} if aligned else None
 
-    return mapped(docs, work, "key bigint", first, second).distinct()
+    return mapped(ids, work, "key bigint", first, second).distinct()
 
 
 def hashed(pairs: DataFrame, shards: int) -> DataFrame:
@@ -306,7 +297,7 @@ def hashed(pairs: DataFrame, shards: int) -> DataFrame:
     return pairs.select(shard("key").alias("shard"), "key").groupBy("shard").applyInArrow(build, "shard bigint, keys binary, levels array<binary>, sizes array<int>")
 
 
-def dense_counts(docs: DataFrame, rows, shards: int, name: str, first: str, second: str) -> DataFrame:
+def dense_counts(ids: DataFrame, rows, shards: int, name: str, first: str, second: str) -> DataFrame:
     """shard, part (of the corpus) and counts (64 bits each, by index) of the shards of one round."""
 
     def work():
@@ -315,7 +306,7 @@ def dense_counts(docs: DataFrame, rows, shards: int, name: str, first: str, seco
 
         def task(aligned, piece):
             if aligned is not None:
-                keys, links = aligned.counted()
+                keys, links = np.unique(aligned.keys, return_counts=True)
                 at = lookup.index(keys)
                 sums[at[at >= 0]] += links[at >= 0]
                 return None
@@ -327,7 +318,7 @@ def dense_counts(docs: DataFrame, rows, shards: int, name: str, first: str, seco
 
         return task
 
-    return mapped(docs, work, "shard bigint, part bigint, counts binary", first, second)
+    return mapped(ids, work, "shard bigint, part bigint, counts binary", first, second)
 
 
 def tree_summed(vectors: DataFrame, parts: int) -> DataFrame:
@@ -362,9 +353,9 @@ def most_of_second(counts: DataFrame) -> DataFrame:
 RESULT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
-def looked_up(docs: DataFrame, rows, best, shards: int, name: str, first: str, second: str, extra: tuple[str, ...], digests: bool) -> DataFrame:
-    """The columns of RESULT for each row; n_best and count_sum over the links of this round's pairs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def looked_up(ids: DataFrame, rows, best, shards: int, name: str, first: str, second: str, digests: bool) -> DataFrame:
+    """row, doc_id and the columns of RESULT; n_best and count_sum over the links of this round's pairs."""
+    kind = ids.schema["doc_id"].dataType.simpleString()
 
     def work():
         lookup = worker_table(name, lambda: rows.value, shards)
@@ -375,26 +366,20 @@ def looked_up(docs: DataFrame, rows, best, shards: int, name: str, first: str, s
             if aligned is None:
                 return None
             keys, place = np.unique(aligned.keys, return_inverse=True)
-            used = np.isin(keys, aligned.counted()[0])
-            at = np.full(len(keys), -1, dtype=np.int64)
-            at[used] = lookup.index(keys[used])
+            at = lookup.index(keys)
             held = np.where(at >= 0, counts[np.maximum(at, 0)] if len(counts) else 0, 0)
             top = (at >= 0) & (held == most[keys & 0xFFFFFFFF])
-            sums = {
-                "n_a": aligned.n_a, "n_b": aligned.n_b,
-                "n_groups": aligned.of_segments(aligned.cut_a, np.cumsum(aligned.n_a)),
-                "n_links": np.diff(aligned.link_ends, prepend=0),
-                "n_best": aligned.of_segments(top[place], aligned.link_ends),
-                "count_sum": aligned.of_segments(held[place], aligned.link_ends),
+            return {
+                "row": piece.column("row"), "doc_id": piece.column("doc_id"), "n_a": aligned.n_a, "n_b": aligned.n_b,
+                "n_groups": aligned.by_document(aligned.cut_a, aligned.n_a), "n_links": aligned.n_links,
+                "n_best": aligned.by_document(top[place], aligned.n_links),
+                "count_sum": aligned.by_document(held[place], aligned.n_links),
+                "groups_sha256": aligned.digests() if digests else pa.nulls(piece.num_rows, pa.string()),
             }
-            made = {column: aligned.of_texts(values) for column, values in sums.items()}
-            made["groups_sha256"] = aligned.digests() if digests else pa.nulls(piece.num_rows, pa.string())
-            return made | {c: piece.column(c) for c in ("doc_id", *extra)}
 
         return task
 
-    schema = f"doc_id {kind}, {RESULT}" + "".join(f", {c} bigint" for c in extra)
-    return mapped(docs, work, schema, first, second, extra)
+    return mapped(ids, work, f"row bigint, doc_id {kind}, {RESULT}", first, second)
 
 
 def aligned_documents(docs: DataFrame, first: str = FIRST, second: str = SECOND, most_pairs: int = ROUND, shard_pairs: int = SHARD) -> DataFrame:
@@ -407,8 +392,8 @@ def aligned_documents(docs: DataFrame, first: str = FIRST, second: str = SECOND,
     """
     spark = docs.sparkSession
     first, second = public_tokenizers.path(first), public_tokenizers.path(second)
-    docs = documents(docs, "doc_id", "text")
-    pairs = stored(distinct_pairs(docs, first, second))
+    ids = encoded(docs, first, second)
+    pairs = stored(distinct_pairs(ids, first, second))
     n = pairs.count()
     shards = max(1, -(-n // shard_pairs))
     functions = stored(hashed(pairs, shards))
@@ -422,15 +407,11 @@ def aligned_documents(docs: DataFrame, first: str = FIRST, second: str = SECOND,
             held = 0
         rounds[-1].append(shard)
         held += size
-    extra: tuple[str, ...] = ()
-    if len(rounds) > 1:
-        # Sums of several rounds meet on the number of a stored row.
-        docs, extra = stored(docs.withColumn("row", F.monotonically_increasing_id())), ("row",)
-    parts = (docs.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
+    parts = (ids.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
     counted = []
     for k, members in enumerate(rounds):
         rows = spark.sparkContext.broadcast([r.asDict() for r in functions.where(F.col("shard").isin(members)).orderBy("shard").collect()])
-        vectors = dense_counts(docs, rows, shards, f"{id(rows)}-count-{k}", first, second)
+        vectors = dense_counts(ids, rows, shards, f"{id(rows)}-count-{k}", first, second)
         counted.append(stored(tree_summed(vectors, parts)))
         rows.unpersist()
     sums = counted[0]
@@ -445,17 +426,18 @@ def aligned_documents(docs: DataFrame, first: str = FIRST, second: str = SECOND,
     results = []
     for k, members in enumerate(rounds):
         rows = spark.sparkContext.broadcast([r.asDict() for r in counts.where(F.col("shard").isin(members)).orderBy("shard").collect()])
-        results.append(looked_up(docs, rows, best, shards, f"{id(rows)}-look-{k}", first, second, extra, digests=k == 0))
-        if extra:
+        results.append(looked_up(ids, rows, best, shards, f"{id(rows)}-look-{k}", first, second, digests=k == 0))
+        if len(rounds) > 1:
             results[-1] = stored(results[-1])
             rows.unpersist()
-    if not extra:
-        return results[0]
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    if len(rounds) == 1:
+        return results[0].select("doc_id", *names)
     both = results[0].select("row", "n_best", "count_sum")
     for other in results[1:]:
         both = both.unionAll(other.select("row", "n_best", "count_sum"))
     added = both.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
-    return results[0].drop("n_best", "count_sum").join(added, "row").select("doc_id", *(c.split()[0] for c in RESULT.split(", ")))
+    return results[0].drop("n_best", "count_sum").join(added, "row").select("doc_id", *names)
 
 
 def op13_pair_hashing(spark, folder):
