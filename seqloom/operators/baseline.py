@@ -13,7 +13,6 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -21,10 +20,11 @@ from seqloom.fixed import CANONICAL_MOTIFS, MECHANICAL_SLOTS, PROPERTIES, RESIDU
 from seqloom.functions.motifs import motif_density
 from seqloom.functions.residues import DIPEPTIDES, log_length, residue_fractions, windows
 from seqloom.functions.vectors import r2_within
+from seqloom.operators import boosting
 from seqloom.operators.curation import long_vector, property_name
 from seqloom.operators.ranking import spread_ranks
 from seqloom.operators.scoring import r2_across
-from seqloom.session import use_checkpoints
+from seqloom.session import stored
 
 PENALTIES = np.logspace(-3, 4, 30)
 SALTS = 32
@@ -273,30 +273,21 @@ def ridge_predictions(df: DataFrame, models: dict[int, Ridge], features: str = "
 # --- Boosted trees -----------------------------------------------------------------------
 
 def gbm_predictions(df: DataFrame, features: str = "features", target: str = "target", fold: str = "fold",
-                    slots: list[int] | None = None, iterations: int = 300, depth: int = 3, seed: int = SEED,
-                    held_out: bool = True) -> DataFrame:
-    """The same two predictions from gradient-boosted trees, one ensemble per slot and training set."""
+                    slots: list[int] | None = None, iterations: int = 300, depth: int = 3, held_out: bool = True,
+                    small: int = boosting.SMALL) -> DataFrame:
+    """The same two predictions from gradient-boosted trees, one ensemble per slot and training set, all grown together."""
     slots = list(range(len(PROPERTIES))) if slots is None else slots
-    use_checkpoints(df.sparkSession)
-    data = df.withColumn("_v", array_to_vector(features))
-    folds = [r[fold] for r in data.select(fold).distinct().collect()] if held_out else []
-    for slot in slots:
-        labelled = data.withColumn("_label", F.col(target)[slot])
-        trees = GBTRegressor(featuresCol="_v", labelCol="_label", predictionCol="_in", maxIter=iterations,
-                             maxDepth=depth, stepSize=0.1, seed=seed, cacheNodeIds=False)
-        data = trees.fit(labelled).transform(data).withColumnRenamed("_in", f"_in_{slot}")
-        out = F.lit(None).cast("double")
-        for f in folds:
-            model = trees.copy({trees.predictionCol: f"_out_{slot}_{f}"}).fit(labelled.where(F.col(fold) != f))
-            data = model.transform(data)
-            out = F.when(F.col(fold) == f, F.col(f"_out_{slot}_{f}")).otherwise(out)
-        data = data.withColumn(f"_out_{slot}", out).drop(*[f"_out_{slot}_{f}" for f in folds])
-    return data.select(
-        *df.columns,
-        F.array(*[F.col(f"_in_{s}") for s in slots]).alias("in_sample"),
-        F.array(*[F.col(f"_out_{s}") for s in slots]).alias("held_out"),
-        F.array(*[F.col(target)[s] for s in slots]).alias("fitted_target"),
-    )
+    n_features = df.select(F.max(F.size(features))).first()[0] or 0
+    edges = boosting.bin_edges(df, features, n_features)
+    sizes = [len(e) + 1 for e in edges]
+    layout = boosting.Layout(np.cumsum([0, *sizes[:-1]])[: len(sizes)], sum(sizes))
+    rows = stored(boosting.binned(df, features, edges).withColumns({"_target": F.col(target), "_fold": F.col(fold).cast("bigint")}))
+    folds = [r["_fold"] for r in rows.select("_fold").distinct().orderBy("_fold").collect()] if held_out else []
+    keys = [(slot, f) for slot in slots for f in [-1, *folds]]
+    models = boosting.fit_ensembles(rows, keys, layout, iterations, depth, small) if n_features else []
+    predicted = boosting.ensemble_predictions(rows, keys, models, slots, n_features) if models else rows.withColumns(
+        {name: F.array().cast("array<double>") for name in ("in_sample", "held_out")})
+    return predicted.select(*df.columns, "in_sample", "held_out", F.array(*[F.col(target)[s] for s in slots]).alias("fitted_target"))
 
 
 # --- Scores ----------------------------------------------------------------------------
@@ -333,10 +324,10 @@ def evaluate_grid(df: DataFrame, row_id: str, seq: str, target: str = "target",
     """Every feature set under both models, one table."""
     frames = []
     for feature_set in FEATURE_SETS:
-        prepared = with_features(with_folds(df, row_id, k, seed), row_id, seq, feature_set)
+        prepared = stored(with_features(with_folds(df, row_id, k, seed), row_id, seq, feature_set))
         models = fit_ridge(prepared, feature_count(feature_set), target=target)
         frames.append(baseline_scores(ridge_predictions(prepared, models), "ridge", feature_set, target))
-        frames.append(baseline_scores(gbm_predictions(prepared, target=target, iterations=iterations, seed=seed),
+        frames.append(baseline_scores(gbm_predictions(prepared, target=target, iterations=iterations),
                                       "gbm", feature_set, target))
     return reduce(DataFrame.unionByName, frames)
 

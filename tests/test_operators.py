@@ -146,7 +146,7 @@ def test_boosted_trees_fit_and_hold_out(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(size=2)], i % 2) for i in range(80)]
     df = spark.createDataFrame(rows, "id int, features array<double>, fold int").withColumn("target", F.array(F.col("features")[0] * 2))
-    out = baseline.gbm_predictions(df, slots=[0], iterations=5).collect()
+    out = baseline.gbm_predictions(df, slots=[0], iterations=10).collect()
     assert len(out) == 80 and all(r["held_out"][0] is not None for r in out)
     error = np.mean([(r["in_sample"][0] - r["target"][0]) ** 2 for r in out])
     assert error < 1.0
