@@ -7,18 +7,19 @@ document's language is the one with the largest share of the marginals, weighted
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seqloom.llm.common import documents, fold, map_slices, table
 from seqloom.llm.crf import fitted, forward_backward
 
-#: Labelled documents a language gives to training at most, chosen by a hash of the id, and the words of
-#: one training sequence: the bounds of the sample that the model is fitted on.
+#: Labelled documents a language gives to training at most, chosen by a hash of the id, and the words that one of
+#: them gives on average at most, drawn from its whole text by a hash of their position: the bounds of the
+#: sample that the model is fitted on.
 SAMPLE, TRAIN_WORDS = 200, 400
 #: Buckets that features are hashed to.
 BUCKETS = 1 << 16
@@ -29,14 +30,15 @@ HELD_OUT, FOLDS = 2, 4
 #: Emissions of words that a Python worker keeps, then starts anew.
 REMEMBERED = 400_000
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters with their marks; digits such as ² or ½ are none.
+LETTERS = r"\p{L}[\p{L}\p{M}]*"
+WORD = regex.compile(LETTERS)
 
 
 def features(word: str) -> list[int]:
     """Hashed features of a word: the word itself (lexicon), affixes of 1 to 4 letters, n-grams of 2 and 3."""
     edged = f"<{word}>"
-    found = {f"w{word}"} if len(word) <= 12 else set()
-    found |= {f"p{word[:k]}" for k in (1, 2, 3, 4)} | {f"s{word[-k:]}" for k in (1, 2, 3, 4)}
+    found = {f"w{word}"} | {f"p{word[:k]}" for k in (1, 2, 3, 4)} | {f"s{word[-k:]}" for k in (1, 2, 3, 4)}
     found |= {edged[i : i + k] for k in (2, 3) for i in range(len(edged) - k + 1)}
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in found]
 
@@ -95,7 +97,7 @@ def learned(sample: list[tuple[str, str]]) -> LanguageModel:
     """A model from (text, language) pairs. Part of the sequences run on into a text of another language."""
     languages = sorted({lang for _, lang in sample})
     label = {lang: k for k, lang in enumerate(languages)}
-    pieces = [(WORD.findall(t.lower())[:TRAIN_WORDS], label[lang]) for t, lang in sample]
+    pieces = [(WORD.findall(t.lower()), label[lang]) for t, lang in sample]
     pieces = [p for p in pieces if p[0]]
     draw = np.random.default_rng(7)
     words, gold, sizes = [], [], []
@@ -127,7 +129,10 @@ def training_sample(docs: DataFrame, size: int = SAMPLE) -> list[tuple[str, str]
     labelled = documents(docs, "doc_id", "text", "lang").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("doc_id", "lang").distinct().withColumn("at", F.row_number().over(order)).where(F.col("at") <= size).drop("at")
-    texts = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, 20 * TRAIN_WORDS)).alias("text"))
+    # Words from all over the text: each position is drawn or not by its hash, TRAIN_WORDS of a longer text on average.
+    whole = labelled.join(F.broadcast(ids), ["doc_id", "lang"]).withColumn("words", F.regexp_extract_all("text", F.lit(LETTERS), F.lit(0)))
+    drawn = F.filter("words", lambda w, i: F.pmod(F.xxhash64("doc_id", i), F.lit(1 << 20)) * F.size("words") < TRAIN_WORDS << 20)
+    texts = whole.groupBy("doc_id", "lang").agg(F.min(F.array_join(drawn, " ")).alias("text"))
     return [(r["text"], r["lang"]) for r in texts.orderBy("lang", "doc_id").collect()]
 
 
@@ -135,7 +140,8 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score (its share of the marginals) of every document.
 
     A text that is null or has no letter is `und` with score 0; so is every text when there is no model
-    (no labelled row to learn from). Repeated rows give repeated results.
+    (no labelled row to learn from). Repeated rows give repeated results. Texts are read whole, a very long one as a
+    slice of its own. In training, a row repeated with one label counts once, with two labels once for each.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -150,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             score = np.where([bool(t) for t in texts], np.clip(share.max(axis=1), 0, 1), 0.0)
         return {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(best), "score": pa.array(score)}
 
-    out = map_slices(documents(docs, "doc_id", "text"), work, f"doc_id {kind}, lang_pred string, score double", chars=12_000_000)
+    out = map_slices(documents(docs, "doc_id", "text"), work, f"doc_id {kind}, lang_pred string, score double", chars=4_000_000)
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 

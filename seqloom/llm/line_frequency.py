@@ -20,6 +20,8 @@ from seqloom.llm.common import BLANKS, map_slices, runs, stored, table
 
 #: A line is removed when more distinct documents of its host hold it than this share of them, and than this number.
 SHARE, LEAST = 0.10, 5
+#: A line in more documents of a host than this is above the limit however large the host is.
+CEILING = 1000
 #: A document is depleted when fewer words than this are left, or a smaller share of its words.
 WORDS_LEFT, SHARE_LEFT = 10, 0.3
 #: Limits of the base rules.
@@ -113,18 +115,19 @@ def measured(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select(docs["doc_id"], docs["text"], *keys(docs)), work, schema)
 
 
-def frequent_lines(measures: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def frequent_lines(measures: DataFrame, share: float = SHARE, least: int = LEAST, ceiling: int = CEILING) -> DataFrame:
     """host, line: the lines above their host's limit. Documents with the same text count once."""
     lines = measures.select("host", "digest", F.explode("line_hashes").alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count_distinct("digest").alias("n")).where(F.col("n") > least)
     hosts = measures.groupBy("host").agg(F.count_distinct("digest").alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("n") > share * F.col("host_docs")).select("host", "line")
+    return counts.join(hosts, "host").where((F.col("n") > share * F.col("host_docs")) | (F.col("n") > ceiling)).select("host", "line")
 
 
 @dataclass(frozen=True)
 class Limits:
     share: float = SHARE
     least: int = LEAST
+    ceiling: int = CEILING
     words_left: int = WORDS_LEFT
     share_left: float = SHARE_LEFT
 
@@ -135,7 +138,7 @@ def removals(measures: DataFrame, limits: Limits) -> DataFrame:
     lines = lines.select("doc_id", "digest", "host", F.col("l.line_hashes").alias("line"), F.col("l.line_words").alias("words"))
     # Few lines of a host can be in more than a share of its documents. Stored, their number is known, and
     # Spark sends them to the documents' lines where they are few.
-    hit = lines.join(stored(frequent_lines(measures, limits.share, limits.least)), ["host", "line"], "left_semi")
+    hit = lines.join(stored(frequent_lines(measures, limits.share, limits.least, limits.ceiling)), ["host", "line"], "left_semi")
     # Repeated rows lose the same lines: once per line, then one row per id and text.
     once = hit.groupBy("doc_id", "digest", "host", "line").agg(F.max("words").alias("words"))
     return once.groupBy("doc_id", "digest", "host").agg(F.sum("words").alias("removed_words"))
@@ -168,7 +171,7 @@ def ruled_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     of them on average. Texts are judged and cut where they are read; only line hashes are shuffled.
     """
     hashes = stored(measured(docs).select("host", "digest", "line_hashes"))
-    lines = frequent_lines(hashes, limits.share, limits.least)
+    lines = frequent_lines(hashes, limits.share, limits.least, limits.ceiling)
     of_host = stored(lines.groupBy("host").agg(F.collect_list("line").alias("lines"))).alias("h")
     # All columns travel as one struct, so that none clashes with the keys.
     whole = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"), keys(docs)[0]).alias("d")
@@ -227,7 +230,7 @@ hosts AS (SELECT source, count(DISTINCT text) AS docs FROM docs GROUP BY source)
 counts AS (SELECT source, normal, count(DISTINCT text) AS n FROM filled GROUP BY source, normal),
 frequent AS (
   SELECT c.source, c.normal FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
-  WHERE c.n > {LEAST} AND c.n > {SHARE} * h.docs),
+  WHERE c.n > {LEAST} AND (c.n > {SHARE} * h.docs OR c.n > {CEILING})),
 removed AS (
   SELECT rid, sum(n) AS n FROM filled f JOIN frequent q ON f.source IS NOT DISTINCT FROM q.source AND f.normal = q.normal GROUP BY rid),
 measured AS (

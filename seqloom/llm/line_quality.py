@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from seqloom.llm.common import documents, fold, map_slices, runs, table
 from seqloom.llm.crf import fitted, forward_backward
 
-#: Labelled documents of each class that the model is fitted on at most, chosen by a hash of the id, and
-#: the lines and characters it reads of each of them: the bounds of the training sample.
-SAMPLE, TRAIN_LINES, TRAIN_CHARS = 1200, 200, 40_000
+#: Labelled documents of each class that the model is fitted on at most, chosen by a hash of the id, and the lines
+#: that one of them gives on average at most, drawn from its whole text in runs of RUN by a hash of their place: the
+#: bounds of the training sample.
+SAMPLE, TRAIN_LINES, RUN = 1200, 200, 10
 STEPS, RATE, PENALTY = 120, 0.15, 1e-4
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -104,7 +105,7 @@ def lines_of(text: str) -> list[str]:
 
 def learned(sample: list[tuple[str, int]]) -> QualityModel:
     """A model from (text, label) pairs: each line bears its document's label."""
-    parts = [(lines_of(t)[:TRAIN_LINES], int(k)) for t, k in sample]
+    parts = [(lines_of(t), int(k)) for t, k in sample]
     parts = [p for p in parts if p[0]]
     prior = float(np.mean([k for _, k in sample]))
     sizes = np.array([len(p) for p, _ in parts], dtype=np.int64)
@@ -123,7 +124,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> l
     order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = one.withColumn("at", F.row_number().over(order)).where(F.col("at") <= size).drop("at")
     texts = documents(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
-    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text"))
+    # Lines from all over the text; a run keeps neighbours together, whose features the model reads.
+    lines = F.split("text", "\n")
+    drawn = F.filter(lines, lambda _, i: F.pmod(F.xxhash64("doc_id", F.floor(i / RUN)), F.lit(1 << 20)) * F.size(lines) < TRAIN_LINES << 20)
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.array_join(drawn, "\n")).alias("text"))
     return [(r["text"], r["quality"]) for r in texts.orderBy("doc_id").collect()]
 
 
@@ -131,7 +135,8 @@ def scored(docs: DataFrame, model: QualityModel | None, threshold: float = THRES
     """doc_id, held_out, score and predicted of every document.
 
     A null text reads as empty; a text without lines gets the share of class 1 in the sample, and so
-    does every text (0.5) when there is no model. Repeated rows give repeated results.
+    does every text (0.5) when there is no model. Repeated rows give repeated results. Texts are read whole, in runs of
+    bounded size; a very long one is a run of its own.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 

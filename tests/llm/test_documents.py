@@ -56,6 +56,13 @@ def test_copies_count_once(spark):
     assert line_rules(documents(spark, []), Limits()).count() == 0
 
 
+def test_a_line_in_many_documents_goes_from_a_host_of_any_size(spark):
+    rows = [(i, f"{words(500, 25)}\n{words(900 + i, 30)}" if i < 40 else words(2000 + i, 20), "en", "large", 1) for i in range(600)]
+    docs = documents(spark, rows)
+    assert line_rules(docs).where("removed_words > 0").count() == 0
+    assert line_rules(docs, Limits(ceiling=30)).where("removed_words > 0").count() == 40
+
+
 def brute_chain(emission, sizes, transition):
     out, at = [], 0
     k = emission.shape[1]
@@ -109,6 +116,24 @@ def test_language_labels_code_switched_words(spark):
     assert share[model.languages.index("xx")] > 0.3 and share[model.languages.index("yy")] > 0.3
 
 
+def test_digits_and_signs_are_no_letters(spark):
+    rows = [(i, words(i % 7, 30), "en", "a", 1) for i in range(40)] + [(100, "² ½ ٣ ① 12 _", "en", "a", 1), (101, "ñ", None, "a", 1)]
+    docs = documents(spark, rows)
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.learned(language_id.training_sample(docs))).collect()}
+    assert out[100] == "und" and out[101] == "en"
+
+
+def test_training_draws_from_the_whole_text(spark):
+    texts = ["alpha " * 5000 + "omega " * 5000, "beta gamma"]
+    docs = documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])
+    long, short = (t for t, _ in language_id.training_sample(docs))
+    assert short == "beta gamma" and 250 < len(long.split()) < 600 and 0.3 < long.count("omega") / len(long.split()) < 0.7
+    lines = documents(spark, [(1, "\n".join(f"line {i}" for i in range(20_000)), "en", "a", 1)])
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    drawn = [int(x.split()[1]) for x in line_quality.training_sample(lines, labels)[0][0].split("\n")]
+    assert 80 < len(drawn) < 400 and max(drawn) > 15_000 and drawn == sorted(drawn) and all(d % 10 == 9 or d + 1 in drawn for d in drawn)
+
+
 def test_language_without_labels(spark):
     docs = documents(spark, [(1, "kar", None, None, 0)])
     assert language_id.training_sample(docs) == []
