@@ -99,7 +99,15 @@ long AS MATERIALIZED (SELECT * FROM {slots('folded', 'target', keep='fold')}),
 train AS (SELECT f AS fold, slot, avg(target) AS m FROM long, range({FOLDS}) t(f) WHERE long.fold <> f GROUP BY ALL)""", """
 SELECT ['toughness','toughness_sd','E','E_sd','strength','strength_sd','strain','strain_sd'][slot + 1] AS property, fold,
        1.0 - sum((target - m) * (target - m)) / (var_pop(target) * count(*)) AS r2 FROM long JOIN train USING (fold, slot) GROUP BY slot, fold"""), ["r2"]),
-    "group_folds": Entry(group_folds),
+    # One group after the other, the largest first, to the fold with the fewest rows.
+    "group_folds": Entry(group_folds, f"""
+WITH RECURSIVE sizes AS (SELECT concat_ws('_', c_mktsegment, c_nationkey) AS species, count(*) AS n FROM customer GROUP BY 1),
+placed AS (SELECT *, row_number() OVER (ORDER BY n DESC, {hex_draw(SEED_SQL, "'group'", 'species')}, species) AS i FROM sizes),
+dealt AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS species, -1 AS fold, [{', '.join(['0::BIGINT'] * FOLDS)}] AS loads
+  UNION ALL SELECT p.i, p.species, list_position(loads, list_min(loads)) - 1,
+    list_transform(loads, lambda x, k: x + CASE WHEN k = list_position(loads, list_min(loads)) THEN p.n ELSE 0 END)
+  FROM dealt d JOIN placed p ON p.i = d.i + 1)
+SELECT species, fold::INTEGER AS fold FROM dealt WHERE i > 0"""),
     "ridge_composition": Entry(ridge_composition),
     "ridge_motifs": Entry(ridge_motifs),
     "ridge_dipeptides": Entry(ridge_dipeptides),

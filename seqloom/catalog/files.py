@@ -11,14 +11,18 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from seqloom.catalog.base import Entry
-from seqloom.catalog.bindings import known, measurements, pairs, pool, sequences
-from seqloom.catalog.oracle import MEAS, PAIRS, POOL, SEQS, with_
+from seqloom.catalog.bindings import known, measurements, pairs, passages, pool, sequences
+from seqloom.catalog.oracle import MEAS, PAIRS, POOL, SEQS, residues, with_
 from seqloom.fixed import MEASUREMENT_COLUMNS, PROPERTIES, TARGETS
 from seqloom.operators.agreement import published_join
 from seqloom.operators.curation import normalisation_bounds
+from seqloom.operators.motif_sets import literal_matches
 from seqloom.session import checkpoint_dir
 from seqloom.sources import fasta, results, tables
 
+#: Letters of the motifs that motif_files makes.
+MOTIF_LETTERS = 4
+
 
 def _place(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid4().hex}/{name}"
@@ -102,11 +106,22 @@ def published_columns(spark, folder):
 
 def named_individuals(spark, folder):
     """The id column renamed to the name column of the other side, then a left join that keeps all."""
-    people = spark.read.parquet(f"{folder}/customer.parquet").select(F.col("c_custkey").alias("id"), "c_mktsegment").where("id % 3 = 0")
+    people = spark.read.parquet(f"{folder}/customer.parquet").select(F.col("c_custkey").alias("id"), "c_mktsegment")
     docs = sequences(spark, folder).select("doc_id", F.col("idv_id").alias("name"))
     return docs.join(people.withColumnRenamed("id", "name"), "name", "left").select("doc_id", "name", "c_mktsegment")
 
 
+def motif_files(spark, folder):
+    """A table of literal motifs (the first letters of every passage) written as CSV, read back, and found in all documents."""
+    path = _place(spark, "motifs.csv")
+    chosen = passages(spark, folder).where(F.length("sequence") >= MOTIF_LETTERS).select(
+        F.concat(F.lit("m"), "known_id").alias("motif_id"), F.substring("sequence", 1, MOTIF_LETTERS).alias("pattern"),
+        F.lit("any").alias("property"), F.lit("+").alias("direction"))
+    chosen.write.option("header", True).csv(path)
+    found = literal_matches(sequences(spark, folder), "doc_id", "sequence", tables.read_motifs(spark, path))
+    return found.select("doc_id", "motif_id", F.size("starts").cast("bigint").alias("n"), F.array_min("starts").alias("first"), F.array_max("starts").alias("last"))
+
+
 def ordered_rows(spark, folder):
     """Rows in the order of two keys, with their place in it so that the order itself is compared."""
     from seqloom.operators.ranking import cumulative_counts
@@ -134,7 +149,12 @@ UNION ALL SELECT lang, count(*) FROM documents GROUP BY lang"""),
     "published_columns": Entry(published_columns, with_(SEQS, """
 SELECT doc_id, length(s.sequence) AS length, s.lang, d.n_chars AS length_pub, d.source FROM seqs s JOIN documents d USING (doc_id)""")),
     "named_individuals": Entry(named_individuals, with_(SEQS, """
-SELECT doc_id, idv_id AS name, c_mktsegment FROM seqs LEFT JOIN customer ON c_custkey = idv_id AND c_custkey % 3 = 0""")),
+SELECT doc_id, idv_id AS name, c_mktsegment FROM seqs LEFT JOIN customer ON c_custkey = idv_id""")),
+    "motif_files": Entry(motif_files, with_(SEQS, f"""
+SELECT doc_id, motif_id, count(*) AS n, min(i) AS first, max(i) AS last FROM (
+  SELECT doc_id, i, sequence[i + 1 : i + {MOTIF_LETTERS}] AS piece FROM (SELECT doc_id, sequence, unnest(range(length(sequence))) AS i FROM seqs))
+JOIN (SELECT 'm' || item_id AS motif_id, p[1 : {MOTIF_LETTERS}] AS pattern FROM (SELECT item_id, {residues('text')} AS p FROM benchmark) WHERE length(p) >= {MOTIF_LETTERS})
+  ON piece = pattern GROUP BY doc_id, motif_id""")),
     "ordered_rows": Entry(ordered_rows, """
 SELECT l_returnflag, place_key, max(upto) AS upto FROM (
   SELECT l_returnflag, l_orderkey * 8 + l_linenumber AS place_key,

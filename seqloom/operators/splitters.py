@@ -36,3 +36,15 @@ def global_ranks(df: DataFrame, order: list[str], rank: str = "rank", partitions
     placed = ordered(df, order, partitions)
     # As many rows as there are partitions: small enough to go to every task.
     return placed.join(F.broadcast(range_offsets(placed)), "_range").withColumn(rank, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
+def running_sums(df: DataFrame, order: list[str], value: str, name: str = "before", partitions: int | None = None) -> DataFrame:
+    """`df` with the sum of `value` over all rows before each in `order`: prefix sums inside each range, then over
+    the totals of the ranges."""
+    placed = ordered(df, order, partitions)
+    totals = placed.groupBy("_range").agg(F.sum(value).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return local.join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_at", "_before", "_inside")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from seqloom.fixed import AMBIGUOUS, RESIDUES
+from seqloom.operators.splitters import running_sums
 
 BLOCK = 1024
 
@@ -25,20 +26,26 @@ def residue_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.rlike("text", F.lit(f"^[{RESIDUES}{AMBIGUOUS}]+$")))
 
 
+def _spans(rows: DataFrame, document: str, order: list[str]) -> DataFrame:
+    """Rows with `_start`, the sum of `_size` over the rows of their document before them. The sums run over ranges of
+    the whole table, so a long document is spread over many tasks; what lies before its first row is taken off."""
+    summed = running_sums(rows, [document, *order], "_size", "_global")
+    firsts = summed.groupBy(document).agg(F.min("_global").alias("_first"))
+    return summed.join(firsts, document).withColumn("_start", F.col("_global") - F.col("_first")).drop("_global", "_first")
+
+
 def cut_lines(lines: DataFrame, expected: DataFrame, document: str, order: list[str]) -> DataFrame:
     """Cut each document's lines, read in order as one run of text, at the expected lengths.
 
     lines: (document, order..., text); expected: (document, position, id, length). Offsets come from
-    running sums; a line meets the sequences it overlaps on fixed blocks of offsets, so the run is
+    prefix sums over ranges of lines; a line meets the sequences it overlaps on fixed blocks of offsets, so the run is
     never assembled as one string. A document whose total differs from the lengths is an error.
     """
-    running = Window.partitionBy(document).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    spans = lines.select(document, "text", F.sum(F.length("text")).over(running).alias("_end")).withColumn(
-        "_start", F.col("_end") - F.length("text")
+    spans = _spans(lines.withColumn("_size", F.length("text")), document, order).select(
+        document, "text", "_start", (F.col("_start") + F.col("_size")).alias("_end")
     )
-    wanted_run = Window.partitionBy(document).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = expected.select(document, "id", "length", F.sum("length").over(wanted_run).alias("_stop")).withColumn(
-        "_from", F.col("_stop") - F.col("length")
+    wanted = _spans(expected.select(document, "position", "id", "length").withColumn("_size", F.col("length")), document, ["position"]).select(
+        document, "id", "length", F.col("_start").alias("_from"), (F.col("_start") + F.col("length")).alias("_stop")
     )
 
     def blocks(first, last):

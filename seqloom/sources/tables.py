@@ -90,7 +90,7 @@ def read_known(spark: SparkSession, path: str, column: str = "Sequence") -> Data
     )
     firsts = placed.groupBy("file", "start").agg(F.min("at").alias("first"))
     files = firsts.select("file").distinct().withColumn("rank", F.row_number().over(Window.orderBy("file")) - 1)
-    numbered = placed.join(F.broadcast(firsts), ["file", "start"]).join(F.broadcast(files), "file")
+    numbered = placed.join(firsts, ["file", "start"]).join(files, "file")
     return numbered.select((F.col("rank") * F.lit(2**44) + F.col("start") + F.col("at") - F.col("first")).alias("known_id"), "sequence")
 
 
