@@ -9,6 +9,8 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from seqloom.sources.commits import append_batch
+
 #: Settings that change how a result is computed.
 RECORDED_SETTINGS = ["spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone"]
 
@@ -62,7 +64,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 def _pool_rows(spark: SparkSession, path: str) -> DataFrame | None:
     from seqloom.sources.tables import _present
 
-    return spark.read.parquet(path) if _present(spark, path) else None
+    return spark.read.parquet(path) if _present(spark, f"{path}/batch_id=*/set=*") else None
 
 
 def attempts_made(spark: SparkSession, path: str) -> DataFrame:
@@ -85,10 +87,10 @@ def remaining_attempts(spark: SparkSession, targets: DataFrame, path: str, budge
 
 
 def append_attempts(rows: DataFrame, path: str) -> None:
-    """Append what the pool does not hold yet: the same attempts appended twice stand there once."""
+    """Publish what the pool does not hold yet as one batch: the same attempts appended twice stand there once."""
     spark = rows.sparkSession
     held = _pool_rows(spark, path)
     fresh = rows.dropDuplicates(["set", "attempt"])
     if held is not None:
         fresh = fresh.join(held.select("set", "attempt"), ["set", "attempt"], "left_anti")
-    fresh.write.mode("append").partitionBy("set").parquet(path)
+    append_batch(fresh, path, f"a{uuid4().hex}", ["set"])

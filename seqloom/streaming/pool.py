@@ -1,8 +1,8 @@
 """The design loop over an arriving stream of attempts.
 
 Attempts land as Parquet files; each micro-batch is parsed and appended with its status to the pool
-table, partitioned by set. Batches already written are recognised by their id, so a replayed batch
-after a lost executor or a restart adds nothing twice.
+table, partitioned by set. A batch is published in two phases under its id: readers see it whole or not at all,
+and a batch replayed after a lost executor or a restart adds nothing twice.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from seqloom.plans.inference import design_rows
+from seqloom.sources.commits import append_batch
 
 ATTEMPTS_SCHEMA = "set string, attempt int, text string"
 
@@ -29,8 +30,7 @@ def run_pool_stream(attempts: DataFrame, pool_path: str, checkpoint: str,
         rows = design_rows(batch).drop("text")
         if score is not None:
             rows = score(rows)
-        # Each batch owns its folder: writing it again replaces rather than repeats it.
-        rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{pool_path}/batch_id={batch_id}")
+        append_batch(rows.withColumn("batch", F.lit(batch_id)), pool_path, str(batch_id), ["set"])
 
     return (
         attempts.writeStream.foreachBatch(append)

@@ -9,7 +9,7 @@ from seqloom.fixed import MEASUREMENT_COLUMNS, PROPERTIES, TARGETS
 from seqloom.operators.pools import targets_table
 from seqloom.plans import dataset
 from seqloom.plans.inference import composition_model, design_attempts, design_rows
-from seqloom.sources import fasta, glyphs, results, tables
+from seqloom.sources import commits, fasta, glyphs, results, tables
 from seqloom.streaming.pool import read_attempts, run_pool_stream
 
 FASTA = """>s1|7|Araneidae|Araneus|diadematus|MaSp1||NTD
@@ -151,6 +151,22 @@ def test_pool_resumes_on_attempts(spark, tmp_path):
     assert {r["attempt"] for r in results.remaining_attempts(spark, targets, path, 8).collect()} == {3, 4, 5, 7}
 
 
+def test_a_batch_is_published_once_and_whole(spark, tmp_path):
+    path = str(tmp_path / "pool")
+    rows = spark.createDataFrame([("S1", 0, "parsed"), ("S2", 0, "junk")], "set string, attempt int, status string")
+    # Killed between the two phases: no reader sees anything, and all of it is still to be done.
+    commits.stage(rows, path, ["set"])
+    assert results.attempts_made(spark, path).count() == 0
+    assert commits.append_batch(rows, path, "7", ["set"]) and not commits.append_batch(rows, path, "7", ["set"])
+    assert sorted(tuple(r) for r in results.attempts_made(spark, path).collect()) == [("S1", 1, 1, 1), ("S2", 1, 0, 1)]
+    # A second writer of the same batch that got past its first phase adds nothing.
+    assert not commits.publish(spark, commits.stage(rows, path, ["set"]), path, "7")
+    assert spark.read.parquet(path).count() == 2
+    results.append_attempts(rows.where("attempt > 5"), path)
+    results.append_attempts(rows, path)
+    assert spark.read.parquet(path).count() == 2 and {r["set"] for r in spark.read.parquet(path).where("set = 'S1'").collect()} == {"S1"}
+
+
 def test_designs_replay_and_do_not_repeat(spark):
     targets = targets_table(spark)
     model = composition_model("inverse")
