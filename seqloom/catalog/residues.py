@@ -13,6 +13,7 @@ from seqloom.fixed import (
 )
 from seqloom.functions import residues as res
 from seqloom.operators import baseline
+from seqloom.session import stored
 
 
 def residue_fractions(spark, folder):
@@ -29,10 +30,8 @@ def composition_features(spark, folder):
 
 
 def dipeptide_fractions(spark, folder):
-    df = sequences(spark, folder)
-    counts = baseline.dipeptide_counts(df, "doc_id", "sequence")
-    width = df.select("doc_id", F.greatest(F.length("sequence") - 1, F.lit(1)).alias("_w"))
-    return counts.join(width, "doc_id").select("doc_id", "dipeptide", "n", (F.col("n") / F.col("_w")).alias("fraction"))
+    counts = baseline.dipeptide_counts(sequences(spark, folder), "doc_id", "sequence", baseline.pair_width("sequence").alias("_w"))
+    return counts.select("doc_id", "dipeptide", "n", (F.col("n") / F.col("_w")).alias("fraction"))
 
 
 def motif_density(spark, folder):
@@ -55,7 +54,8 @@ def feature_matrix(spark, folder):
 
 def dipeptide_matrix(spark, folder):
     """Non-zero entries of the 421-wide feature row: (doc_id, position, value)."""
-    df = baseline.with_features(sequences(spark, folder), "doc_id", "sequence", "dipeptide")
+    # Stored, so that the sequence is derived from its text once and not in each of its twenty fractions.
+    df = baseline.with_features(stored(sequences(spark, folder).select("doc_id", "sequence")), "doc_id", "sequence", "dipeptide")
     return df.select("doc_id", F.posexplode("features").alias("position", "value")).where(F.col("value") != 0)
 
 

@@ -15,10 +15,11 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from seqloom.fixed import CANONICAL_MOTIFS, MECHANICAL_SLOTS, PROPERTIES, RESIDUES, SEED
 from seqloom.functions.motifs import motif_density
-from seqloom.functions.residues import DIPEPTIDES, log_length, residue_fractions, windows
+from seqloom.functions.residues import DIPEPTIDES, log_length, residue_fractions
 from seqloom.functions.vectors import r2_within
 from seqloom.operators import boosting
 from seqloom.operators.curation import long_vector, property_name
@@ -40,28 +41,43 @@ def motif_features(df: DataFrame, seq: str) -> list[Column]:
     return [motif_density(seq, p).alias(f"motif_{m}") for m, p in CANONICAL_MOTIFS.items()]
 
 
-def dipeptide_counts(df: DataFrame, row_id: str, seq: str) -> DataFrame:
-    """(row id, dipeptide, n): overlapping pairs of standard residues. A row's pairs are combined
-    before the shuffle, which then carries at most 400 rows per sequence."""
-    pairs = df.select(row_id, F.explode(windows(seq, 2)).alias("dipeptide"))
-    return pairs.where(F.rlike("dipeptide", F.lit(f"^[{RESIDUES}]+$"))).groupBy(row_id, "dipeptide").agg(
-        F.count("*").alias("n")
-    )
+def _pairs_of(texts: pd.Series) -> np.ndarray:
+    """Overlapping pairs of standard residues in each text, 400 counts in alphabetical order; a whole batch is counted
+    at once, from the codes of its letters."""
+    joined = "\n".join(t or "" for t in texts)
+    letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    code = np.full(128, -1, dtype=np.int64)
+    code[[ord(r) for r in RESIDUES]] = np.arange(len(RESIDUES))
+    place = np.where(letters < 128, code[np.minimum(letters, 127)], -1)
+    sizes = np.array([len(t or "") + 1 for t in texts], dtype=np.int64)
+    row = np.repeat(np.arange(len(texts)), sizes)[: max(len(letters) - 1, 0)]
+    # Texts are a line break apart, so no pair goes across two of them.
+    pair = np.where((place[:-1] >= 0) & (place[1:] >= 0), place[:-1] * len(RESIDUES) + place[1:], -1)
+    size = len(RESIDUES) ** 2
+    return np.bincount((row * size + pair)[pair >= 0], minlength=len(texts) * size).reshape(-1, size)
 
 
-def dipeptide_fractions(df: DataFrame, row_id: str, seq: str) -> DataFrame:
-    """(row id, fractions): 400 fractions in alphabetical order over max(length - 1, 1) positions."""
-    counts = dipeptide_counts(df, row_id, seq).groupBy(row_id).agg(
-        F.map_from_entries(F.collect_list(F.struct("dipeptide", "n"))).alias("_counts")
-    )
+@F.pandas_udf(ArrayType(LongType()))
+def pair_counts(texts: pd.Series) -> pd.Series:
+    return pd.Series(list(_pairs_of(texts)), index=texts.index)
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def dipeptide_fractions(texts: pd.Series) -> pd.Series:
+    """400 fractions in alphabetical order over max(length - 1, 1) positions."""
+    widths = np.array([max(len(t or "") - 1, 1) for t in texts])
+    return pd.Series(list(_pairs_of(texts) / widths[:, None]), index=texts.index)
+
+
+def pair_width(seq: str) -> Column:
+    return F.greatest(F.length(seq) - 1, F.lit(1))
+
+
+def dipeptide_counts(df: DataFrame, row_id: str, seq: str, *more: Column) -> DataFrame:
+    """(row id, dipeptide, n, more...): overlapping pairs of standard residues that a sequence has, without a shuffle."""
     names = F.array(*[F.lit(d) for d in DIPEPTIDES])
-    width = F.greatest(F.length(seq) - 1, F.lit(1))
-    return df.join(counts, row_id, "left").select(
-        row_id,
-        F.transform(
-            names, lambda d: F.coalesce(F.try_element_at("_counts", d), F.lit(0)) / width
-        ).alias("fractions"),
-    )
+    each = df.select(row_id, *more, F.posexplode(pair_counts(seq)).alias("_place", "n")).where("n > 0")
+    return each.withColumn("dipeptide", F.get(names, F.col("_place"))).drop("_place")
 
 
 FEATURE_SETS = ["composition", "composition+motifs", "dipeptide"]
@@ -74,11 +90,10 @@ def with_features(df: DataFrame, row_id: str, seq: str, feature_set: str, name:
     base = composition_features(df, seq)
     if feature_set == "composition+motifs":
         base = base + motif_features(df, seq)
-    out = df.withColumn(name, F.array(*base))
-    if feature_set == "dipeptide":
-        pairs = dipeptide_fractions(df.select(row_id, seq), row_id, seq)
-        out = out.join(pairs, row_id).withColumn(name, F.concat(name, "fractions")).drop("fractions")
-    return out
+    if feature_set != "dipeptide":
+        return df.withColumn(name, F.array(*base))
+    # The pairs come first, so that the other columns are computed in the same stage as what follows them.
+    return df.withColumn("_pairs", dipeptide_fractions(seq)).withColumn(name, F.concat(F.array(*base), "_pairs")).drop("_pairs")
 
 
 # --- Folds -----------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seqloom.fixed import CANONICAL_MOTIFS, PROPERTIES, RESIDUES, TARGETS
 from seqloom.functions import descriptors, motifs, prompts, residues, vectors
+from seqloom.operators import baseline
 
 # Two published sequences with their published weight, instability index and isoelectric point.
 GOLDEN = [
@@ -151,3 +152,12 @@ def test_kmers(spark):
     assert text(spark, residues.kmer_set("t", 3), "AC") == []
     assert text(spark, residues.residues_of("t"), "Straße, Xy-tHe 9") == "STRAEYTHE"
     assert len(residues.DIPEPTIDES) == 400 and set(CANONICAL_MOTIFS) == {"polyA", "GGX", "GPGXX", "GA", "QQ"}
+
+
+def test_pairs_of_residues_are_counted_in_their_row(spark):
+    rows = [(0, "ACACA"), (1, "AXA"), (2, ""), (3, None), (4, "A"), (5, "ÄAA\nAA"), (6, "YY")]
+    df = spark.createDataFrame(rows, "id int, s string").repartition(1)
+    got = {r["id"]: dict(zip(residues.DIPEPTIDES, r["n"])) for r in df.select("id", baseline.pair_counts("s").alias("n")).collect()}
+    for i, text in rows:
+        text = text or ""
+        assert got[i] == {d: sum(text[k : k + 2] == d for k in range(len(text) - 1)) for d in residues.DIPEPTIDES}
