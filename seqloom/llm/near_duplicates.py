@@ -8,11 +8,10 @@ probability p = s ** PER_COLLECTION and meet in a table unless fewer than two co
 A table bucket is never expanded into all pairs of its members at first. Each member is compared with the
 bucket's first and with the next few by id (a digest, the same order in every bucket, so that members who
 share many buckets are not compared with ever new neighbours); confirmed links join into
-components. Where the members of a bucket then lie in several components, each is compared a few times more
-with members of other components. Buckets that still hold several components are looked at a last time, and
-every pair across components is compared: where few are left for each member, pair by pair, where sizes and four bits
-of each minhash already tell most pairs apart while they are joined; members of the other (hot) buckets
-come together in clusters and are compared exactly on their full sets, block against block.
+components. Buckets whose members then lie in several components are looked at again, and every pair
+across components is compared: where few are left for each member, pair by pair, where sizes and four bits of
+each minhash already tell most pairs apart while they are joined; members of the other (hot) buckets come
+together in clusters and are compared exactly on their full sets, block against block.
 Candidates met pair by pair that agree on too few minhashes are not compared; the rest is confirmed on
 full sets of shingles, whose exact sizes of intersection and union decide.
 """
@@ -37,12 +36,9 @@ AGREE = 36
 #: Neighbours by id that a member is compared with first; the order runs within parts of PART members.
 #: One table in RING_TABLES does this: it only joins up most of a group early, and is no condition for finding a link.
 RING, RING_TABLES, PART = 2, 8, 1024
-#: Then TURNS times, members of different components are compared with their next FAR in one table in FAR_TABLES.
-#: As RING this only joins groups up early: it spares comparisons, and finds no link that the last look would miss.
-TURNS, FAR, FAR_TABLES = 3, 4, 16
 #: A bucket whose pairs across components come to at most this many for each member has them compared pair by
 #: pair, any other one in blocks: either way all of them.
-ACROSS = 128
+ACROSS = 16
 #: Sets and shingles in a block, on average. Sets of sizes more than a factor SIZE_STEP apart (a little above
 #: 4/3) cannot reach the similarity: blocks hold one class of sizes and meet only those of the next.
 BLOCK_SETS, BLOCK_SHINGLES, SIZE_STEP = 1024, 1_000_000, 1.34
@@ -201,21 +197,7 @@ def linked(docs: DataFrame, sets: DataFrame) -> DataFrame:
     tried = stored(agreeing(first_pairs(rows), sets))
     full = stored(full_sets(docs, sets, ends(tried)))
     found = stored(confirmed(tried, full))
-    labels, placed = components(edges_of(found)), None
-    # What the first look left apart is tried with others of its buckets that lie in other components, in a new
-    # order each time, so that few pairs across components are left for the last look.
-    for turn in range(TURNS):
-        placed = stored(open_buckets(rows, labels))
-        if placed.isEmpty():
-            return labels
-        fresh = stored(agreeing(far_pairs(placed, turn).join(tried, ["a", "b"], "left_anti"), sets))
-        full = with_sets(docs, sets, full, ends(fresh))
-        more = stored(confirmed(fresh, full))
-        tried = tried.unionByName(fresh)
-        if more.isEmpty():
-            continue
-        found = found.unionByName(more)
-        labels = components(edges_of(found))
+    labels = components(edges_of(found))
     placed = stored(open_buckets(rows, labels))
     if placed.isEmpty():
         return labels
@@ -257,20 +239,6 @@ def open_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(several, ["bucket", "held"])
 
 
-def far_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a < b) of members of a bucket that follow each other, up to FAR places, in an order of this turn and lie in
-    different components. The order runs within parts of PART members; one table in FAR_TABLES takes part."""
-    mixed_id = F.xxhash64("id", F.lit(turn))
-    some = placed.where(F.pmod(F.hash("held", F.lit(turn)), F.lit(FAR_TABLES)) == 0).withColumn("h", mixed_id)
-    sizes = some.groupBy("bucket", "held").agg(F.count("*").alias("size"))
-    part = F.floor((F.col("h") / 2.0**64 + 0.5) * F.ceil(F.col("size") / PART))
-    order = Window.partitionBy("bucket", "held", "part").orderBy("h", "id")
-    next_ones = F.array(*(F.lead(F.struct("id", "component"), k).over(order) for k in range(1, FAR + 1)))
-    near = some.join(sizes, ["bucket", "held"]).withColumn("part", part).select("id", "component", next_ones.alias("near"))
-    met = near.select("id", "component", F.explode("near").alias("o")).where("o IS NOT NULL AND o.component != component")
-    return met.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
-
-
 def signature(marks: str) -> F.Column:
     """The lowest four bits of every minhash, sixteen to a number."""
     count = COLLECTIONS * PER_COLLECTION
