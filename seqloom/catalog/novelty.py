@@ -49,6 +49,11 @@ def nearest_documents(spark, folder):
     return similarity.nearest_neighbours(passages(spark, folder), known(spark, folder), "known_id", n=2)
 
 
+def nearest_other_documents(spark, folder):
+    """Every document's nearest document of another text."""
+    return similarity.nearest_neighbours(sequences(spark, folder), known(spark, folder), "doc_id", n=1)
+
+
 def novelty_report(spark, folder):
     return similarity.novelty_report(sequences(spark, folder), passages(spark, folder), "doc_id")
 
@@ -161,6 +166,8 @@ SELECT min(doc_id) AS first_id, any_value(length(sequence)) AS length FROM seqs
     "nearest_passages": Entry(nearest_passages, with_(_DOC_PASSAGES, _nearest("seqs", "doc_id"))),
     "nearest_documents": Entry(nearest_documents, with_(
         f"{SEQS},\n{_PASSAGES},\n" + _overlaps("passages", "known_id", "seqs", "doc_id"), _nearest("passages", "known_id"))),
+    "nearest_other_documents": Entry(nearest_other_documents, with_(
+        f"{SEQS},\n" + _overlaps("seqs", "doc_id", "seqs", "doc_id"), _nearest("seqs", "doc_id", 1))),
     "novelty_report": Entry(novelty_report, with_(_DOC_PASSAGES, f"""
 SELECT doc_id, length, sequence NOT IN (SELECT sequence FROM passages) AS novel_exact, max_jaccard AS max_jaccard_k6,
        max_containment AS max_containment_k6 FROM ({_best('seqs', 'doc_id')}) JOIN seqs USING (doc_id)""")),

@@ -1,31 +1,32 @@
 """K-mer similarity of query sequences to a reference set: exact maxima and nearest neighbours.
 
-Pairs come from an inverted index (equi-join on k-mer), so pairs without a common k-mer never
-materialise. A k-mer held by more than `hot` references is kept out of that join: joined, it would
-emit a pair for every holder. Its contribution is recovered exactly instead:
-
-* a pair that shares a rare k-mer is a candidate, and its hot k-mers are counted by intersecting
-  the two rows' short lists of hot k-mers;
-* a pair that shares only hot k-mers cannot overlap in more than the query's number of hot k-mers.
-  Where the candidates already beat that, the query is finished. The remaining queries are compared
-  with the references' hot lists block against block, each block of bounded size, and a task returns
-  only the best few references of its block per query.
+Pairs come from an inverted index of the k-mers that queries hold, read rarest first. Let a query hold
+`known` k-mers that any reference has. A reference that misses its m rarest ones shares at most known - m
+k-mers with it, so once the n-th best reference is known to share b of them, the known - b + 1 rarest
+k-mers meet every reference that can still matter; the commonest b - 1 are never looked up. Jaccard
+bounds the same way, since a pair with index j shares at least j times the query's k-mers.
+
+1. The rarest share of a query's k-mers meets the index; the few references met most often are compared
+   whole, which gives b and j.
+2. As many more of the rarest k-mers as b and j ask for meet the index. Of the references met, those are
+   compared whole whose count, with all the k-mers left unread, can still reach b or j.
+
+Both steps are the same for every size of either side. What remains costly is a query whose best
+reference shares fewer k-mers with it than it has very common ones: their lists are read then.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions.hashing import digest
 from seqloom.functions.residues import kmer_set
 from seqloom.session import stored
 
-HOT_REFERENCES = 1000
-BLOCK_POSTINGS = 2_000_000
+#: Share of a query's k-mers, rarest first, that the first step reads.
+FIRST_SHARE = 0.25
+#: References of a k-mer that one join key holds: the list of a commoner one is spread over several keys.
+PER_PART = 4096
 
 
 def distinct_sequences(df: DataFrame, row_id: str, seq: str) -> DataFrame:
@@ -56,164 +57,105 @@ def known_only(df: DataFrame, known: DataFrame, seq: str = "sequence", known_seq
     return df.withColumn("_digest", digest(seq)).join(keys, "_digest", "left_semi").drop("_digest")
 
 
-def _indexed(distinct: DataFrame, id_name: str, size_name: str, k: int) -> DataFrame:
-    sized = distinct.select(F.col("first_id").alias(id_name), kmer_set("sequence", k).alias("_kmers"))
-    return sized.select(id_name, F.size("_kmers").alias(size_name), F.explode("_kmers").alias("kmer"))
+def _kmer_sets(distinct: DataFrame, prefix: str, k: int) -> DataFrame:
+    """Id, number, set of k-mers and digest of every sequence that has any."""
+    sets = distinct.select(
+        F.col("first_id").alias(f"{prefix}_id"), F.col("digest").alias(f"{prefix}_digest"),
+        kmer_set("sequence", k).alias(f"{prefix}_kmers"),
+    )
+    return sets.withColumn(f"n_{prefix}", F.size(f"{prefix}_kmers")).where(F.col(f"n_{prefix}") > 0)
+
+
+def _index(q: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Postings (kmer, part, ref_id, n_ref) of the k-mers that queries hold, and every query with its k-mers that
+    are in them, rarest first, each with the number of its parts."""
+    asked = q.select(F.explode("query_kmers").alias("kmer")).distinct()
+    held = r.select("ref_id", "n_ref", F.explode("ref_kmers").alias("kmer")).join(asked, "kmer", "left_semi")
+    holders = stored(held.groupBy("kmer").agg(F.count("*").alias("holders")))
+    parts = F.ceil(F.col("holders") / PER_PART)
+    postings = held.join(holders, "kmer").select("kmer", F.pmod(F.xxhash64("ref_id"), parts).alias("part"), "ref_id", "n_ref")
+    found = q.select("query_id", "n_query", F.explode("query_kmers").alias("kmer")).join(holders, "kmer")
+    rarest = F.sort_array(F.collect_list(F.struct("holders", "kmer", parts.alias("parts"))))
+    ordered = found.groupBy("query_id", "n_query").agg(rarest.alias("rarest"))
+    return stored(postings), stored(ordered.withColumn("known", F.size("rarest")))
 
 
-def _blocks_needed(hot_lists: DataFrame) -> Column:
-    """Number of blocks that keeps each one at about BLOCK_POSTINGS entries."""
-    postings = F.coalesce(F.sum(F.size("hot")), F.lit(0))
-    return hot_lists.agg(F.greatest(F.ceil(postings / F.lit(BLOCK_POSTINGS)), F.lit(1)).alias("b")).scalar()
+def _met(wanted: DataFrame, postings: DataFrame, carried: list[str]) -> DataFrame:
+    """(query_id, ref_id, n_query, n_ref, unread, carried columns, count) of the references that hold some of a
+    query's `reading` rarest k-mers."""
+    unread = F.col("known") - F.col("reading")
+    keys = wanted.select(
+        "query_id", "n_query", unread.alias("unread"), *carried, F.explode(F.slice("rarest", F.lit(1), F.col("reading"))).alias("x")
+    )
+    keys = keys.select(
+        "query_id", "n_query", "unread", *carried, F.col("x.kmer").alias("kmer"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("x.parts") - 1)).alias("part"),
+    )
+    return keys.join(postings, ["kmer", "part"]).groupBy("query_id", "ref_id").agg(
+        *[F.first(c).alias(c) for c in ("n_query", "n_ref", "unread", *carried)], F.count("*").alias("count")
+    )
+
 
+def _compared(pairs: DataFrame, q: DataFrame, r: DataFrame, exclude_identical: bool) -> DataFrame:
+    """Pairs with the whole number of k-mers they share."""
+    both = pairs.select("query_id", "ref_id").join(q, "query_id").join(r, "ref_id")
+    if exclude_identical:
+        both = both.where(F.col("query_digest") != F.col("ref_digest"))
+    shared = F.size(F.array_intersect("query_kmers", "ref_kmers")).cast("bigint")
+    return both.select("query_id", "ref_id", "n_query", "n_ref", shared.alias("shared"))
 
-def _compare_blocks(n: int):
-    def compare(queries: pd.DataFrame, references: pd.DataFrame) -> pd.DataFrame:
-        postings: dict[str, list[int]] = defaultdict(list)
-        for position, hot in enumerate(references["hot"]):
-            for kmer in hot:
-                postings[kmer].append(position)
-        index = {kmer: np.asarray(rows) for kmer, rows in postings.items()}
-        ids = references["ref_id"]
-        order = pd.factorize(ids, sort=True)[0]
-        sizes = references["n_ref"].to_numpy()
-        out = []
-        for query_id, n_query, hot in zip(queries["query_id"], queries["n_query"], queries["hot"]):
-            hits = [index[kmer] for kmer in hot if kmer in index]
-            if not hits:
-                continue
-            shared = np.bincount(np.concatenate(hits), minlength=len(order))
-            touched = np.flatnonzero(shared)
-            by_overlap = touched[np.lexsort((order[touched], -shared[touched]))][:n]
-            jaccard = shared[touched] / (n_query + sizes[touched] - shared[touched])
-            chosen = {*by_overlap.tolist(), int(touched[np.argmax(jaccard)])}
-            out += [(query_id, ids.iloc[i], int(shared[i])) for i in chosen]
-        return pd.DataFrame(out, columns=["query_id", "ref_id", "shared"])
 
-    return compare
+def _jaccard(shared: Column) -> Column:
+    return shared / (F.col("n_query") + F.col("n_ref") - shared)
 
 
 def overlaps(
     queries: DataFrame, references: DataFrame, k: int, n: int = 1, exclude_identical: bool = False,
-    hot: int = HOT_REFERENCES,
 ) -> DataFrame:
-    """(query_id, ref_id, shared, n_query, n_ref) over distinct sequences (first_id, sequence).
+    """(query_id, ref_id, shared, n_query, n_ref) over distinct sequences (first_id, digest, sequence).
 
-    Holds, for every query, its top `n` references by shared k-mers and its best one by Jaccard;
-    further pairs may be present, always with their exact overlap or a lower bound of it.
+    Holds, for every query, every reference that shares as many k-mers as its n-th best one and its best one
+    by Jaccard; further pairs may be present, always with their exact overlap. Sequences shorter than k and
+    pairs without a common k-mer are not in it.
     """
-    q = _indexed(queries, "query_id", "n_query", k)
-    r = _indexed(references, "ref_id", "n_ref", k)
-    holders = r.groupBy("kmer").agg(F.count("*").alias("_holders"))
-    # Few rows (all postings over `hot` at most), used several times below.
-    hot_kmers = stored(holders.where(F.col("_holders") > hot).select("kmer"))
-    any_hot = not hot_kmers.isEmpty()
-
-    rare_pairs = (
-        q.join(r.join(hot_kmers, "kmer", "left_anti") if any_hot else r, "kmer")
-        .groupBy("query_id", "ref_id")
-        .agg(F.count("*").alias("rare"), F.first("n_query").alias("n_query"), F.first("n_ref").alias("n_ref"))
-    )
-    if not any_hot:
-        pairs = rare_pairs.withColumnRenamed("rare", "shared")
-        return _without_identical(pairs, queries, references) if exclude_identical else pairs
-
-    def hot_lists(index: DataFrame, id_name: str, size_name: str) -> DataFrame:
-        return (
-            index.join(hot_kmers, "kmer", "left_semi")
-            .groupBy(id_name, size_name)
-            .agg(F.collect_list("kmer").alias("hot"))
-        )
-
-    q_hot = hot_lists(q, "query_id", "n_query")
-    r_hot = hot_lists(r, "ref_id", "n_ref")
-    nothing = F.array().cast("array<string>")
-    candidates = (
-        rare_pairs.join(q_hot.select("query_id", F.col("hot").alias("_qh")), "query_id", "left")
-        .join(r_hot.select("ref_id", F.col("hot").alias("_rh")), "ref_id", "left")
-        .select(
-            "query_id", "ref_id", "n_query", "n_ref",
-            (
-                F.col("rare")
-                + F.size(F.array_intersect(F.coalesce("_qh", nothing), F.coalesce("_rh", nothing)))
-            ).alias("shared"),
-        )
-    )
-    if exclude_identical:
-        candidates = _without_identical(candidates, queries, references)
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("shared"))
-    jaccard = F.col("shared") / (F.col("n_query") + F.col("n_ref") - F.col("shared"))
-    settled = (
-        candidates.withColumn("_rank", F.row_number().over(best))
-        .groupBy("query_id")
-        .agg(
-            F.max(F.when(F.col("_rank") == n, F.col("shared"))).alias("_nth"),
-            F.max(jaccard).alias("_jaccard"),
-        )
-    )
-    open_queries = (
-        q_hot.join(settled, "query_id", "left")
-        .where(
-            (F.size("hot") >= F.coalesce("_nth", F.lit(0)))
-            | (F.size("hot") / F.col("n_query") >= F.coalesce("_jaccard", F.lit(0.0)))
-        )
-        .select("query_id", "n_query", "hot")
-    )
-    query_type, ref_type = (d.schema["first_id"].dataType.simpleString() for d in (queries, references))
-    schema = f"query_id {query_type}, ref_id {ref_type}, shared bigint"
-    # One more per block than asked for, since the query's own copy may be among them.
-    compare = _compare_blocks(n + 1 if exclude_identical else n)
-    q_blocks, r_blocks = _blocks_needed(open_queries), _blocks_needed(r_hot)
-    placed_q = open_queries.select(
-        "*",
-        F.pmod(F.xxhash64("query_id"), q_blocks).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), r_blocks - 1)).alias("rb"),
-    )
-    placed_r = r_hot.select(
-        "*",
-        F.pmod(F.xxhash64("ref_id"), r_blocks).alias("rb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), q_blocks - 1)).alias("qb"),
-    )
-    hot_matches = (
-        placed_q.groupBy("qb", "rb")
-        .cogroup(placed_r.groupBy("qb", "rb"))
-        .applyInPandas(compare, schema)
-    )
-    if exclude_identical:
-        hot_matches = _without_identical(hot_matches, queries, references)
-    hot_matches = (
-        hot_matches.join(q_hot.select("query_id", "n_query"), "query_id")
-        .join(r_hot.select("ref_id", "n_ref"), "ref_id")
-        .select("query_id", "ref_id", "n_query", "n_ref", "shared")
-    )
-    return (
-        candidates.unionByName(hot_matches)
-        .groupBy("query_id", "ref_id")
-        .agg(
-            F.max("shared").alias("shared"), F.first("n_query").alias("n_query"), F.first("n_ref").alias("n_ref")
-        )
-    )
-
-
-def _without_identical(pairs: DataFrame, queries: DataFrame, references: DataFrame) -> DataFrame:
-    """Drop pairs whose two sequences are byte-identical."""
-    same = (
-        queries.select(F.col("first_id").alias("query_id"), "digest")
-        .join(references.select(F.col("first_id").alias("ref_id"), "digest"), "digest")
-        .select("query_id", "ref_id")
-    )
-    return pairs.join(same, ["query_id", "ref_id"], "left_anti")
+    q = stored(_kmer_sets(queries, "query", k))
+    r = stored(_kmer_sets(references, "ref", k))
+    postings, ordered = _index(q, r)
+
+    some = _met(ordered.withColumn("reading", F.ceil(F.col("known") * FIRST_SHARE).cast("int")), postings, [])
+    count = F.col("count")
+    # One more than asked for, since the query's own copy may be among them.
+    by_count = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("count"), "ref_id"))
+    by_index = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(_jaccard(count)), "ref_id"))
+    likely = some.withColumn("_c", by_count).where(F.col("_c") <= n + 1).unionByName(
+        some.withColumn("_c", by_index).where(F.col("_c") <= 2)
+    )
+    first = _compared(likely.select("query_id", "ref_id").distinct(), q, r, exclude_identical)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared")))
+    bounds = first.withColumn("_place", place).groupBy("query_id").agg(
+        F.max(F.when(F.col("_place") == n, F.col("shared"))).alias("least"), F.max(_jaccard(F.col("shared"))).alias("index")
+    )
+    # Anything that shares fewer k-mers than this is neither among the n best nor better by Jaccard.
+    bounded = ordered.join(bounds, "query_id", "left").select(
+        "query_id", "n_query", "rarest", "known",
+        F.greatest(F.coalesce("least", F.lit(1)), F.lit(1)).alias("least"), F.coalesce("index", F.lit(0.0)).alias("index"),
+    )
+    needed = F.greatest(F.least(F.col("least"), F.ceil(F.col("index") * F.col("n_query") - 1e-6)), F.lit(1))
+    reading = F.greatest(F.col("known") - needed + 1, F.lit(0)).cast("int")
+    met = _met(bounded.withColumn("reading", reading), postings, ["least", "index"])
+    most = F.least(count + F.col("unread"), F.col("n_ref").cast("bigint"))
+    possible = met.where((most >= F.col("least")) | (_jaccard(most) >= F.col("index") - 1e-9))
+    return _compared(possible, q, r, exclude_identical)
 
 
 def max_similarity(
     df: DataFrame, known: DataFrame, row_id: str, seq: str = "sequence", known_id: str = "known_id",
-    known_seq: str = "sequence", k: int = 6, hot: int = HOT_REFERENCES,
+    known_seq: str = "sequence", k: int = 6,
 ) -> DataFrame:
     """(row id, length, max_containment, max_jaccard) against the closest known sequence by each
     measure; 0 without any common k-mer, NULL for a sequence shorter than k."""
     queries = distinct_sequences(df, row_id, seq)
-    pairs = overlaps(queries, distinct_sequences(known, known_id, known_seq), k, hot=hot)
+    pairs = overlaps(queries, distinct_sequences(known, known_id, known_seq), k)
     shared = F.col("shared")
     best = pairs.groupBy("query_id").agg(
         F.max(shared / F.col("n_query")).alias("_containment"),
@@ -237,13 +179,13 @@ def max_similarity(
 
 def nearest_neighbours(
     df: DataFrame, known: DataFrame, row_id: str, seq: str = "sequence", known_id: str = "known_id",
-    known_seq: str = "sequence", k: int = 6, n: int = 2, hot: int = HOT_REFERENCES,
+    known_seq: str = "sequence", k: int = 6, n: int = 2,
 ) -> DataFrame:
     """(row id, neighbour, ref_id, containment): the n distinct known sequences with the largest
     containment, other than the sequence itself; ties keep the known set's order."""
     queries = distinct_sequences(df, row_id, seq)
     references = distinct_sequences(known, known_id, known_seq)
-    pairs = overlaps(queries, references, k, n=n, exclude_identical=True, hot=hot)
+    pairs = overlaps(queries, references, k, n=n, exclude_identical=True)
     order = Window.partitionBy("query_id").orderBy(F.desc("shared"), "ref_id")
     ranked = pairs.withColumn("neighbour", F.row_number().over(order)).where(F.col("neighbour") <= n)
     keys = queries.select(F.col("first_id").alias("query_id"), F.col("digest").alias("_digest"))
@@ -257,11 +199,11 @@ def nearest_neighbours(
 
 def novelty_report(
     df: DataFrame, known: DataFrame, row_id: str, seq: str = "sequence", known_id: str = "known_id",
-    known_seq: str = "sequence", k: int = 6, hot: int = HOT_REFERENCES,
+    known_seq: str = "sequence", k: int = 6,
 ) -> DataFrame:
     """Length, exact novelty and both k-mer maxima per row."""
     flags = flag_novel(df.select(row_id, seq), known, seq, known_seq).select(row_id, "novel_exact")
-    scores = max_similarity(df, known, row_id, seq, known_id, known_seq, k, hot)
+    scores = max_similarity(df, known, row_id, seq, known_id, known_seq, k)
     return flags.join(scores, row_id).select(
         row_id, "length", "novel_exact",
         F.col("max_jaccard").alias(f"max_jaccard_k{k}"), F.col("max_containment").alias(f"max_containment_k{k}"),

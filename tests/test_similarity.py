@@ -1,4 +1,4 @@
-"""K-mer similarity against brute force, with and without hot k-mers."""
+"""K-mer similarity against brute force, whatever the first step reads and however common k-mers are spread."""
 
 import random
 
@@ -54,11 +54,12 @@ def frames(spark, texts):
     return q, r
 
 
-@pytest.mark.parametrize("hot", [1, 4, 1000])
-def test_max_similarity_matches_brute_force(spark, texts, hot, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK_POSTINGS", 60)
+@pytest.mark.parametrize("share, part", [(0.01, 2), (0.25, 4096), (1.0, 5)])
+def test_max_similarity_matches_brute_force(spark, texts, share, part, monkeypatch):
+    monkeypatch.setattr(similarity, "FIRST_SHARE", share)
+    monkeypatch.setattr(similarity, "PER_PART", part)
     q, r = frames(spark, texts)
-    got = {row["doc_id"]: row for row in similarity.max_similarity(q, r, "doc_id", k=4, hot=hot).collect()}
+    got = {row["doc_id"]: row for row in similarity.max_similarity(q, r, "doc_id", k=4).collect()}
     assert len(got) == len(texts[0])
     for i, query in enumerate(texts[0]):
         containment, jaccard = brute_max(query, texts[1], 4)
@@ -66,12 +67,13 @@ def test_max_similarity_matches_brute_force(spark, texts, hot, monkeypatch):
         assert got[i]["max_jaccard"] == pytest.approx(jaccard), query
 
 
-@pytest.mark.parametrize("hot", [1, 4, 1000])
+@pytest.mark.parametrize("share, part", [(0.01, 2), (0.25, 4096), (1.0, 5)])
 @pytest.mark.parametrize("n", [1, 3])
-def test_nearest_neighbours_match_brute_force(spark, texts, hot, n, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK_POSTINGS", 60)
+def test_nearest_neighbours_match_brute_force(spark, texts, share, part, n, monkeypatch):
+    monkeypatch.setattr(similarity, "FIRST_SHARE", share)
+    monkeypatch.setattr(similarity, "PER_PART", part)
     q, r = frames(spark, texts)
-    rows = similarity.nearest_neighbours(q, r, "doc_id", k=4, n=n, hot=hot).collect()
+    rows = similarity.nearest_neighbours(q, r, "doc_id", k=4, n=n).collect()
     for i, query in enumerate(texts[0]):
         found = sorted((row["neighbour"], row["ref_id"], row["containment"]) for row in rows if row["doc_id"] == i)
         wanted = brute_nearest(query, texts[1], 4, n)
@@ -92,3 +94,27 @@ def test_semi_and_anti_split_the_rows(spark, texts):
     new = {row["doc_id"] for row in similarity.novel_only(q, r).collect()}
     assert old | new == set(range(len(texts[0]))) and not old & new
     assert old == {i for i, s in enumerate(texts[0]) if s in texts[1]}
+
+
+def test_common_kmers_of_near_copies_are_not_looked_up(spark, monkeypatch):
+    """Queries close to a reference leave their commonest k-mers unread, though all references hold them."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ACDEFGHIKL") for _ in range(n))
+    common = word(30)
+    known = [word(40) + common for _ in range(300)]
+    queries = [s[:20] + "M" + s[21:] for s in known[:50]]
+    q, r = frames(spark, (queries, known))
+    read = []
+    met = similarity._met
+
+    def watched(*args):
+        rows = met(*args)
+        read.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(similarity, "_met", watched)
+    got = {row["doc_id"]: row for row in similarity.max_similarity(q, r, "doc_id", k=5).collect()}
+    assert sum(read) < 50 * 300 / 10
+    for i, query in enumerate(queries):
+        containment, jaccard = brute_max(query, known, 5)
+        assert (got[i]["max_containment"], got[i]["max_jaccard"]) == (pytest.approx(containment), pytest.approx(jaccard))
