@@ -65,6 +65,26 @@ def _collected(order: str, source: str, value: str = "c") -> str:
     )
 
 
+def _permuted(source: str, salt: str) -> str:
+    """CTEs up to permuted(doc_id, place, c): the pieces (doc_id, c, i) of each document in the order of a four-round
+    Feistel permutation of the positions 0 .. 2^bits - 1."""
+    key = lambda r: f"({int_draw(SEED_SQL, 'doc_id', _quote(salt), str(r))} & {ed.ROUND_MASK})"
+    mixed = lambda half, r: f"((({half}) * {ed.ROUND_FACTOR} + k{r}) & {ed.ROUND_MASK})"
+    middle = lambda half, r: f"(({mixed(half, r)} * {mixed(half, r)}) >> 15)"
+    rounds, before = [], "v"
+    for r in range(4):
+        half = f"{before} & ((1::BIGINT << low) - 1)" if r % 2 == 0 else f"{before} >> low"
+        moved = (f"(({middle(half, r)} & ((1::BIGINT << (bits - low)) - 1)) << low)" if r % 2 == 0
+                 else f"({middle(half, r)} & ((1::BIGINT << low) - 1))")
+        rounds.append(f"round{r} AS (SELECT *, xor({before}, {moved}) AS v{r} FROM {'spread' if r == 0 else f'round{r - 1}'})")
+        before = f"v{r}"
+    return f"""sized AS (SELECT doc_id, count(*) AS n, greatest(length(bin(count(*) - 1)), {ed.LEAST_BITS}) AS bits FROM {source} GROUP BY doc_id),
+spread AS (
+  SELECT doc_id, n, bits, bits - bits // 2 AS low, {", ".join(f"{key(r)} AS k{r}" for r in range(4))}, unnest(range(1::BIGINT << bits)) AS v FROM sized),
+""" + ",\n".join(rounds) + f""",
+permuted AS (SELECT s.doc_id, r.v AS place, s.c FROM round3 r JOIN {source} s ON s.doc_id = r.doc_id AND s.i = r.v3)"""
+
+
 _REMOVED_CTE = f"""{_CHARS},
 removed AS MATERIALIZED (SELECT doc_id, sequence, length(sequence) AS n, length(sequence) - length(regexp_replace(sequence, '{FREQUENT}', '', 'g')) AS r FROM seqs)"""
 _PEERS = " ".join(f"WHEN '{a}' THEN '{p}'" for a, p in sorted(ed.conservative_peers().items()))
@@ -93,10 +113,10 @@ _PANEL_COUNTS = "\nUNION ALL ".join(
 
 ENTRIES = {
     "shuffle_residues": Entry(_edited(lambda s, k: ed.shuffle_residues(s, SEED, k)), with_(
-        _CHARS, _collected(f"{hex_draw(SEED_SQL, 'doc_id', _quote('shuffle'), 'i')}, i", "SELECT * FROM chars"))),
+        f"{_CHARS},\n" + _permuted("chars", "shuffle"), _collected("place", "SELECT * FROM permuted"))),
     "shuffle_blocks": Entry(_edited(lambda s, k: ed.shuffle_blocks(s, SEED, k)), with_(f"""{SEQS},
-blocks AS (SELECT doc_id, unnest(regexp_extract_all(sequence, '.{{1,20}}')) AS c, unnest(range((length(sequence) + 19) // 20)) AS i FROM seqs WHERE sequence <> '')""",
-        _collected(f"{hex_draw(SEED_SQL, 'doc_id', _quote('blocks'), 'i')}, i", "SELECT * FROM blocks"))),
+blocks AS (SELECT doc_id, unnest(regexp_extract_all(sequence, '.{{1,20}}')) AS c, unnest(range((length(sequence) + 19) // 20)) AS i FROM seqs WHERE sequence <> ''),
+""" + _permuted("blocks", "blocks"), _collected("place", "SELECT * FROM permuted"))),
     "reverse_sequence": Entry(_edited(lambda s, k: ed.reverse_sequence(s)), with_(SEQS, "SELECT doc_id, reverse(sequence) AS edited FROM seqs")),
     "knockout_delete": Entry(knockout_delete, with_(_REMOVED_CTE, f"""
 SELECT doc_id, regexp_replace(sequence, '{FREQUENT}', '', 'g') AS edited, r AS n_removed FROM removed""")),

@@ -12,6 +12,8 @@ from seqloom.functions.hashing import draw_below, draw_hex, draw_int, let
 from seqloom.functions.motifs import marked
 
 _HIT = "\u0002"
+#: Constants of the permutation's round function, and the bits of the smallest range it runs on.
+ROUND_FACTOR, ROUND_MASK, LEAST_BITS = 40503, (1 << 31) - 1, 6
 
 
 def _col(c) -> Column:
@@ -22,12 +24,52 @@ def _characters(seq: Column) -> Column:
     return F.when(F.length(seq) > 0, F.split(seq, "")).otherwise(F.array().cast("array<string>"))
 
 
+def _round(half: Column, key: Column) -> Column:
+    """Middle bits of a square: the round function of the permutation, on halves of up to 16 bits."""
+    mixed = (half * ROUND_FACTOR + key).bitwiseAND(F.lit(ROUND_MASK))
+    return F.shiftright(mixed * mixed, 15)
+
+
+def _permuted(pieces: Column, *seed) -> Column:
+    """The array `pieces` in a random order by a keyed Feistel permutation: four rounds on the two halves of a
+    position map 0 .. 2^bits - 1 onto itself, and positions beyond the last piece are skipped. 2^bits is less than
+    twice the number of pieces (64 at least), so the work is linear; one digest a round and row gives the keys."""
+    keys = [draw_int(*seed, F.lit(i)).bitwiseAND(F.lit(ROUND_MASK)) for i in range(4)]
+
+    def sized(x: Column) -> Column:
+        n = F.size(x["pieces"]).cast("bigint")
+        bits = F.greatest(F.length(F.bin(n - 1)), F.lit(LEAST_BITS))
+        low = bits - F.shiftright(bits, 1)
+        one = F.lit(1).cast("bigint")
+        return F.struct(
+            x["pieces"].alias("pieces"), n.alias("n"), low.alias("low"),
+            (F.call_function("shiftleft", one, low) - 1).alias("low_mask"),
+            (F.call_function("shiftleft", one, bits - low) - 1).alias("high_mask"),
+            (F.call_function("shiftleft", one, bits) - 1).alias("last"),
+            *[x[f"k{i}"].alias(f"k{i}") for i in range(4)],
+        )
+
+    def into_high(x: Column, key: Column):
+        change = lambda v: _round(v.bitwiseAND(x["low_mask"]), key).bitwiseAND(x["high_mask"])
+        return lambda v: v.bitwiseXOR(F.call_function("shiftleft", change(v), x["low"]))
+
+    def into_low(x: Column, key: Column):
+        return lambda v: v.bitwiseXOR(_round(F.call_function("shiftright", v, x["low"]), key).bitwiseAND(x["low_mask"]))
+
+    def order(x: Column) -> Column:
+        places = F.sequence(F.lit(0).cast("bigint"), x["last"])
+        for i in range(4):
+            places = F.transform(places, (into_high if i % 2 == 0 else into_low)(x, x[f"k{i}"]))
+        inside = F.filter(places, lambda v: v < x["n"])
+        return F.transform(inside, lambda v: F.get(x["pieces"], v.cast("int")))
+
+    start = F.struct(pieces.alias("pieces"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    return let(start, lambda x: let(sized(x), order))
+
+
 def _reordered(pieces: Column, *seed) -> Column:
-    """Pieces joined in the order of their draws."""
-    keyed = F.transform(
-        pieces, lambda piece, i: F.struct(draw_hex(*seed, i).alias("h"), i.alias("i"), piece.alias("p"))
-    )
-    return F.array_join(F.transform(F.sort_array(keyed), lambda x: x["p"]), "")
+    """Pieces joined in a random order."""
+    return F.array_join(_permuted(pieces, *seed), "")
 
 
 def shuffle_residues(seq, seed, row_id) -> Column:
