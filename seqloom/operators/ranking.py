@@ -1,9 +1,8 @@
 """Exact ranks, cumulative counts and percentiles that never sort a whole group in one task.
 
-A group is cut into value buckets by a monotone function of the value. Bucket totals are counted
-with map-side combining, their running sums give every bucket an offset, and only the values inside
-one bucket are ever ordered by one task. Equal values are collapsed to one counted row first, so a
-value held by a third of a group costs one row.
+Equal values are collapsed to one counted row first, so a value held by a third of a group costs one row.
+The distinct values of all groups are range partitioned together by sampled splitters (`splitters`): prefix
+sums inside each range and over the ranges' totals give every value its place, however close the values lie.
 """
 
 from __future__ import annotations
@@ -13,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seqloom.functions.hashing import draw_hex
+from seqloom.operators.splitters import running_sums
 
-BUCKETS_PER_OCTAVE = 1 << 16
 HEX_PREFIX = 4
 
 
@@ -25,12 +24,6 @@ def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])
 
 
-def value_bucket(value: Column) -> Column:
-    """Monotone in the value: logarithmic, so any double falls in a bounded number of buckets."""
-    scaled = F.signum(value) * F.log2(F.abs(value) + 1.0)
-    return F.floor(scaled * BUCKETS_PER_OCTAVE)
-
-
 def cumulative_counts(df: DataFrame, groups: list[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per group and distinct value: (groups, value, n, upto, total), `upto` counting the
     rows at or below the value. NULLs and NaNs are left out. `extra` adds aggregates per value."""
@@ -40,22 +33,13 @@ def cumulative_counts(df: DataFrame, groups: list[str], value: str, extra: dict[
     distinct = usable.groupBy(*groups, v.cast("double").alias(value)).agg(
         F.count("*").alias("n"), *[c.alias(name) for name, c in extra.items()]
     )
-    distinct = distinct.withColumn("_bucket", value_bucket(v))
-
-    buckets = distinct.groupBy(*groups, "_bucket").agg(F.sum("n").alias("_in_bucket"))
-    running = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    buckets = buckets.select(
-        *groups,
-        "_bucket",
-        F.coalesce(F.sum("_in_bucket").over(running), F.lit(0)).alias("_before"),
-        F.sum("_in_bucket").over(whole).alias("total"),
-    )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = distinct.withColumn("_upto", F.sum("n").over(inside))
-    return _attach(ranked, buckets, [*groups, "_bucket"]).select(
-        *groups, value, "n", *extra, (F.col("_before") + F.col("_upto")).alias("upto"), "total"
-    )
+    placed = running_sums(distinct, [*groups, value], "n", "_so_far")
+    # A group starts where the rows of the groups before it end.
+    whole = placed.groupBy(*groups) if groups else placed.groupBy()
+    starts = whole.agg(F.min("_so_far").alias("_start"), F.sum("n").alias("total"))
+    upto = F.col("_so_far") + F.col("n") - F.col("_start")
+    joined = _attach(placed, starts, groups) if groups else placed.crossJoin(starts)
+    return joined.select(*groups, value, "n", *extra, upto.alias("upto"), "total")
 
 
 def percentiles(df: DataFrame, groups: list[str], value: str, named: dict[str, float]) -> DataFrame:
