@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seqloom.functions.hashing import let
 from seqloom.llm.common import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -35,11 +36,26 @@ FOUND = "array<struct<start:int,end:int,match:string>>"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,match:string>>"
 
 
+def in_blocks(items: Column, body) -> Column:
+    """`body` of each run of about sqrt(n) of the n items, in order (one empty run where there are none)."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(items))), F.lit(1)).cast("int")
+    runs = F.greatest(F.ceil(F.size(items) / size), F.lit(1)).cast("int")
+    each = lambda x: F.transform(F.sequence(F.lit(0), x["runs"] - 1), lambda j: body(F.slice(x["items"], j * x["size"] + 1, x["size"])))
+    return let(F.struct(items.alias("items"), size.alias("size"), runs.alias("runs")), each)
+
+
 def located(text: Column, pattern: Column) -> Column:
-    """start, end (code points) and text of each match, from the matches and the gaps between them."""
+    """start, end (code points) and text of each match, from the matches and the gaps between them.
+
+    Prefix sums on two levels, inside runs of about sqrt(n) matches and over the runs' lengths, so that an array is
+    never extended more than sqrt(n) times and a text of very many matches takes little more than linear time.
+    """
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    steps = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match")))
+    split = F.split(text, pattern, -1)
+    steps = let(
+        F.struct(matches.alias("matches"), split.alias("gaps")),
+        lambda x: F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["matches"])), x["matches"], lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match"))),
+    )
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("found"))
 
     def step(held: Column, s: Column) -> Column:
@@ -47,7 +63,11 @@ def located(text: Column, pattern: Column) -> Column:
         end = start + F.length(s["match"])
         return F.struct(end.alias("at"), F.concat(held["found"], F.array(F.struct(start.alias("start"), end.alias("end"), s["match"].alias("match")))).alias("found"))
 
-    return F.aggregate(steps, begin, step)["found"]
+    runs = in_blocks(steps, lambda run: F.aggregate(run, begin, step))
+    before = lambda r: F.aggregate(r, F.array(F.lit(0)), lambda held, one: F.concat(held, F.array(F.element_at(held, -1) + one["at"])))
+    moved = lambda m, by: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["match"].alias("match"))
+    placed = lambda x: F.flatten(F.transform(x["runs"], lambda run, j: F.transform(run["found"], lambda m: moved(m, F.get(x["before"], j)))))
+    return let(runs, lambda r: let(F.struct(r.alias("runs"), before(r).alias("before")), placed))
 
 
 def luhn(digits: Column) -> Column:
@@ -168,17 +188,34 @@ def listed(spans: Column | str) -> Column:
 
 
 def replaced(text: Column, spans: Column) -> Column:
-    """The text with every span as its kind in brackets, `removed` ones gone; of overlapping spans the first names it."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every span as its kind in brackets, `removed` ones gone; of overlapping spans the first names it.
 
-    def step(held: Column, s: Column) -> Column:
-        sign = F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        whole = F.struct(s["end"].alias("at"), F.concat(held["out"], F.substring(text, held["at"] + 1, s["start"] - held["at"]), sign).alias("out"))
-        inside = F.struct(F.greatest(held["at"], s["end"]).alias("at"), held["out"].alias("out"))
-        return F.when(s["start"] >= held["at"], whole).otherwise(inside)
+    Runs of about sqrt(n) spans are replaced each in its own stretch of the text, so no step reads the text from its
+    start; a run begins where the furthest span of the runs before it ends.
+    """
+
+    def within(x: Column, run: Column, at: Column, to: Column) -> Column:
+        def step(held: Column, s: Column) -> Column:
+            sign = F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            gap = F.substring(held["part"], held["at"] - held["origin"] + 1, s["start"] - held["at"])
+            whole = F.struct(held["origin"].alias("origin"), held["part"].alias("part"), s["end"].alias("at"), F.concat(held["out"], gap, sign).alias("out"))
+            inside = F.struct(held["origin"].alias("origin"), held["part"].alias("part"), F.greatest(held["at"], s["end"]).alias("at"), held["out"].alias("out"))
+            return F.when(s["start"] >= held["at"], whole).otherwise(inside)
+
+        begin = F.struct(at.alias("origin"), F.substring(x["text"], at + 1, to - at).alias("part"), at.alias("at"), F.lit("").alias("out"))
+        return F.aggregate(run, begin, step)["out"]
+
+    ends = lambda runs: F.aggregate(
+        runs, F.array(F.lit(0)),
+        lambda held, run: F.concat(held, F.array(F.aggregate(run, F.element_at(held, -1), lambda e, s: F.greatest(e, s["end"])))),
+    )
+
+    def joined(x: Column) -> Column:
+        parts = F.transform(x["runs"], lambda run, j: within(x, run, F.get(x["ends"], j), F.get(x["ends"], j + 1)))
+        return F.concat(F.array_join(parts, ""), F.substring(x["text"], F.element_at(x["ends"], -1) + 1, F.length(x["text"])))
 
-    done = F.aggregate(spans, begin, step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    runs = in_blocks(spans, lambda run: run)
+    return let(F.struct(text.alias("text"), runs.alias("runs")), lambda x: let(F.struct(x["text"].alias("text"), x["runs"].alias("runs"), ends(x["runs"]).alias("ends")), joined))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 from samples import documents, odd_rows, words
 
-from seqloom.llm.sanitise import KINDS, contexts, disclosing_terms, identified, base_spans, listed, personal_data, sanitised
+from seqloom.llm.sanitise import KINDS, contexts, disclosing_terms, identified, base_spans, listed, personal_data, replaced, sanitised
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -103,6 +103,29 @@ def test_replacement(spark):
     assert "boss@hq.org" not in out[3]["text"] and "aphodius" not in out[3]["text"]
 
 
+def test_very_many_spans_in_one_text(spark):
+    text = "".join(f"mail u{i}@host{i % 7}.org or 10.0.{i % 256}.1; " for i in range(32_000))
+    rows = [(1, text, "en", "s", 0)]
+    docs = documents(spark, rows)
+    spans = identified(docs).select("text", base_spans(F.col("text")).alias("spans"))
+    row = spans.select(listed("spans").alias("listed"), replaced(F.col("text"), F.col("spans")).alias("out")).first()
+    assert row["listed"] == brute(text)
+    assert row["out"] == "mail [EMAIL] or [IP]; " * 32_000
+
+
+def test_overlapping_spans_across_runs(spark):
+    """The first of overlapping spans names them, also where a span reaches over many later ones."""
+    spans = [(0, 3, "email"), (5, 40, "card")] + [(i, i + 2, "ip") for i in range(6, 60, 3)] + [(70, 75, "removed"), (74, 78, "phone")]
+    text = "".join(chr(97 + i % 26) for i in range(90)) + "\U0001F600z"
+    at, out = 0, ""
+    for a, b, kind in spans:
+        if a >= at:
+            out += text[at:a] + ("" if kind == "removed" else f"[{kind.upper()}]")
+        at = max(at, b)
+    df = spark.createDataFrame([(text, spans), (text, []), ("", [])], "t string, s array<struct<start:int,end:int,kind:string>>")
+    assert [r["o"] for r in df.select(replaced(F.col("t"), F.col("s")).alias("o")).collect()] == [out + text[at:], text, ""]
+
+
 def test_contexts_are_bounded(spark):
     text = " ".join(["word"] * 5000) + " a@b.co " + " ".join(["other"] * 5000)
     df = spark.createDataFrame([(text,)], "text string").select("text", base_spans(F.col("text")).alias("spans"))
