@@ -27,6 +27,10 @@ TOP = 5
 SCALE, QUERY_STEP = 256, 50
 #: Distances are floating-point: bounds give way by this share.
 SLACK = 1e-9
+#: Sums of whole numbers are exact in floating point below this; no score is larger than the largest squared norm.
+EXACT = float(1 << 53)
+#: Scores are long; the norm is summed in floating point, so a little below 2^63.
+LARGEST = float(1 << 63) * (1 - 1e-9)
 
 
 def usable(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -117,13 +121,15 @@ def searched(routes: DataFrame, index: DataFrame, top: int) -> DataFrame:
             return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
         x, ids, away = matrix(vectors["v"]), vectors["vec_id"].to_numpy(), vectors["distance"].to_numpy()
         q, of = matrix(queries["q"]), queries["query_id"].to_numpy()
-        scores = q @ x.T
+        whole = queries["whole"][0].as_py()
+        scores = q.astype(np.int64) @ x.T.astype(np.int64) if whole else q @ x.T
         # Not the query's own row, and nothing the triangle inequality rules out.
         gap = np.abs(queries["d"].to_numpy()[:, None] - away[None, :])
         out = (of[:, None] == ids[None, :]) | (gap > queries["reach"].to_numpy()[:, None])
-        scores[out] = -np.inf
+        nothing = -np.iinfo(np.int64).max if whole else -np.inf
+        scores[out] = nothing
         got, near = best(scores, ids, top)
-        real = np.isfinite(got)
+        real = got > nothing
         return pa.table({"query_id": pa.array(np.repeat(of, real.sum(axis=1))), "vec_id": pa.array(near[real]), "score": pa.array(got[real].astype(np.int64))})
 
     groups = routed.groupBy("annulus", "block").cogroup(held.groupBy("place", "part"))
@@ -138,15 +144,24 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
 def search(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFrame:
     """query_id, rank, vec_id, score: for every query (vec_id divisible by `step`) its `top` best other rows.
 
-    All vectors must have one length. Repeated rows of one id count once. Scores are exact while they
-    stay below 2^53. An empty table gives an empty result.
+    The commonest length of the vectors is the table's (of equally common ones the larger); others have no inner
+    product with its vectors and are left out. Repeated rows of one id count once. Scores are exact: they
+    are taken in whole numbers where the largest squared norm, which bounds them, passes 2^53. From 2^63 on no long
+    holds them, and the search raises an error. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    every = stored(usable(vectors).dropDuplicates(["vec_id"]))
+    good = stored(usable(vectors))
+    lengths = good.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("held"))
+    length = lengths.agg(F.max(F.struct("held", "length"))["length"].alias("length"))
+    # One row.
+    every = stored(good.join(F.broadcast(length), F.size("v") == F.col("length")).drop("length").dropDuplicates(["vec_id"]))
     most = every.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))).first()[0]
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if most is None:
         return spark.createDataFrame([], schema)
+    if most >= LARGEST:
+        raise ValueError("scores of vectors this long may not fit a 64-bit integer")
+    whole = bool(most >= EXACT)
     sample = np.array([r["v"] for r in every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
     pivots = farthest_first(np.concatenate([sample, np.sqrt(np.maximum(most - (sample**2).sum(axis=1), 0))[:, None]], axis=1), PIVOTS)
     index = stored(indexed(every, pivots, most))
@@ -156,7 +171,7 @@ def search(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFr
     gap = F.greatest(F.col("lo") - F.col("d"), F.col("d") - F.col("hi"), F.lit(0.0))
     met = from_pivot.join(annuli.withColumn("pivot", F.col("annulus.pivot")), "pivot").withColumn("gap", gap)
     near = met.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "d", "annulus"))).where(F.col("at") <= FIRST)
-    start = near.select("query_id", "annulus", "d", F.lit(float("inf")).alias("reach")).join(queries.select("query_id", "q"), "query_id")
+    start = near.select("query_id", "annulus", "d", F.lit(float("inf")).alias("reach"), F.lit(whole).alias("whole")).join(queries.select("query_id", "q"), "query_id")
     first = stored(ranked(searched(start, index, top), top))
     # |q - x|^2 = |q|^2 + M - 2 q.x in the lifted space: the k-th score bounds the distance of what can still come in.
     norm = F.aggregate("q", F.lit(0.0), lambda s, e: s + e * e)
@@ -164,7 +179,7 @@ def search(vectors: DataFrame, top: int = TOP, step: int = QUERY_STEP) -> DataFr
     reach = F.when(F.col("kth").isNull(), float("inf")).otherwise(F.sqrt(F.greatest(norm + most - 2 * F.col("kth"), F.lit(0.0))) * (1 + SLACK) + SLACK * (1 + most**0.5))
     bounded = queries.join(kth, "query_id", "left").select("query_id", "q", reach.alias("reach"))
     left = met.join(near.select("query_id", "annulus"), ["query_id", "annulus"], "left_anti").join(bounded, "query_id")
-    rest = left.where(F.col("gap") <= F.col("reach")).select("query_id", "annulus", "d", "reach", "q")
+    rest = left.where(F.col("gap") <= F.col("reach")).select("query_id", "annulus", "d", "reach", F.lit(whole).alias("whole"), "q")
     both = first.select("query_id", "vec_id", "score").unionByName(searched(rest, index, top))
     return ranked(both, top).select("query_id", "rank", "vec_id", "score")
 

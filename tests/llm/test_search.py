@@ -59,3 +59,20 @@ def test_clusters_are_ruled_out(spark, monkeypatch):
     found = sorted(map(tuple, search(spark.createDataFrame(rows, SCHEMA)).select("query_id", "rank", "vec_id", "score").collect()))
     assert found == brute(rows)
     assert sum(seen) < 0.5 * 40 * (2000 / 40)
+
+
+def test_odd_lengths_and_large_scores(spark):
+    """Vectors of another length than most are left out; scores past 2^53 stay exact."""
+    draw = random.Random(3)
+    rows = [(i, [draw.uniform(-3e5, 3e5) for _ in range(4)]) for i in range(150)]
+    odd = [(1000, [1.0]), (1001, [1e5] * 7), (1050, [0.5] * 3)]
+    got = [tuple(r) for r in search(spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>")).collect()]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    wanted = []
+    for i in whole:
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(whole[i], v)), j) for j, v in whole.items() if j != i)[:5]
+            wanted += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
+    assert sorted(got) == sorted(wanted) and max(s for *_, s in got) > 1 << 53
+    with pytest.raises(ValueError):
+        search(spark.createDataFrame([(1, [1e9, 1e9])], "vec_id bigint, embedding array<double>"))
