@@ -70,10 +70,9 @@ def motif_specimens(specimens: DataFrame, patterns: dict[str, str] | None = None
 
 
 def budget_summary(answered: DataFrame, budgets: list[int] = DECODING_BUDGETS) -> DataFrame:
-    """Per decoding budget: parse rate, and letters emitted before a parsed answer."""
-    rows = answered.select(
-        "budget", parse_vector("answer").isNotNull().alias("parsed"), letters_before_answer("answer").alias("extra")
-    )
+    """Per decoding budget: parse rate of the rows that were asked, and letters emitted before a parsed answer."""
+    parsed = F.when(F.col("answer").isNotNull(), parse_vector("answer").isNotNull())
+    rows = answered.select("budget", parsed.alias("parsed"), letters_before_answer("answer").alias("extra"))
     rates = rows.groupBy("budget").agg(
         F.count("*").alias("n"), F.count_if("parsed").alias("n_parsed"),
         F.avg(F.col("parsed").cast("double")).alias("parse_rate"),
@@ -116,5 +115,6 @@ def verify_published(specimens: DataFrame, targets: DataFrame, predict: Predict)
 
 
 def repeatability(df: DataFrame, groups: list[str], prediction: str = "prediction") -> DataFrame:
-    """Draws and distinct outputs per group."""
-    return df.groupBy(*groups).agg(F.count("*").alias("n_draws"), F.count_distinct(prediction).alias("n_distinct"))
+    """Draws and distinct outputs per group; a vector without any value is no output."""
+    output = F.when(F.exists(prediction, lambda x: x.isNotNull()), F.col(prediction))
+    return df.groupBy(*groups).agg(F.count("*").alias("n_draws"), F.count_distinct(output).alias("n_distinct"))
