@@ -84,10 +84,10 @@ FEATURE_SETS = ["composition", "composition+motifs", "dipeptide"]
 
 
 def with_features(df: DataFrame, row_id: str, seq: str, feature_set: str, name: str = "features") -> DataFrame:
-    """Append the feature array: 21, 26 or 421 doubles."""
+    """Append the feature array: 21, 26 or 421 doubles, NULL where a sequence without residues has none."""
     if feature_set not in FEATURE_SETS:
         raise ValueError(f"no features are defined under {feature_set!r}, only under: {', '.join(FEATURE_SETS)}")
-    base = composition_features(df, seq)
+    base = [*residue_fractions(seq), F.when(F.length(seq) > 0, log_length(seq))]
     if feature_set == "composition+motifs":
         base = base + motif_features(df, seq)
     if feature_set != "dipeptide":
@@ -230,10 +230,14 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
+def _complete(features: str) -> Column:
+    return F.forall(features, lambda x: x.isNotNull())
+
+
 def fit_ridge(df: DataFrame, n_features: int, features: str = "features", target: str = "target",
               fold: str = "fold") -> dict[int, Ridge]:
-    """Model per held-out fold, and under key -1 the model of all rows."""
-    columns = df.select(F.col(features).alias("x"), F.col(target).alias("y"), F.col(fold).alias("fold"))
+    """Model per held-out fold, and under key -1 the model of all rows. Rows that lack a feature are not fitted."""
+    columns = df.where(_complete(features)).select(F.col(features).alias("x"), F.col(target).alias("y"), F.col(fold).alias("fold"))
 
     def gram(batches):
         sums: dict[int, np.ndarray] = {}
@@ -269,7 +273,8 @@ def fit_ridge(df: DataFrame, n_features: int, features: str = "features", target
 
 
 def ridge_predictions(df: DataFrame, models: dict[int, Ridge], features: str = "features", fold: str = "fold") -> DataFrame:
-    """Append the in-sample prediction and the prediction of the model that did not see the row."""
+    """Append the in-sample prediction and the prediction of the model that did not see the row; both NULL for a row
+    that lacks a feature."""
     shared = df.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf("struct<in_sample array<double>, held_out array<double>>")
@@ -282,7 +287,8 @@ def ridge_predictions(df: DataFrame, models: dict[int, Ridge], features: str = "
             outside[rows] = shared.value[f].predict(values[rows])
         return pd.DataFrame({"in_sample": list(inside), "held_out": list(outside)})
 
-    return df.withColumn("_p", predict(features, fold)).select("*", "_p.in_sample", "_p.held_out").drop("_p")
+    both = [F.when(_complete(features), F.col(f"_p.{name}")).alias(name) for name in ("in_sample", "held_out")]
+    return df.withColumn("_p", predict(features, fold)).select("*", *both).drop("_p")
 
 
 # --- Boosted trees -----------------------------------------------------------------------
@@ -308,7 +314,9 @@ def gbm_predictions(df: DataFrame, features: str = "features", target: str = "ta
 # --- Scores ----------------------------------------------------------------------------
 
 def baseline_scores(predicted: DataFrame, model: str, feature_set: str, target: str = "target", fold: str = "fold") -> DataFrame:
-    """Per property: in-sample R2, mean and sample SD of the folds' R2, and the mean predictor's R2."""
+    """Per property: in-sample R2, mean and sample SD of the folds' R2, and the mean predictor's R2, over the rows
+    that have a prediction."""
+    predicted = predicted.where(F.col("in_sample").isNotNull())
     long = long_vector(predicted, [fold], y=target, a="in_sample", b="held_out")
     inside = long.groupBy("slot").agg(r2_across("y", "a").alias("r2_in_sample"))
     folds = long.groupBy("slot", fold).agg(r2_across("y", "b").alias("r2"))
