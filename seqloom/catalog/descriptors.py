@@ -12,6 +12,7 @@ from seqloom.fixed import (
     NEGATIVE_PK, PI_HIGH, PI_LOW, PI_START, POSITIVE_PK, RESIDUE_MASS, RESIDUES, UNKNOWN_RESIDUE_MASS, WATER_MASS,
 )
 from seqloom.functions import descriptors as des
+from seqloom.functions.residues import letter_count
 from seqloom.operators import agreement
 
 _LETTERS = RESIDUES + AMBIGUOUS
@@ -23,8 +24,8 @@ def descriptors(spark, folder):
 
 
 def isoelectric_points(spark, folder):
-    df = des.with_descriptors(sequences(spark, folder), percentages=False)
-    return df.select("doc_id", "isoelectric_point")
+    counts = {a: letter_count("sequence", a) for a in (*POSITIVE_PK, *NEGATIVE_PK)}
+    return sequences(spark, folder).select("doc_id", des.isoelectric_point(F.col("sequence"), counts).alias("isoelectric_point"))
 
 
 def percentages(spark, folder):
