@@ -190,3 +190,15 @@ def test_extremes_need_enough_individuals(spark):
     assert association.extremes(people, 2).count() == 16
     with pytest.raises(Exception, match="at least 6"):
         association.extremes(people, 3).collect()
+
+
+def test_signed_rank_of_millions_of_rows(spark):
+    df = spark.range(2_100_000).select(F.lit("a").alias("g"), (F.pmod("id", F.lit(7)) - F.lit(2.0)).alias("diff"))
+    row = ablation.signed_rank_test(df, ["g"]).first()
+    # Sizes 1 (two sevenths of the rows, one of them negative), 2 (likewise), 3 and 4, each 300,000 rows to a sign.
+    k, m = 300_000, 1_800_000
+    ranks = [(2 * k + 1) / 2, 2 * k + (2 * k + 1) / 2, 4 * k + (k + 1) / 2, 5 * k + (k + 1) / 2]
+    plus = k * sum(ranks)
+    variance = (m * (m + 1) * (2 * m + 1) - (2 * ((2 * k) ** 3 - 2 * k) + 2 * (k**3 - k)) / 2) / 24
+    assert (row["n_nonzero"], row["n_zero"], row["rank_sum_positive"]) == (m, k, plus)
+    assert abs(row["z"] - (m * (m + 1) / 2 - plus - m * (m + 1) / 4) / variance**0.5) < 1e-6
