@@ -5,8 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.fixed import CANONICAL_MOTIFS
-from seqloom.functions import edits as ed
+from seqloom.fixed import CANONICAL_MOTIFS, RESIDUES
+from seqloom.functions import draws, edits as ed, hashing
 
 LONG = ("GPGGYGQGGSAAAAAAAAGGAGQGGYGGLGSQGAGRGGQGAGAAAAAAGGVGQ" * 6)[:300]
 CASES = [LONG, "GAGAGAAAAAGPGQQ", "A", "", "CCCC"]
@@ -99,3 +99,19 @@ def test_panel_has_only_applicable_edits(spark):
         names.setdefault(row["id"], set()).add(row["ablation"])
     assert {"termini_only", "core_only", "knockout_polyA", "block_control_GGX"} <= names[0]
     assert "termini_only" not in names[1] and "knockout_GGX" not in names[1] and 3 not in names
+
+
+def test_batched_draws_are_those_of_the_expressions(spark):
+    """Long prefixes, many digits, several texts to a batch, an empty and a NULL one."""
+    rows = [(1, "ACDEFGHIKLMNPQRSTVWY" * 40), (2, ""), (3, None), (4, "GA" * 9000), (10**17, "MK")]
+    df = spark.createDataFrame(rows, "id long, s string").coalesce(1)
+    letters = F.when(F.length("s") > 0, F.split("s", "")).otherwise(F.array().cast("array<string>"))
+    for tag in ("short", "x" * 60):
+        parts = (F.lit(7), F.col("id"), F.lit(tag))
+        ordered = F.sort_array(F.transform(letters, lambda c, i: F.struct(hashing.draw_hex(*parts, i).alias("h"), i.alias("i"), c.alias("c"))))
+        residues = F.transform(letters, lambda _, i: F.substr(F.lit(RESIDUES), (F.pmod(hashing.draw_int(*parts, i), F.lit(20)) + 1).cast("int"), F.lit(1)))
+        wanted = df.where("s is not null").select(
+            "id", F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("a"), F.array_join(residues, "").alias("b")).collect()
+        got = df.select("id", draws.shuffled(F.col("s"), *parts).alias("a"), draws.randomised(F.col("s"), *parts).alias("b")).collect()
+        assert sorted(r for r in got if r["a"] is not None) == sorted(wanted)
+        assert [r["b"] for r in got if r["id"] == 3] == [None]
