@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,11 @@ def test_signed_rank_of_millions_of_rows(spark):
     variance = (m * (m + 1) * (2 * m + 1) - (2 * ((2 * k) ** 3 - 2 * k) + 2 * (k**3 - k)) / 2) / 24
     assert (row["n_nonzero"], row["n_zero"], row["rank_sum_positive"]) == (m, k, plus)
     assert abs(row["z"] - (m * (m + 1) / 2 - plus - m * (m + 1) / 4) / variance**0.5) < 1e-6
+
+
+def test_pairs_of_many_runs(monkeypatch):
+    texts = pd.Series(["ACCA", None, "", "A", "CAXAC" * 3, "AC" * 40, "Y"])
+    whole = baseline._pairs_of_run(texts)
+    monkeypatch.setattr(baseline, "PAIR_RUN", 5)
+    assert (baseline._pairs_of(texts) == whole).all()
+    assert baseline._pairs_of(texts[:0]).shape == (0, 400)
