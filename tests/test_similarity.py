@@ -118,3 +118,32 @@ def test_common_kmers_of_near_copies_are_not_looked_up(spark, monkeypatch):
     for i, query in enumerate(queries):
         containment, jaccard = brute_max(query, known, 5)
         assert (got[i]["max_containment"], got[i]["max_jaccard"]) == (pytest.approx(containment), pytest.approx(jaccard))
+
+
+def test_tied_references_are_not_all_given_out(spark):
+    """Every reference shares the same k-mers with every query: a query gives out a few of them, the smallest ids."""
+    rng = random.Random(3)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    common = word(30, "ACDE")
+    queries = [word(20, "FGH") + common for _ in range(40)]
+    known = [common + word(20, "KLM") for _ in range(200)]
+    q, r = frames(spark, (queries, known))
+    pairs = similarity.overlaps(
+        similarity.distinct_sequences(q, "doc_id", "sequence"), similarity.distinct_sequences(r, "known_id", "sequence"), 5, 2
+    ).collect()
+    assert len(pairs) <= 40 * 3
+    rows = similarity.nearest_neighbours(q, r, "doc_id", k=5, n=2).collect()
+    assert {(row["doc_id"], row["neighbour"], row["ref_id"]) for row in rows} == {(i, n, n - 1) for i in range(40) for n in (1, 2)}
+
+
+def test_many_letters_and_long_kmers(spark):
+    """More different k-mers than codes hold are numbered afresh on the way; any letters do."""
+    rng = random.Random(4)
+    letters = [chr(c) for c in (*range(0x41, 0x7F), *range(0x400, 0x500), *range(0x1F600, 0x1F640))]
+    known = ["".join(rng.choice(letters) for _ in range(80)) for _ in range(20)]
+    queries = [s[10:50] + known[0][:15] for s in known] + ["ab"]
+    q, r = frames(spark, (queries, known))
+    got = {row["doc_id"]: row for row in similarity.max_similarity(q, r, "doc_id", k=11).collect()}
+    for i, query in enumerate(queries):
+        containment, jaccard = brute_max(query, known, 11)
+        assert (got[i]["max_containment"], got[i]["max_jaccard"]) == (pytest.approx(containment), pytest.approx(jaccard))
