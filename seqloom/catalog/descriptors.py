@@ -54,15 +54,14 @@ def ambiguity(spark, folder):
 def _published(spark, folder):
     """Weights as a publisher might give them: unknowns as average residues for one language, as
     alanine for another, as glycine for a third, dropped for the rest."""
-    df = _ambiguous(spark, folder)
-    variants = des.ambiguity_variants(F.col("sequence"))
+    df = des.with_weights(_ambiguous(spark, folder), "sequence")
     weight = (
-        F.when(F.col("lang") == "en", des.weight_with_unknowns("sequence"))
-        .when(F.col("lang") == "de", des.weight_of(variants["X_to_A"]))
-        .when(F.col("lang") == "fr", des.weight_of(variants["X_to_G"]))
-        .otherwise(des.weight_of(variants["drop_X"]))
+        F.when(F.col("lang") == "en", F.col("_average"))
+        .when(F.col("lang") == "de", F.col("_X_to_A"))
+        .when(F.col("lang") == "fr", F.col("_X_to_G"))
+        .otherwise(F.col("_drop_X"))
     )
-    return df.withColumn("mw_pub", F.round(weight, 2))
+    return df.select("doc_id", "lang", "sequence", F.round(weight, 2).alias("mw_pub"))
 
 
 def weight_reconciliation(spark, folder):

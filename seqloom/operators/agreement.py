@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqloom.fixed import CANONICAL_MOTIFS, INDEX_TOL, LITERAL_MOTIFS, MW_TOL
-from seqloom.functions.descriptors import ambiguity_variants, weight_of, weight_with_unknowns, with_descriptors
+from seqloom.functions.descriptors import ambiguity_variants, with_descriptors, with_weights
 from seqloom.functions.motifs import motif_count, motif_positions
 from seqloom.operators.scoring import pearson
 
@@ -95,11 +95,8 @@ def reconcile_weight(df: DataFrame, seq: str, published: str, tolerance: float =
     """Find the treatment of ambiguity codes that reproduces a published weight: append
     ambiguity_handling, mw and the sequence the other descriptors should use."""
     variants = ambiguity_variants(F.col(seq))
-    candidates = df.withColumns({
-        "_plain": F.round(weight_of(seq), 2),
-        "_average": F.round(weight_with_unknowns(seq), 2),
-        **{f"_{name}": F.round(weight_of(v), 2) for name, v in variants.items()},
-    })
+    weights = ["_plain", "_average", *[f"_{name}" for name in variants]]
+    candidates = with_weights(df, seq).withColumns({w: F.round(w, 2) for w in weights})
 
     def close(name):
         return F.abs(F.col(name) - F.col(published)) < tolerance
