@@ -11,6 +11,8 @@ from seqloom.fixed import AMBIGUOUS, RESIDUES
 from seqloom.sources import fasta, glyphs
 
 CHUNK = 100
+#: Glyphs that one task puts in lines.
+GLYPHS = 2_000_000
 
 
 def fasta_texts(spark, folder):
@@ -28,9 +30,18 @@ def fasta_round_trip(spark, folder):
     return fasta.parse_records(records).select("seq_id", "idv_id", "family", "genus", "type", "subtype", "region", "sequence")
 
 
+def _tasks(docs) -> int:
+    """Tasks that hold about GLYPHS letters each, and at least one for every shuffle partition."""
+    letters = docs.agg(F.sum(F.length("sequence")).alias("n")).first()["n"] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-letters // GLYPHS))
+
+
 def printed_lines(spark, folder):
     """Glyphs of every sequence printed sixty to a line, slightly off the baseline, put back in lines."""
-    characters = sequences(spark, folder).select("doc_id", F.posexplode(F.split("sequence", "")).alias("i", "text"))
+    # Dealt before they become glyphs: all glyphs of a document then stand in one task and need no shuffle of their own.
+    docs = sequences(spark, folder).select("doc_id", "sequence")
+    dealt = docs.repartition(_tasks(docs), "doc_id")
+    characters = dealt.select("doc_id", F.posexplode(F.split("sequence", "")).alias("i", "text"))
     placed = characters.where(F.col("text") != "").select(
         "doc_id", "text", ((F.col("i") % 60) * 7 + 136).cast("double").alias("x0"),
         (F.floor(F.col("i") / 60) * 12 + F.when(F.col("i") % 2 == 0, 0.25).otherwise(-0.25)).alias("top"),
