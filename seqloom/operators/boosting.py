@@ -2,10 +2,11 @@
 
 Features are binned once at exact quantiles. All ensembles (one for each target and training set) then grow
 together. A pass over the rows gives every ensemble's sums of residuals by node, feature and bin, and a
-level of all their trees: depth times iterations passes, however many ensembles there are. Tasks combine
-their sums in Arrow batches, sums are added in a tree keyed by ensemble, and only the chosen splits, a few
-numbers for each node, reach the driver. Predictions of all ensembles stand in one row and are stored
-every BLOCK iterations, so that a pass replays BLOCK trees at most.
+level of all their trees: depth times iterations passes, however many ensembles there are. Of two children
+only the smaller is summed, the other is its parent less that; a few features are summed at once by their joint
+bins. Tasks combine their sums in Arrow batches, sums are added in a tree keyed by ensemble, and one sum for each
+node, feature and bin reaches the driver. Rows are kept packed; the predictions of all ensembles stand in one row and
+are stored every BLOCK iterations, so that a pass replays BLOCK trees at most.
 
 Where the binned rows fit in SMALL bytes they are sent to the tasks instead, each of which grows whole
 ensembles: the same trees without a job for every level.
@@ -13,8 +14,10 @@ ensembles: the same trees without a job for every level.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,10 @@ from seqloom.session import stored
 
 #: Bins of a feature; binned rows that are sent to the tasks at most, in bytes.
 BINS, SMALL = 32, 64 << 20
-#: Iterations between stored predictions; partial sums that one task adds.
-BLOCK, FAN = 10, 32
+#: Iterations between stored predictions; partial sums that one task adds; bytes of partial sums that the driver adds.
+BLOCK, FAN, ADDED = 10, 32, 16 << 20
+#: Joint bins of features that are summed at once, for one run of features and for all; rows that a step handles at once.
+JOINT, CELLS, RUN = 1024, 1 << 15, 1 << 14
 RATE = 0.1
 #: The least gain of a split: below it, sums differ by rounding only.
 LEAST_GAIN = 1e-10
@@ -40,10 +45,42 @@ class Layout:
     starts: np.ndarray
     total: int
 
-    @property
+    @cached_property
     def ends(self) -> np.ndarray:
         return np.append(self.starts[1:], self.total)
 
+    @cached_property
+    def runs(self) -> list[tuple[int, int]]:
+        """First and last (exclusive) of consecutive features that are summed by their joint bins."""
+        sizes = (self.ends - self.starts).tolist()
+        for limit in (JOINT, JOINT // 4, JOINT // 16, 0):
+            out, first, joint, cells = [], 0, 1, 0
+            for f, size in enumerate(sizes):
+                if f > first and joint * size > limit:
+                    out.append((first, f))
+                    first, joint, cells = f, 1, cells + joint
+                joint *= size
+            if cells + joint <= CELLS:
+                break
+        return [*out, (first, len(sizes))]
+
+    @cached_property
+    def cells(self) -> list[tuple[int, ...]]:
+        """The numbers of bins of each run's features."""
+        sizes = (self.ends - self.starts).tolist()
+        return [tuple(sizes[first:last]) for first, last in self.runs]
+
+    def by_bin(self, sums: np.ndarray) -> np.ndarray:
+        """Sums by bin from those by joint bins, which are the last axis."""
+        out, at = [], 0
+        for shape in self.cells:
+            n = math.prod(shape)
+            part = sums[..., at : at + n].reshape(*sums.shape[:-1], *shape)
+            axes = range(sums.ndim - 1, part.ndim)
+            out += [part.sum(axis=tuple(a for a in axes if a != k)) for k in axes]
+            at += n
+        return np.concatenate(out, axis=-1)
+
 
 def bin_edges(df: DataFrame, features: str, n_features: int) -> list[np.ndarray]:
     """Inner edges of each feature's bins: its distinct exact quantiles. Rows at an edge lie below it."""
@@ -67,14 +104,15 @@ def binned(df: DataFrame, features: str, edges: list[np.ndarray]) -> DataFrame:
 
 # --- Trees: nodes of a full binary tree by level; a node without a split sends every row left ---
 
-def leaves(feature: np.ndarray, cut: np.ndarray, bins: np.ndarray, levels: int) -> np.ndarray:
-    """The node at depth `levels` (counted from 0 in its level) that each row reaches."""
-    node = np.zeros(len(bins), dtype=np.int64)
-    rows = np.arange(len(bins))
+def leaves(feature: np.ndarray, cut: np.ndarray, columns: np.ndarray, levels: int) -> np.ndarray:
+    """The node at depth `levels` (counted from 0 in its level) that each row reaches; `columns` (features, rows)."""
+    node = np.zeros(columns.shape[1], dtype=np.uint8)
     for level in range(levels):
-        at = node + (1 << level) - 1
-        f = feature[at]
-        right = (f >= 0) & (bins[rows, np.maximum(f, 0)] > cut[at])
+        right = np.zeros(len(node), dtype=bool)
+        for i in range(1 << level):
+            f = feature[i + (1 << level) - 1]
+            if f >= 0:
+                right |= (columns[f] > int(cut[i + (1 << level) - 1])) & (node == i)
         node = 2 * node + right
     return node
 
@@ -114,6 +152,60 @@ def best_splits(sums: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarra
     return feature, cut, np.stack(sides, axis=1)
 
 
+def joint_bins(columns: np.ndarray, layout: Layout) -> list[np.ndarray]:
+    """For each run of features every row's place among their joint bins."""
+    sizes, out = layout.ends - layout.starts, []
+    for first, last in layout.runs:
+        index = columns[first].astype(np.int64)
+        for f in range(first + 1, last):
+            index = index * sizes[f] + columns[f]
+        out.append(index)
+    return out
+
+
+def _cells(joint: list[np.ndarray], layout: Layout, weights: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the weights, or numbers of rows, in all joint bins."""
+    return np.concatenate([np.bincount(index, weights, math.prod(shape)) for index, shape in zip(joint, layout.cells)])
+
+
+def level_sums(joint: list[np.ndarray], columns: np.ndarray, residual: np.ndarray, feature: np.ndarray, cut: np.ndarray,
+               level: int, right: np.ndarray, layout: Layout, counts: bool = True) -> np.ndarray:
+    """Sums of residuals and numbers of rows by joint bins: of all rows at level 0, further down of one child of each node
+    of the level above (2, nodes, cells), the right one where `right` says so. A node without a split has no right child. The numbers of all rows, which no tree
+    changes, are left at 0 without `counts`."""
+    above = max(1, (1 << level) >> 1)
+    out = np.zeros((2, above, sum(map(math.prod, layout.cells))))
+    if level == 0:
+        out[0, 0] = _cells(joint, layout, residual)
+        if counts:
+            out[1, 0] = _cells(joint, layout)
+        return out
+    node = leaves(feature, cut, columns, level - 1)
+    for i in range(above):
+        f, c = feature[i + above - 1], cut[i + above - 1]
+        if f >= 0:
+            own = np.flatnonzero(((columns[f] > int(c)) == right[i]) & (node == i))
+            there = [index[own] for index in joint]
+            out[:, i] = _cells(there, layout, residual[own]), _cells(there, layout)
+    return out
+
+
+def small_children(sums: np.ndarray, feature: np.ndarray, cut: np.ndarray, layout: Layout) -> np.ndarray:
+    """For each node whether its right child is the smaller one, which is the one without rows where there is no split."""
+    out = []
+    for count, f, c in zip(sums[1], feature, cut):
+        at = layout.starts[max(f, 0)]
+        left = count[at : at + c + 1].sum()
+        out.append(f < 0 or count[layout.starts[0] : layout.ends[0]].sum() - left <= left)
+    return np.array(out, dtype=bool)
+
+
+def both_children(parents: np.ndarray, small: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sums of all nodes of a level from those of their parents and of the smaller children."""
+    other, side = parents - small, right[None, :, None]
+    return np.stack([np.where(side, other, small), np.where(side, small, other)], axis=2).reshape(2, -1, parents.shape[2])
+
+
 @dataclass
 class Ensemble:
     """Trees of one target and training set: features and cuts (iterations, nodes), values (iterations, leaves)."""
@@ -126,26 +218,44 @@ class Ensemble:
     def predict(self, bins: np.ndarray, first: int = 0) -> np.ndarray:
         """Sum over the trees from `first` on, with the start where `first` is 0."""
         out = np.full(len(bins), self.start if first == 0 else 0.0)
+        for at in range(0, len(bins), RUN):
+            out[at : at + RUN] += self.added(np.ascontiguousarray(bins[at : at + RUN].T), first)
+        return out
+
+    def added(self, columns: np.ndarray, first: int = 0) -> np.ndarray:
+        """Sum over the trees from `first` on, without the start; `columns` (features, rows)."""
+        out = np.zeros(columns.shape[1])
         levels = int(self.value.shape[1]).bit_length() - 1
         for feature, cut, value in zip(self.feature[first:], self.cut[first:], self.value[first:]):
-            out += RATE * value[leaves(feature, cut, bins, levels)]
+            out += (RATE * value)[leaves(feature, cut, columns, levels)]
         return out
 
 
 def grow(bins: np.ndarray, target: np.ndarray, layout: Layout, iterations: int, depth: int) -> Ensemble:
     """An ensemble from rows that are all here."""
-    flat = bins.astype(np.int64) + layout.starts
     start = float(target.mean()) if len(target) else 0.0
     now = np.full(len(target), start)
-    features, cuts, values = [], [], []
+    runs = [slice(at, at + RUN) for at in range(0, len(bins), RUN)]
+    columns = [np.ascontiguousarray(bins[r].T) for r in runs]
+    joint = [joint_bins(c, layout) for c in columns]
+    features, cuts, values, whole = [], [], [], None
     for _ in range(iterations):
         feature, cut = np.full(2**depth - 1, -1), np.zeros(2**depth - 1, dtype=np.int64)
-        value = np.zeros((1, 2))
+        value, sums, right = np.zeros((1, 2)), None, np.zeros(0, dtype=bool)
         for level in range(depth):
-            node = leaves(feature, cut, bins, level)
-            f, c, value = best_splits(histogram(flat, node, 1 << level, target - now, layout), layout)
+            found = np.zeros((2, max(1, (1 << level) >> 1), sum(map(math.prod, layout.cells))))
+            for r, c, j in zip(runs, columns, joint):
+                found += level_sums(j, c, target[r] - now[r], feature, cut, level, right, layout, whole is None or level > 0)
+            sums = both_children(sums, layout.by_bin(found), right) if level else layout.by_bin(found)
+            if whole is None:
+                whole = sums[1].copy()
+            elif not level:
+                sums[1] = whole
+            f, c, value = best_splits(sums, layout)
+            right = small_children(sums, f, c, layout)
             feature[(1 << level) - 1 : (2 << level) - 1], cut[(1 << level) - 1 : (2 << level) - 1] = f, c
-        now += RATE * value.ravel()[leaves(feature, cut, bins, depth)]
+        for r, c in zip(runs, columns):
+            now[r] += RATE * value.ravel()[leaves(feature, cut, c, depth)]
         features.append(feature)
         cuts.append(cut)
         values.append(value.ravel())
@@ -207,76 +317,102 @@ def _fit_in_passes(rows, keys, layout, iterations, depth, n_features) -> list[En
         return s / n if n else 0.0
 
     models = [Ensemble(start(*key), np.zeros((0, nodes - 1), np.int64), np.zeros((0, nodes - 1), np.int64), np.zeros((0, nodes))) for key in keys]
-    state = stored(rows.select("_bins", "_target", "_fold", F.array(*(F.lit(m.start) for m in models)).alias("_now")))
+    state = stored(_packed(rows, models, n_features))
     first, parts = 0, (state.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
+    whole = [None] * count
     for iteration in range(iterations):
         if iteration - first == BLOCK:
-            state, first = stored(_advanced(state, models, first, n_features)), iteration
+            state, first = stored(_advanced(state, models, first)), iteration
         feature, cut = np.full((count, nodes - 1), -1), np.zeros((count, nodes - 1), dtype=np.int64)
-        value = np.zeros((count, nodes))
+        value, sums, right = np.zeros((count, nodes)), [None] * count, [np.zeros(0, dtype=bool)] * count
         for level in range(depth):
-            for e, f, c, v in _level(spark, state, models, first, feature, cut, level, keys, layout, n_features, parts):
-                feature[e, (1 << level) - 1 : (2 << level) - 1], cut[e, (1 << level) - 1 : (2 << level) - 1] = f, c
+            here = slice((1 << level) - 1, (2 << level) - 1)
+            for e, found in _level(state, models, first, feature, cut, right, level, keys, layout, parts, not iteration):
+                sums[e] = both_children(sums[e], found, right[e]) if level else found.copy()
+                if not iteration and not level:
+                    whole[e] = found[1]
+                elif not level:
+                    sums[e][1] = whole[e]
+            for e in range(count):
+                feature[e, here], cut[e, here], last = best_splits(sums[e], layout)
+                right[e] = small_children(sums[e], feature[e, here], cut[e, here], layout)
                 if level == depth - 1:
-                    value[e] = v
+                    value[e] = last.ravel()
         for e, m in enumerate(models):
             models[e] = Ensemble(m.start, np.vstack([m.feature, feature[e]]), np.vstack([m.cut, cut[e]]), np.vstack([m.value, value[e]]))
     return models
 
 
-def _since(models: list[Ensemble], first: int) -> list[Ensemble]:
-    return [Ensemble(m.start, m.feature[first:], m.cut[first:], m.value[first:]) for m in models]
+def _packed(rows: DataFrame, models: list[Ensemble], n_features: int) -> DataFrame:
+    """A row for each Arrow batch of rows, as bytes: bins (features, rows), targets (slots, rows; NaN: none), folds, and in
+    `_now` the predictions of all ensembles (ensembles, rows)."""
+    starts = np.array([m.start for m in models])
+
+    def run(batches):
+        for batch in batches:
+            bins, target, fold = _columns(batch, n_features)
+            now = np.repeat(starts, len(fold))
+            yield pa.RecordBatch.from_pydict({"_bins": [bins.T.tobytes()], "_target": [target.T.tobytes()], "_fold": [fold.tobytes()], "_now": [now.tobytes()]})
+
+    return rows.select("_bins", "_target", "_fold").mapInArrow(run, "_bins binary, _target binary, _fold binary, _now binary")
 
 
-def _now(batch: pa.RecordBatch, recent: list[Ensemble], bins: np.ndarray) -> np.ndarray:
-    """Predictions (rows, ensembles): the stored ones and the trees since. A stored prediction has the start in it."""
-    now = np.array(batch.column("_now").to_pylist(), dtype=float).reshape(len(bins), -1)
-    return now + np.stack([m.predict(bins) - m.start for m in recent], axis=1)
+def _unpacked(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    for row in zip(*(column.to_pylist() for column in batch.columns)):
+        bins, target, fold, now = (np.frombuffer(cell, dtype=kind) for cell, kind in zip(row, (np.uint8, float, np.int64, float)))
+        yield [bins.reshape(-1, len(fold)), target.reshape(-1, len(fold)), fold, now.reshape(-1, len(fold))]
 
 
-def _advanced(state: DataFrame, models: list[Ensemble], first: int, n_features: int) -> DataFrame:
+def _since(models: list[Ensemble], first: int) -> list[Ensemble]:
+    return [Ensemble(m.start, m.feature[first:], m.cut[first:], m.value[first:]) for m in models]
+
+
+def _advanced(state: DataFrame, models: list[Ensemble], first: int) -> DataFrame:
     recent = _since(models, first)
 
     def run(batches):
         for batch in batches:
-            now = _now(batch, recent, _columns(batch, n_features)[0])
-            yield batch.set_column(3, "_now", pa.array(list(now), pa.list_(pa.float64())))
+            moved = [(now + np.stack([m.added(columns) for m in recent])).tobytes() for columns, _, _, now in _unpacked(batch)]
+            yield batch.set_column(3, "_now", pa.array(moved, pa.binary()))
 
     return state.mapInArrow(run, state.schema)
 
 
-def _level(spark, state, models, first, feature, cut, level, keys, layout, n_features, parts):
-    """(ensemble, features, cuts, leaf values) of the nodes of one level, from one pass over all rows."""
-    recent, nodes = _since(models, first), 1 << level
+def _level(state, models, first, feature, cut, right, level, keys, layout, parts, counts):
+    """(ensemble, sums of `level_sums`) from one pass over all rows."""
+    recent, above = _since(models, first), max(1, (1 << level) >> 1)
+    shape, cells = (2, above, layout.total), sum(map(math.prod, layout.cells))
+    # Ensembles that learn from the same rows stand together.
+    order = sorted(range(len(keys)), key=lambda e: keys[e][1])
 
     def run(batches):
-        sums = [np.zeros((2, nodes, layout.total)) for _ in keys]
-        for batch in batches:
-            bins, target, fold = _columns(batch, n_features)
-            flat, now = bins.astype(np.int64) + layout.starts, _now(batch, recent, bins)
-            for e, (slot, _) in enumerate(keys):
-                own = _trained(keys, e, target, fold)
-                node = leaves(feature[e], cut[e], bins[own], level)
-                sums[e] += histogram(flat[own], node, nodes, target[own, slot] - now[own, e], layout)
+        sums = [np.zeros((2, above, cells)) for _ in keys]
+        for columns, target, fold, now in (block for batch in batches for block in _unpacked(batch)):
+            joint, finite, taken = joint_bins(columns, layout), np.isfinite(target), None
+            for e in order:
+                slot, held_out = keys[e]
+                # The rows outside a fold serve all targets that have no gaps.
+                rows = (held_out, None if finite[slot].all() else slot)
+                if rows != taken:
+                    own = np.flatnonzero((fold != held_out) & finite[slot])
+                    taken, mine, there = rows, columns[:, own], [index[own] for index in joint]
+                residual = (target[slot] - now[e])[own] - recent[e].added(mine)
+                sums[e] += level_sums(there, mine, residual, feature[e], cut[e], level, right[e], layout, counts or level > 0)
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"e": list(range(len(keys))), "part": [part] * len(keys), "sums": [s.tobytes() for s in sums]})
-
-    def added(group: pa.Table) -> np.ndarray:
-        return sum(np.frombuffer(v.as_py(), dtype=float) for v in group.column("sums"))
+        yield pa.RecordBatch.from_pydict({"e": list(range(len(keys))), "part": [part] * len(keys), "sums": [layout.by_bin(s).tobytes() for s in sums]})
 
     def add(group: pa.Table) -> pa.Table:
-        return pa.table({"e": group.column("e")[:1], "part": group.column("part")[:1], "sums": pa.array([added(group).tobytes()], pa.binary())})
-
-    def choose(group: pa.Table) -> pa.Table:
-        f, c, v = best_splits(added(group).reshape(2, nodes, layout.total), layout)
-        return pa.table({"e": group.column("e")[:1], "f": pa.array([f.tolist()]), "c": pa.array([c.tolist()]), "v": pa.array([v.ravel().tolist()])})
+        added = sum(np.frombuffer(v.as_py(), dtype=float) for v in group.column("sums"))
+        return pa.table({"e": group.column("e")[:1], "part": group.column("part")[:1], "sums": pa.array([added.tobytes()], pa.binary())})
 
     partial = state.mapInArrow(run, "e bigint, part bigint, sums binary")
-    while parts > FAN:
+    while parts > 1 and parts * len(keys) * int(np.prod(shape)) * 8 > ADDED:
         parts = -(-parts // FAN)
         partial = partial.withColumn("part", F.floor(F.col("part") / FAN).cast("bigint")).groupBy("e", "part").applyInArrow(add, partial.schema)
-    chosen = partial.groupBy("e").applyInArrow(choose, "e bigint, f array<bigint>, c array<bigint>, v array<double>")
-    return [(r["e"], r["f"], r["c"], r["v"]) for r in chosen.collect()]
+    found = {}
+    for r in sorted(partial.collect(), key=lambda r: (r["e"], r["part"])):
+        found[r["e"]] = found.get(r["e"], 0.0) + np.frombuffer(r["sums"], dtype=float).reshape(shape)
+    return list(found.items())
 
 
 def ensemble_predictions(rows: DataFrame, keys: list[tuple[int, int]], models: list[Ensemble], slots: list[int], n_features: int) -> DataFrame:

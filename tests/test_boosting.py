@@ -64,3 +64,36 @@ def test_constant_targets_and_no_rows(spark):
     flat = baseline.gbm_predictions(df.withColumn("target", F.array(F.lit(2.5))), slots=[0], iterations=3).collect()
     assert {r["in_sample"][0] for r in flat} == {2.5}
     assert baseline.gbm_predictions(df.where("id < 0"), slots=[0], iterations=3).count() == 0
+
+
+def test_smaller_children_and_joint_bins_give_all_sums(monkeypatch):
+    monkeypatch.setattr(boosting, "JOINT", 40)
+    rng = np.random.default_rng(5)
+    sizes = [7, 5, 1, 30, 3]
+    layout = boosting.Layout(np.cumsum([0, *sizes[:-1]]), sum(sizes))
+    assert layout.runs == [(0, 3), (3, 4), (4, 5)]
+    bins = np.stack([rng.integers(0, s, 500) for s in sizes], axis=1).astype(np.uint8)
+    columns, y, summed = np.ascontiguousarray(bins.T), rng.normal(size=500), []
+    whole = boosting._cells
+    monkeypatch.setattr(boosting, "_cells", lambda joint, *rest: summed.append(len(joint[0])) or whole(joint, *rest))
+    # The node at 1 is not split.
+    feature, cut, right, sums = np.array([3, -1, 0, -1, -1, 4, -1]), np.array([20, 0, 1, 0, 0, 0, 0]), None, None
+    for level in range(3):
+        summed.clear()
+        found = layout.by_bin(boosting.level_sums(boosting.joint_bins(columns, layout), columns, y, feature, cut, level, right, layout))
+        sums = boosting.both_children(sums, found, right) if level else found
+        node = boosting.leaves(feature, cut, columns, level)
+        assert np.allclose(sums, boosting.histogram(bins.astype(np.int64) + layout.starts, node, 1 << level, y, layout))
+        assert level == 0 or max(summed) <= 250
+        here = slice((1 << level) - 1, (2 << level) - 1)
+        right = boosting.small_children(sums, feature[here], cut[here], layout)
+    everything = boosting.leaves(feature, cut, columns, 3)
+    assert set(everything) == {0, 4, 5, 6} and len(set(bins[everything == 0, 3] > 20)) == 1
+
+
+def test_a_pass_reads_packed_rows(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(boosting, "stored", lambda df, whole=boosting.stored: kept.append(whole(df)) or kept[-1])
+    df, *_ = table(spark, n=200)
+    baseline.gbm_predictions(df.coalesce(1), slots=[0], iterations=2, small=0).collect()
+    assert kept[-1].count() == 1 and {t for _, t in kept[-1].dtypes} == {"binary"}
