@@ -1,7 +1,8 @@
 """Linear-chain conditional random fields over ragged arrays.
 
 Emissions of all sequences lie on end in one array. Forward and backward passes step through the
-positions of all sequences at once: sorted by length, those still running are a prefix. Training
+positions of all sequences at once: sorted by length, those still running are a prefix, and the rows of a position lie
+together, so that a step works on slices. Training
 maximises the conditional likelihood with full gradients; the emission gradient goes back to the caller,
 who knows the features.
 """
@@ -22,36 +23,40 @@ def forward_backward(emission: np.ndarray, sizes: np.ndarray, transition: np.nda
     if not n:
         return np.zeros((0, labels)), np.zeros((labels, labels)), 0.0
     top = emission.max(axis=1, keepdims=True)
-    e, move = np.exp(emission - top), np.exp(transition)
+    move = np.exp(transition)
     starts = np.cumsum(sizes) - sizes
     order = np.argsort(-sizes, kind="stable")
     first, length = starts[order], sizes[order]
-    longest = int(length[0])
-    running = np.searchsorted(-length, -np.arange(longest), side="left")
-    forward, scale = np.empty_like(e), np.empty(n)
-    held = None
-    for t in range(longest):
-        m = running[t]
-        at = first[:m] + t
-        a = e[at] if held is None else e[at] * (held[:m] @ move)
-        s = a.sum(axis=1)
-        held = a / s[:, None]
-        forward[at], scale[at] = held, s
-    backward = np.ones_like(e)
-    expected = np.zeros((labels, labels))
-    held = None
-    for t in range(longest - 2, -1, -1):
-        m = running[t + 1]
-        at = first[:m] + t
-        after = np.ones((m, labels))
-        if held is not None:
-            after[: len(held)] = held
-        inner = e[at + 1] * after / scale[at + 1][:, None]
-        expected += forward[at].T @ inner
-        held = inner @ move.T
-        backward[at] = held
-    marginal = forward * backward
-    return marginal / marginal.sum(axis=1, keepdims=True), expected * move, float(np.log(scale).sum() + top.sum())
+    # The rows of one step stand together, in the order of the sequences' lengths.
+    running = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+    begins = np.cumsum(running) - running
+    step = np.repeat(np.arange(len(running)), running)
+    rank = np.arange(n) - begins[step]
+    source = first[rank] + step
+    e = np.exp(emission - top)[source]
+    forward, scale = np.empty_like(e), np.empty((n, 1))
+    bounds = [*begins.tolist(), n]
+    for t, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        a, s = forward[lo:hi], scale[lo:hi]
+        if t:
+            before = bounds[t - 1]
+            np.matmul(forward[before : before + hi - lo], move, out=a)
+            a *= e[lo:hi]
+        else:
+            a[:] = e[lo:hi]
+        np.add.reduce(a, axis=1, keepdims=True, out=s)
+        a /= s
+    backward, inner, turned = np.ones_like(e), e / scale, np.ascontiguousarray(move.T)
+    for t in range(len(running) - 1, 0, -1):
+        lo, hi, before = bounds[t], bounds[t + 1], bounds[t - 1]
+        inner[lo:hi] *= backward[lo:hi]
+        np.matmul(inner[lo:hi], turned, out=backward[before : before + hi - lo])
+    later = slice(running[0], n)
+    expected = forward[begins[step[later] - 1] + rank[later]].T @ inner[later]
+    forward *= backward
+    marginal = np.empty_like(e)
+    marginal[source] = forward / forward.sum(axis=1, keepdims=True)
+    return marginal, expected * move, float(np.log(scale).sum() + top.sum())
 
 
 def fitted(

@@ -8,6 +8,7 @@ document's language is the one with the largest share of the marginals, weighted
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ STEPS, RATE, PENALTY = 60, 0.25, 1e-6
 #: Share of training sequences that continue in another language, so that changes are seen.
 SWITCHED = 0.3
 HELD_OUT, FOLDS = 2, 4
-#: Emissions of words that a Python worker keeps, then starts anew.
+#: Emissions of words that a Python worker keeps, then starts anew; so with the buckets of affixes and n-grams.
 REMEMBERED = 400_000
 
 #: Runs of letters with their marks; digits such as ² or ½ are none.
@@ -35,19 +36,44 @@ LETTERS = r"\p{L}[\p{L}\p{M}]*"
 WORD = regex.compile(LETTERS)
 
 
+class Numbered(dict):
+    """Words numbered in the order in which they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class Buckets(dict):
+    """Buckets of features that many words share."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[feature] = bucket = _bucket(feature)
+        return bucket
+
+
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+_shared = Buckets()
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a word: the word itself (lexicon), affixes of 1 to 4 letters, n-grams of 2 and 3."""
     edged = f"<{word}>"
-    found = {f"w{word}"} | {f"p{word[:k]}" for k in (1, 2, 3, 4)} | {f"s{word[-k:]}" for k in (1, 2, 3, 4)}
-    found |= {edged[i : i + k] for k in (2, 3) for i in range(len(edged) - k + 1)}
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % BUCKETS for f in found]
+    found = {"p" + word[:1], "p" + word[:2], "p" + word[:3], "p" + word[:4], "s" + word[-1:], "s" + word[-2:], "s" + word[-3:], "s" + word[-4:]}
+    found.update(map("".join, zip(edged, edged[1:])), map("".join, zip(edged, edged[1:], edged[2:])))
+    return [_bucket("w" + word), *map(_shared.__getitem__, found)]
 
 
 def word_table(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all words on end, and where each word's begin."""
     each = [features(w) for w in words]
     sizes = np.array([len(f) for f in each], dtype=np.int64)
-    return np.fromiter((x for f in each for x in f), dtype=np.int64, count=int(sizes.sum())), np.cumsum(sizes) - sizes
+    return np.fromiter(chain.from_iterable(each), dtype=np.int64, count=int(sizes.sum())), np.cumsum(sizes) - sizes
 
 
 def summed(weights: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -57,7 +83,7 @@ def summed(weights: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndar
 class LanguageModel:
     def __init__(self, languages: list[str], weights: np.ndarray, transition: np.ndarray):
         self.languages, self.weights, self.transition = languages, weights.astype(np.float32), transition
-        self._number, self._emission = {}, np.zeros((0, len(languages)), dtype=np.float32)
+        self._number, self._emission = Numbered(), np.zeros((0, len(languages)), dtype=np.float32)
 
     def __getstate__(self):
         return {"languages": self.languages, "weights": self.weights, "transition": self.transition}
@@ -73,7 +99,7 @@ class LanguageModel:
             self._emission = self._emission[:0]
         known = len(number)
         total = sum(map(len, texts))
-        code = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in t), dtype=np.int64, count=total)
+        code = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=total)
         fresh = list(number)[known:] if len(number) > known else []
         if fresh:
             self._emission = np.concatenate([self._emission, summed(self.weights, *word_table(fresh)).astype(np.float32)])
@@ -83,7 +109,7 @@ class LanguageModel:
         """For each text the share of each language in its words' marginals, by length; zeros without words."""
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         marginal, _, _ = forward_backward(self._emissions(texts).astype(np.float64), sizes, self.transition)
-        weight = np.fromiter((len(w) for t in texts for w in t), dtype=np.float64, count=int(sizes.sum()))
+        weight = np.fromiter(map(len, chain.from_iterable(texts)), dtype=np.float64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(texts)), sizes)
         sums = np.stack([np.bincount(owner, weights=marginal[:, k] * weight, minlength=len(texts)) for k in range(len(self.languages))], axis=1)
         return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-12)

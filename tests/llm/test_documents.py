@@ -87,6 +87,19 @@ def test_forward_backward_against_all_paths():
     assert np.isclose(expected.sum(), sum(max(n - 1, 0) for n in sizes))
 
 
+def test_shared_features_are_hashed_once(monkeypatch):
+    hashed = []
+    monkeypatch.setattr(language_id, "_shared", language_id.Buckets())
+    monkeypatch.setattr(language_id, "_bucket", lambda f, whole=language_id._bucket: hashed.append(f) or whole(f))
+    first, again = language_id.features("kartol"), language_id.features("kartol")
+    assert sorted(first) == sorted(again) and hashed.count("<ka") == 1 and hashed.count("wkartol") == 2
+    edged = "<kartol>"
+    named = {"wkartol"} | {f"p{'kartol'[:k]}" for k in (1, 2, 3, 4)} | {f"s{'kartol'[-k:]}" for k in (1, 2, 3, 4)}
+    named |= {edged[i : i + k] for k in (2, 3) for i in range(len(edged) - k + 1)}
+    assert set(hashed) == named and len(first) == len(named)
+    assert all(len(language_id.features(w)) for w in ("é", "ab", "pp", "\ud800"))
+
+
 TONGUES = {"xx": "kar tol mek", "yy": "ssie aouä eié", "zz": "pqu zvr wxj"}
 
 
