@@ -54,14 +54,16 @@ def ridge_dipeptides(spark, folder):
 def ridge_by_individual(spark, folder):
     """Grouped folds: no individual appears on both sides."""
     data = stored(normalised_pairs(spark, folder).select("doc_id", "idv_id", "sequence", "target"))
-    prepared = baseline.with_features(baseline.with_group_folds(data, "idv_id", FOLDS), "doc_id", "sequence", "composition")
+    features = baseline.with_features(data, "doc_id", "sequence", "composition").select("idv_id", "target", "features")
+    prepared = stored(baseline.with_group_folds(features, "idv_id", FOLDS))
     models = baseline.fit_ridge(prepared, baseline.feature_count("composition"))
     return baseline.baseline_scores(baseline.ridge_predictions(prepared, models), "ridge", "composition")
 
 
 def ridge_within_vector(spark, folder):
     data = stored(normalised_pairs(spark, folder).select("doc_id", "sequence", "target"))
-    prepared = baseline.with_features(baseline.with_folds(data, "doc_id", FOLDS, SEED), "doc_id", "sequence", "composition")
+    features = baseline.with_features(data, "doc_id", "sequence", "composition").select("doc_id", "target", "features")
+    prepared = stored(baseline.with_folds(features, "doc_id", FOLDS, SEED))
     models = baseline.fit_ridge(prepared, baseline.feature_count("composition"))
     return baseline.within_vector_scores(baseline.ridge_predictions(prepared, models), "doc_id")
 
@@ -69,8 +71,8 @@ def ridge_within_vector(spark, folder):
 def boosted_trees(spark, folder):
     """Boosted trees for all eight properties at the full number of iterations, in sample and held out."""
     data = stored(normalised_pairs(spark, folder).select("doc_id", "sequence", "target"))
-    prepared = baseline.with_features(baseline.with_folds(data, "doc_id", FOLDS, SEED), "doc_id", "sequence", "composition")
-    fitted = baseline.gbm_predictions(stored(prepared))
+    features = baseline.with_features(data, "doc_id", "sequence", "composition").select("doc_id", "target", "features")
+    fitted = baseline.gbm_predictions(stored(baseline.with_folds(features, "doc_id", FOLDS, SEED)))
     long = fitted.select("doc_id", "fold", F.posexplode(F.arrays_zip("in_sample", "held_out", "fitted_target")).alias("slot", "p"))
     return long.select("doc_id", "fold", property_name("slot").alias("property"), "p.in_sample", "p.held_out", F.col("p.fitted_target").alias("target"))
 

@@ -43,24 +43,45 @@ def motif_features(df: DataFrame, seq: str) -> list[Column]:
     return [motif_density(seq, p).alias(f"motif_{m}") for m, p in CANONICAL_MOTIFS.items()]
 
 
-def _pairs_of(texts: pd.Series) -> np.ndarray:
-    """Overlapping pairs of standard residues in each text, 400 counts in alphabetical order. Texts are counted PAIR_RUN
-    letters at a time, since the arrays behind a letter take some fifty bytes."""
+def _in_runs(texts: pd.Series, count, width: int) -> np.ndarray:
+    """`count` of a run of texts after the other. Texts are counted PAIR_RUN letters at a time, since the arrays behind a
+    letter take some fifty bytes."""
     run = np.cumsum([len(t or "") for t in texts], dtype=np.int64) // PAIR_RUN
     starts = np.flatnonzero(np.diff(run, prepend=-1))
-    parts = [_pairs_of_run(texts.iloc[a:b]) for a, b in zip(starts, [*starts[1:], len(texts)])]
-    return np.concatenate(parts) if parts else np.zeros((0, len(RESIDUES) ** 2), dtype=np.int64)
+    parts = [count(texts.iloc[a:b]) for a, b in zip(starts, [*starts[1:], len(texts)])]
+    return np.concatenate(parts) if parts else np.zeros((0, width), dtype=np.int64)
 
 
-def _pairs_of_run(texts: pd.Series) -> np.ndarray:
-    """The same for one run of texts at once, from the codes of their letters."""
+def _pairs_of(texts: pd.Series) -> np.ndarray:
+    """Overlapping pairs of standard residues in each text, 400 counts in alphabetical order."""
+    return _in_runs(texts, _pairs_of_run, len(RESIDUES) ** 2)
+
+
+def _residues_of(texts: pd.Series) -> np.ndarray:
+    """How often each text has each residue, 20 counts in alphabetical order."""
+    return _in_runs(texts, _residues_of_run, len(RESIDUES))
+
+
+def _places(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The number of every letter's residue, -1 for other letters and for the line breaks between texts; the row of each."""
     joined = "\n".join(t or "" for t in texts)
     letters = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     code = np.full(128, -1, dtype=np.int64)
     code[[ord(r) for r in RESIDUES]] = np.arange(len(RESIDUES))
-    place = np.where(letters < 128, code[np.minimum(letters, 127)], -1)
     sizes = np.array([len(t or "") + 1 for t in texts], dtype=np.int64)
-    row = np.repeat(np.arange(len(texts)), sizes)[: max(len(letters) - 1, 0)]
+    return np.where(letters < 128, code[np.minimum(letters, 127)], -1), np.repeat(np.arange(len(texts)), sizes)[: len(letters)]
+
+
+def _residues_of_run(texts: pd.Series) -> np.ndarray:
+    place, row = _places(texts)
+    size = len(RESIDUES)
+    return np.bincount((row * size + place)[place >= 0], minlength=len(texts) * size).reshape(-1, size)
+
+
+def _pairs_of_run(texts: pd.Series) -> np.ndarray:
+    """The same for one run of texts at once, from the codes of their letters."""
+    place, row = _places(texts)
+    row = row[: max(len(row) - 1, 0)]
     # Texts are a line break apart, so no pair goes across two of them.
     pair = np.where((place[:-1] >= 0) & (place[1:] >= 0), place[:-1] * len(RESIDUES) + place[1:], -1)
     size = len(RESIDUES) ** 2
@@ -72,6 +93,11 @@ def pair_counts(texts: pd.Series) -> pd.Series:
     return pd.Series(list(_pairs_of(texts)), index=texts.index)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def residue_counts(texts: pd.Series) -> pd.Series:
+    return pd.Series(list(_residues_of(texts)), index=texts.index)
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def dipeptide_fractions(texts: pd.Series) -> pd.Series:
     """400 fractions in alphabetical order over max(length - 1, 1) positions."""
@@ -97,13 +123,16 @@ def with_features(df: DataFrame, row_id: str, seq: str, feature_set: str, name:
     """Append the feature array: 21, 26 or 421 doubles, NULL where a sequence without residues has none."""
     if feature_set not in FEATURE_SETS:
         raise ValueError(f"no features are defined under {feature_set!r}, only under: {', '.join(FEATURE_SETS)}")
-    base = [*residue_fractions(seq), F.when(F.length(seq) > 0, log_length(seq))]
+    counts = [F.col("_counts")[i].cast("double") / F.nullif(F.length(seq), F.lit(0)) for i in range(len(RESIDUES))]
+    base = [*counts, F.when(F.length(seq) > 0, log_length(seq))]
     if feature_set == "composition+motifs":
         base = base + motif_features(df, seq)
+    # What Python counts comes first, so that the other columns are computed in the same stage as what follows them.
+    counted = df.withColumn("_counts", residue_counts(seq))
     if feature_set != "dipeptide":
-        return df.withColumn(name, F.array(*base))
-    # The pairs come first, so that the other columns are computed in the same stage as what follows them.
-    return df.withColumn("_pairs", dipeptide_fractions(seq)).withColumn(name, F.concat(F.array(*base), "_pairs")).drop("_pairs")
+        return counted.withColumn(name, F.array(*base)).drop("_counts")
+    pairs = counted.withColumn("_pairs", dipeptide_fractions(seq))
+    return pairs.withColumn(name, F.concat(F.array(*base), "_pairs")).drop("_counts", "_pairs")
 
 
 # --- Folds -----------------------------------------------------------------------------
@@ -227,13 +256,11 @@ class Ridge:
     def loo_errors(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Sum of squared leave-one-out errors of these training rows, per penalty."""
         z = self.project(x)
-        out = np.empty(len(PENALTIES))
-        for i, a in enumerate(PENALTIES):
-            weights = 1.0 / (self.values + a)
-            residual = y - self.t_mean - z @ (self.rotated * weights[:, None])
-            leverage = 1.0 / self.n + (z * z) @ weights
-            out[i] = np.sum((residual / np.maximum(1.0 - leverage, 1e-12)[:, None]) ** 2)
-        return out
+        weights = 1.0 / (self.values[:, None] + PENALTIES)
+        leverage = 1.0 / self.n + (z * z) @ weights
+        fitted = z @ (self.rotated[:, :, None] * weights[:, None, :]).reshape(len(weights), -1)
+        residual = (y - self.t_mean)[:, :, None] - fitted.reshape(len(y), -1, len(PENALTIES))
+        return np.sum((residual / np.maximum(1.0 - leverage, 1e-12)[:, None, :]) ** 2, axis=(0, 1))
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -326,7 +353,7 @@ def gbm_predictions(df: DataFrame, features: str = "features", target: str = "ta
 def baseline_scores(predicted: DataFrame, model: str, feature_set: str, target: str = "target", fold: str = "fold") -> DataFrame:
     """Per property: in-sample R2, mean and sample SD of the folds' R2, and the mean predictor's R2, over the rows
     that have a prediction."""
-    predicted = predicted.where(F.col("in_sample").isNotNull())
+    predicted = stored(predicted.where(F.col("in_sample").isNotNull()).select(target, fold, "in_sample", "held_out"))
     long = long_vector(predicted, [fold], y=target, a="in_sample", b="held_out")
     inside = long.groupBy("slot").agg(r2_across("y", "a").alias("r2_in_sample"))
     folds = long.groupBy("slot", fold).agg(r2_across("y", "b").alias("r2"))
@@ -342,7 +369,9 @@ def baseline_scores(predicted: DataFrame, model: str, feature_set: str, target:
 
 def evaluate_ridge(df: DataFrame, row_id: str, seq: str, feature_set: str, target: str = "target", k: int = 5,
                    seed: int = SEED) -> DataFrame:
-    prepared = with_features(with_folds(df, row_id, k, seed), row_id, seq, feature_set)
+    # Every pass reads the features, which are computed once; no sequence goes through the order of the folds.
+    features = with_features(df, row_id, seq, feature_set).select(row_id, target, "features")
+    prepared = stored(with_folds(features, row_id, k, seed))
     models = fit_ridge(prepared, feature_count(feature_set), target=target)
     return baseline_scores(ridge_predictions(prepared, models), "ridge", feature_set, target)
 
@@ -356,8 +385,9 @@ def evaluate_grid(df: DataFrame, row_id: str, seq: str, target: str = "target",
                   iterations: int = 300) -> DataFrame:
     """Every feature set under both models, one table."""
     frames = []
+    folded = stored(with_folds(df, row_id, k, seed))
     for feature_set in FEATURE_SETS:
-        prepared = stored(with_features(with_folds(df, row_id, k, seed), row_id, seq, feature_set))
+        prepared = stored(with_features(folded, row_id, seq, feature_set).select(row_id, target, "fold", "features"))
         models = fit_ridge(prepared, feature_count(feature_set), target=target)
         frames.append(baseline_scores(ridge_predictions(prepared, models), "ridge", feature_set, target))
         frames.append(baseline_scores(gbm_predictions(prepared, target=target, iterations=iterations),

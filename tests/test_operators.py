@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.catalog import baselines
+from seqloom.fixed import RESIDUES
 from seqloom.operators import ablation, association, baseline, pools, ranking, scoring
 
 
@@ -211,3 +212,39 @@ def test_pairs_of_many_runs(monkeypatch):
     monkeypatch.setattr(baseline, "PAIR_RUN", 5)
     assert (baseline._pairs_of(texts) == whole).all()
     assert baseline._pairs_of(texts[:0]).shape == (0, 400)
+
+
+def test_ridge_passes_read_stored_features(spark, monkeypatch):
+    """Features are computed once, whatever the number of passes, and no pass reads a sequence."""
+    kept, counted = [], spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<bigint>")
+    def residues(texts: pd.Series) -> pd.Series:
+        counted.add(len(texts))
+        return pd.Series(list(baseline._residues_of(texts)), index=texts.index)
+
+    monkeypatch.setattr(baseline, "residue_counts", residues)
+    monkeypatch.setattr(baseline, "stored", lambda df, whole=baseline.stored: kept.append(whole(df)) or kept[-1])
+    rng = np.random.default_rng(2)
+    rows = [(i, "".join("ACDEFGHIKL"[j] for j in rng.integers(0, 10, 30)), rng.normal(size=8).tolist()) for i in range(60)] + [(60, "", [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id int, sequence string, target array<double>").repartition(3)
+    scores = baseline.evaluate_ridge(df, "id", "sequence", "dipeptide").collect()
+    assert len(scores) == 8 and counted.value == 61
+    assert kept and not any("sequence" in df.columns for df in kept)
+
+
+def test_errors_of_all_penalties_are_those_of_each():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(50, 4)), rng.normal(size=(50, 8))
+    m = np.hstack([x, y, np.ones((50, 1))])
+    model = baseline.Ridge(m.T @ m, 4)
+    z, errors = model.project(x), model.loo_errors(x, y)
+    for a, found in zip(baseline.PENALTIES, errors):
+        leverage = 1 / 50 + (z * z) @ (1 / (model.values + a))
+        assert found == pytest.approx((((y - model.predict(x, a)) / (1 - leverage)[:, None]) ** 2).sum())
+
+
+def test_residues_of_many_runs(monkeypatch):
+    texts = pd.Series(["ACCA", None, "", "A", "CAXéAC" * 3, "AC" * 40, "Y"])
+    monkeypatch.setattr(baseline, "PAIR_RUN", 5)
+    assert baseline._residues_of(texts).tolist() == [[(t or "").count(a) for a in RESIDUES] for t in texts]
