@@ -147,3 +147,41 @@ def test_many_letters_and_long_kmers(spark):
     for i, query in enumerate(queries):
         containment, jaccard = brute_max(query, known, 11)
         assert (got[i]["max_containment"], got[i]["max_jaccard"]) == (pytest.approx(containment), pytest.approx(jaccard))
+
+
+def test_no_sequence_is_shuffled_for_every_part(spark, texts, monkeypatch):
+    """Parts meet in a product of packed rows; what a task gives out does not grow with the parts it has met."""
+    monkeypatch.setattr(similarity, "PER_PART", 4)
+    monkeypatch.setattr(similarity, "RUNS", 2)
+    monkeypatch.setattr(similarity, "TASKS", 2)
+    q, r = frames(spark, texts)
+    pairs = similarity.overlaps(similarity.distinct_sequences(q, "doc_id", "sequence"), similarity.distinct_sequences(r, "known_id", "sequence"), 4, 1)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan and plan.count("Exchange") == 2
+    rows = pairs.collect()
+    assert len(set(rows)) == len(rows)
+    assert max(sum(row["query_id"] == i for row in rows) for i in range(len(texts[0]))) <= 2 * 2
+    for i, query in enumerate(texts[0]):
+        found = [row["shared"] / (row["n_query"] + row["n_ref"] - row["shared"]) for row in rows if row["query_id"] == i]
+        if len(query) >= 4 and texts[0].index(query) == i:
+            assert max(found, default=0) == pytest.approx(brute_max(query, texts[1], 4)[1])
+
+
+def test_runs_of_parts():
+    assert [similarity._runs(q, r) for q, r in ((1, 1), (150, 1), (1, 150), (28, 28), (900, 900))] == [1, 1, 64, 16, 57]
+
+
+def test_rows_kept_of_a_run():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [(q, r, 20, rng.randrange(20, 90), rng.randrange(1, 20)) for q in (3, None, 1) for r in range(30)]
+    rng.shuffle(rows)
+    names = ["query_id", "ref_id", "n_query", "n_ref", "shared"]
+    kept = similarity._kept(pa.table([pa.array(c) for c in zip(*rows)], names), 2).to_pylist()
+    for q in (3, None, 1):
+        own, mine = [tuple(row.values()) for row in kept if row["query_id"] == q], [row for row in rows if row[0] == q]
+        wanted = set(sorted(mine, key=lambda row: (-row[4], row[1]))[:2])
+        best = max(row[4] / (row[2] + row[3] - row[4]) for row in mine)
+        assert wanted <= set(own) and len(own) <= 3 and max(row[4] / (row[2] + row[3] - row[4]) for row in own) == best
+    assert similarity._kept(pa.table([pa.array(c) for c in zip(*rows)], names).slice(0, 0), 2).num_rows == 0
