@@ -1,7 +1,9 @@
 """What each sequence edit preserves and destroys."""
 
 from collections import Counter
+from hashlib import md5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,38 @@ def test_batched_draws_are_those_of_the_expressions(spark):
         got = df.select("id", draws.shuffled(F.col("s"), *parts).alias("a"), draws.randomised(F.col("s"), *parts).alias("b")).collect()
         assert sorted(r for r in got if r["a"] is not None) == sorted(wanted)
         assert [r["b"] for r in got if r["id"] == 3] == [None]
+
+
+def test_digests_of_many_prefixes_are_those_of_hashlib(monkeypatch):
+    """Prefixes of every length up to a block and beyond, hashed together; the decimal text of a position is made once."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(draws, "CHUNK", 400)
+    prefixes = ["".join("abcé"[j] for j in rng.integers(0, 4, k)) for k in range(60)]
+    places = [np.arange(rng.integers(0, 300)) if k % 3 else np.sort(rng.choice(2 * draws.TABLE, 20, replace=False)) for k in range(60)]
+    made = []
+    monkeypatch.setattr(draws, "_tail", lambda kept, at, whole=draws._tail: made.append(int(at[-1])) or whole(kept, at))
+    draws._tails.cache_clear()
+    for prefix, where, (upper, lower) in zip(prefixes, places, draws._halves(prefixes, places)):
+        assert [f"{int(a):016x}{int(b):016x}" for a, b in zip(upper, lower)] == [md5(f"{prefix}{i}".encode()).hexdigest() for i in where]
+    assert sum(at < draws.TABLE for at in made) == 4
+
+
+def test_reordered_blocks_and_mutated_letters(spark):
+    """Against the definitions, with letters that are no residues, empty and NULL texts."""
+    from seqloom.functions.edits import point_mutation, shuffle_blocks
+
+    texts = ["ACDEFGHIKL" * 9, "AC", "", None, "ébAC1", "1é" * 30, "A𝔸C" * 11]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string").repartition(2)
+    rows = {r["id"]: r for r in df.select("id", shuffle_blocks("s", 5, F.col("id")).alias("b"), point_mutation("s", 5, F.col("id")).alias("p")).collect()}
+    draw = lambda *parts: md5(":".join(map(str, parts)).encode()).hexdigest()
+    for i, text in enumerate(texts):
+        if text is None:
+            assert rows[i]["b"] is None
+            continue
+        pieces = [text[at:at + 20] for at in range(0, len(text), 20)]
+        order = sorted(range(len(pieces)), key=lambda k: (draw(5, i, "blocks", k), k))
+        assert rows[i]["b"] == "".join(pieces[k] for k in order)
+        where = [k for k, c in enumerate(text) if c in "ACDEFGHIKLMNPQRSTVWY"]
+        at = where[int(draw(5, i, "point")[:15], 16) % len(where)] if where else -1
+        assert rows[i]["p"]["position"] == at and len(rows[i]["p"]["edited"]) == len(text)
+        assert [k for k in range(len(text)) if rows[i]["p"]["edited"][k] != text[k]] == ([at] if where else [])
