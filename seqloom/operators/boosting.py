@@ -9,7 +9,8 @@ node, feature and bin reaches the driver. Rows are kept packed; the predictions
 are stored every BLOCK iterations, so that a pass replays BLOCK trees at most.
 
 Where the binned rows fit in SMALL bytes they are sent to the tasks instead, each of which grows whole
-ensembles: the same trees without a job for every level.
+ensembles: the same trees without a job for every level. There the sums at the root follow from those of the tree
+before: a row's residual falls by what its leaf adds, so that rows counted by leaf and bin are all that is needed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from seqloom.operators.ranking import percentiles
 from seqloom.session import stored
 
 #: Bins of a feature; binned rows that are sent to the tasks at most, in bytes.
-BINS, SMALL = 32, 64 << 20
+BINS, SMALL = 32, 256 << 20
 #: Iterations between stored predictions; partial sums that one task adds; bytes of partial sums that the driver adds.
 BLOCK, FAN, ADDED = 10, 32, 16 << 20
 #: Joint bins of features that are summed at once, for one run of features and for all; rows that a step handles at once.
@@ -44,6 +45,8 @@ class Layout:
 
     starts: np.ndarray
     total: int
+    #: Rows that are summed at once, for one ensemble: the more, the more joint bins pay.
+    rows: int = 0
 
     @cached_property
     def ends(self) -> np.ndarray:
@@ -60,7 +63,7 @@ class Layout:
                     out.append((first, f))
                     first, joint, cells = f, 1, cells + joint
                 joint *= size
-            if cells + joint <= CELLS:
+            if cells + joint <= max(CELLS, 2 * self.rows):
                 break
         return [*out, (first, len(sizes))]
 
@@ -155,11 +158,11 @@ def best_splits(sums: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarra
 def joint_bins(columns: np.ndarray, layout: Layout) -> list[np.ndarray]:
     """For each run of features every row's place among their joint bins."""
     sizes, out = layout.ends - layout.starts, []
-    for first, last in layout.runs:
+    for (first, last), shape in zip(layout.runs, layout.cells):
         index = columns[first].astype(np.int64)
         for f in range(first + 1, last):
             index = index * sizes[f] + columns[f]
-        out.append(index)
+        out.append(index.astype(np.uint16) if math.prod(shape) <= 1 << 16 else index)
     return out
 
 
@@ -169,10 +172,10 @@ def _cells(joint: list[np.ndarray], layout: Layout, weights: np.ndarray | None =
 
 
 def level_sums(joint: list[np.ndarray], columns: np.ndarray, residual: np.ndarray, feature: np.ndarray, cut: np.ndarray,
-               level: int, right: np.ndarray, layout: Layout, counts: bool = True) -> np.ndarray:
+               level: int, right: np.ndarray, layout: Layout, counts: bool = True, sums: bool = True) -> np.ndarray:
     """Sums of residuals and numbers of rows by joint bins: of all rows at level 0, further down of one child of each node
     of the level above (2, nodes, cells), the right one where `right` says so. A node without a split has no right child. The numbers of all rows, which no tree
-    changes, are left at 0 without `counts`."""
+    changes, are left at 0 without `counts`, and the sums of residuals without `sums`."""
     above = max(1, (1 << level) >> 1)
     out = np.zeros((2, above, sum(map(math.prod, layout.cells))))
     if level == 0:
@@ -185,8 +188,10 @@ def level_sums(joint: list[np.ndarray], columns: np.ndarray, residual: np.ndarra
         f, c = feature[i + above - 1], cut[i + above - 1]
         if f >= 0:
             own = np.flatnonzero(((columns[f] > int(c)) == right[i]) & (node == i))
-            there = [index[own] for index in joint]
-            out[:, i] = _cells(there, layout, residual[own]), _cells(there, layout)
+            there = [np.take(index, own, mode="clip") for index in joint]
+            if sums:
+                out[0, i] = _cells(there, layout, residual[own])
+            out[1, i] = _cells(there, layout)
     return out
 
 
@@ -203,7 +208,7 @@ def small_children(sums: np.ndarray, feature: np.ndarray, cut: np.ndarray, layou
 def both_children(parents: np.ndarray, small: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sums of all nodes of a level from those of their parents and of the smaller children."""
     other, side = parents - small, right[None, :, None]
-    return np.stack([np.where(side, other, small), np.where(side, small, other)], axis=2).reshape(2, -1, parents.shape[2])
+    return np.stack([np.where(side, other, small), np.where(side, small, other)], axis=2).reshape(len(parents), -1, parents.shape[2])
 
 
 @dataclass
@@ -231,35 +236,34 @@ class Ensemble:
         return out
 
 
-def grow(bins: np.ndarray, target: np.ndarray, layout: Layout, iterations: int, depth: int) -> Ensemble:
-    """An ensemble from rows that are all here."""
+def grow(columns: np.ndarray, target: np.ndarray, layout: Layout, iterations: int, depth: int) -> Ensemble:
+    """An ensemble from rows that are all here; `columns` (features, rows)."""
     start = float(target.mean()) if len(target) else 0.0
-    now = np.full(len(target), start)
-    runs = [slice(at, at + RUN) for at in range(0, len(bins), RUN)]
-    columns = [np.ascontiguousarray(bins[r].T) for r in runs]
-    joint = [joint_bins(c, layout) for c in columns]
-    features, cuts, values, whole = [], [], [], None
-    for _ in range(iterations):
-        feature, cut = np.full(2**depth - 1, -1), np.zeros(2**depth - 1, dtype=np.int64)
+    now, nodes = np.full(len(target), start), 2**depth
+    joint = joint_bins(columns, layout)
+    features, cuts, values, root = [], [], [], None
+
+    def found(level, sums=True):
+        return layout.by_bin(level_sums(joint, columns, target - now, feature, cut, level, right, layout, sums=sums)[0 if sums else 1 :])
+
+    for iteration in range(iterations):
+        feature, cut = np.full(nodes - 1, -1), np.zeros(nodes - 1, dtype=np.int64)
         value, sums, right = np.zeros((1, 2)), None, np.zeros(0, dtype=bool)
         for level in range(depth):
-            found = np.zeros((2, max(1, (1 << level) >> 1), sum(map(math.prod, layout.cells))))
-            for r, c, j in zip(runs, columns, joint):
-                found += level_sums(j, c, target[r] - now[r], feature, cut, level, right, layout, whole is None or level > 0)
-            sums = both_children(sums, layout.by_bin(found), right) if level else layout.by_bin(found)
-            if whole is None:
-                whole = sums[1].copy()
-            elif not level:
-                sums[1] = whole
+            if level:
+                sums = both_children(sums, found(level), right)
+            else:
+                root = sums = found(level) if root is None else root
             f, c, value = best_splits(sums, layout)
             right = small_children(sums, f, c, layout)
             feature[(1 << level) - 1 : (2 << level) - 1], cut[(1 << level) - 1 : (2 << level) - 1] = f, c
-        for r, c in zip(runs, columns):
-            now[r] += RATE * value.ravel()[leaves(feature, cut, c, depth)]
+        if iteration + 1 < iterations:
+            fallen = RATE * value.ravel() @ both_children(sums[1:], found(depth, sums=False), right)[0]
+            root = np.stack([root[0] - fallen, root[1]])
+        now += RATE * value.ravel()[leaves(feature, cut, columns, depth)]
         features.append(feature)
         cuts.append(cut)
         values.append(value.ravel())
-    nodes = 2**depth
     return Ensemble(start, np.array(features, dtype=np.int64).reshape(-1, nodes - 1), np.array(cuts, dtype=np.int64).reshape(-1, nodes - 1), np.array(values).reshape(-1, nodes))
 
 
@@ -286,16 +290,21 @@ def fit_ensembles(rows: DataFrame, keys: list[tuple[int, int]], layout: Layout,
 def _fit_sent(rows, keys, layout, iterations, depth, n_features) -> list[Ensemble]:
     spark = rows.sparkSession
     # Bounded by `small`; in an order that does not depend on partitions.
-    table = rows.select("_bins", "_target", "_fold").toArrow().combine_chunks()
-    shared = spark.sparkContext.broadcast([_columns(b, n_features) for b in table.to_batches()])
+    table = rows.select("_bins", "_target", "_fold").toArrow()
+    parts = [(np.ascontiguousarray(b.T), t, f) for b, t, f in (_columns(batch, n_features) for batch in table.to_batches())]
+    del table
+    columns = np.concatenate([p[0] for p in parts] or [np.zeros((n_features, 0), np.uint8)], axis=1)
+    target, fold = (np.concatenate([p[i] for p in parts] or [empty]) for i, empty in ((1, np.zeros((0, 1))), (2, np.zeros(0))))
+    del parts
+    shared = spark.sparkContext.broadcast((columns, target, fold))
+    layout = Layout(layout.starts, layout.total, columns.shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            parts = shared.value
-            bins, target, fold = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else (np.zeros((0, n_features), np.uint8), np.zeros((0, 1)), np.zeros(0))
+            columns, target, fold = shared.value
             for e in batch.column("id").to_pylist():
                 own = _trained(keys, e, target, fold)
-                made = grow(bins[own], target[own, keys[e][0]], layout, iterations, depth)
+                made = grow(np.take(columns, own, axis=1), target[own, keys[e][0]], layout, iterations, depth)
                 yield pa.RecordBatch.from_pydict({
                     "e": [e], "start": [made.start], "feature": [made.feature.ravel()], "cut": [made.cut.ravel()], "value": [made.value.ravel()],
                 })

@@ -97,3 +97,30 @@ def test_a_pass_reads_packed_rows(spark, monkeypatch):
     df, *_ = table(spark, n=200)
     baseline.gbm_predictions(df.coalesce(1), slots=[0], iterations=2, small=0).collect()
     assert kept[-1].count() == 1 and {t for _, t in kept[-1].dtypes} == {"binary"}
+
+
+def test_root_sums_follow_from_the_tree_before(monkeypatch):
+    """Sent rows: after the first tree no pass sums all rows, and the trees are those of residuals that are summed anew."""
+    rng = np.random.default_rng(7)
+    sizes = [9, 4, 1, 12]
+    layout = boosting.Layout(np.cumsum([0, *sizes[:-1]]), sum(sizes), 300)
+    columns = np.stack([rng.integers(0, s, 300) for s in sizes]).astype(np.uint8)
+    y, levels = columns[0] * 0.3 - (columns[3] > 5) + rng.normal(size=300), []
+    monkeypatch.setattr(boosting, "level_sums", lambda *a, whole=boosting.level_sums, **more: levels.append(a[5]) or whole(*a, **more))
+    made = boosting.grow(columns, y, layout, 6, 3)
+    assert levels.count(0) == 1
+    now, flat = np.full(300, y.mean()), columns.T.astype(np.int64) + layout.starts
+    for feature, cut, value in zip(made.feature, made.cut, made.value):
+        for level in range(3):
+            here = slice((1 << level) - 1, (2 << level) - 1)
+            f, c, last = boosting.best_splits(boosting.histogram(flat, boosting.leaves(feature, cut, columns, level), 1 << level, y - now, layout), layout)
+            assert (f == feature[here]).all() and (c == cut[here]).all()
+        assert value == pytest.approx(last.ravel())
+        now += boosting.RATE * value[boosting.leaves(feature, cut, columns, 3)]
+
+
+def test_more_rows_are_summed_by_more_joint_bins():
+    sizes = [10] * 400
+    small, large = (boosting.Layout(np.cumsum([0, *sizes[:-1]]), sum(sizes), rows) for rows in (0, 400_000))
+    assert len(small.runs) == 200 and len(large.runs) == 134
+    assert boosting.joint_bins(np.zeros((400, 3), np.uint8), large)[0].dtype == np.uint16
